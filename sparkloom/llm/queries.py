@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, resharding, url_rules
+from . import bpe, decontam, jaccard_join, langid, media, resharding, url_rules
 from .common import crc_mod, load
 
 
@@ -70,6 +70,14 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(load(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + GLOB_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    named, read = media.store_and_read(docs)
+    rows = named.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    hexed = lambda c: F.lower(F.hex(c))
+    return rows.join(read, "media").select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature")
+
+
 def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     old = F.pmod(F.xxhash64("doc_id"), F.lit(resharding.OLD_SHARDS))
@@ -78,7 +86,11 @@ def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_bpe, op4_langid, op6_urls, op8_resharding)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_bpe, op4_langid, op6_urls, op7_media, op8_resharding, op10_jaccard)}
 
 ORACLE_SQL = {
     "op6_urls": r"""
