@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INF = 1 << 60
-GENERATION = 120_000  #: words per cache generation in a worker; two generations are kept
+GENERATION = 300_000  #: entries of a worker's cache of words, and of each of its two generations of pieces
 LONGEST_CACHED = 48
 
 # The white space of Unicode, as the published pre-tokenizer's \s.
@@ -105,7 +105,7 @@ class Bpe:
                     break
                 self.state_of[p] = len(self.prefixes)
                 self.prefixes.append(p)
-        self.steps: dict[int, int] = {}
+        self.steps: dict[tuple[int, str], int] = {}
         self.outputs: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.prefixes)
         self.pattern = pre_token_pattern()
         self.blank_in_space = re.compile(f"[{SPACES}] (?![^{SPACES}])")
@@ -114,7 +114,9 @@ class Bpe:
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t, _ in sorted(added, key=lambda x: -len(x[0]))) + ")") if added else None
         self.bytes_of = {i: t.encode("latin-1") for t, i in self.ids.items()} | {i: t.encode() for t, i in added}
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
-        self.pairs: dict[int, bool] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.table))]
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -126,7 +128,7 @@ class Bpe:
         p = self.prefixes[state] + c
         while p not in self.state_of:
             p = p[1:]
-        to = self.steps[state << 8 | ord(c)] = self.state_of[p]
+        to = self.steps[state, c] = self.state_of[p]
         if self.outputs[to] is None:
             ends = [p[k:] for k in range(len(p))]
             self.outputs[to] = tuple((self.whole[t], len(t)) for t in ends if t in self.whole)
@@ -155,38 +157,53 @@ class Bpe:
     def word(self, s: str) -> bytes:
         """Ids of one pre-token, as little-endian 32-bit integers."""
         t = s if s.isascii() else s.encode().decode("latin-1")
+        packed = self.packed
         one = self.whole.get(t)
         if one is not None:
-            return one.to_bytes(4, "little")
-        n, pairs, steps, outputs = len(t), self.pairs, self.steps, self.outputs
-        last, back, state = [-1] * (n + 1), [0] * (n + 1), 0
-        for i, c in enumerate(t, 1):
-            to = steps.get(state << 8 | ord(c))
-            state = self.step(state, c) if to is None else to
+            return packed[one]
+        pairs, steps, outputs = self.pairs, self.steps, self.outputs
+        last, back, state, i = [0], [0], 0, 0
+        for c in t:
+            i += 1
+            key = state, c
+            state = steps[key] if key in steps else self.step(state, c)
             for tid, size in outputs[state]:
                 j = i - size
                 if j:
-                    key = last[j] << 20 | tid
-                    ok = pairs.get(key)
+                    pair = last[j], tid
+                    ok = pairs.get(pair)
                     if ok is None:
-                        if len(pairs) > 1_000_000:
+                        if len(pairs) > 400_000:
                             pairs.clear()
-                        ok = pairs[key] = self.apart(last[j], tid)
-                    if not ok:
-                        continue
-                last[i], back[i] = tid, j
-                break
-        out, i = [], n
+                        ok = pairs[pair] = self.apart(*pair)
+                    if ok:
+                        break
+                else:
+                    break
+            last.append(tid)
+            back.append(j)
+        out = []
         while i:
-            out.append(last[i])
+            out.append(packed[last[i]])
             i = back[i]
-        return np.array(out[::-1], "<u4").tobytes()
+        out.reverse()
+        return b"".join(out)
 
     def piece(self, s: str) -> bytes:
         """Ids of a blank and then s."""
         got = self.old.get(s)
         if got is None:
-            got = b"".join([self.word(x) for x in self.pattern.findall(" " + s)])
+            got = []
+            for x in self.pattern.findall(" " + s):
+                ids = self.words.get(x)
+                if ids is None:
+                    ids = self.word(x)
+                    if len(x) <= LONGEST_CACHED:
+                        if len(self.words) >= GENERATION:
+                            self.words.clear()
+                        self.words[x] = ids
+                got.append(ids)
+            got = got[0] if len(got) == 1 else b"".join(got)
         if len(s) <= LONGEST_CACHED:
             if len(self.young) >= GENERATION:
                 self.old, self.young = self.young, {}
