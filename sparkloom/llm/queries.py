@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, langid, media, resharding, url_rules
+from . import bpe, decontam, jaccard_join, langid, media, pii, resharding, url_rules
 from .common import crc_mod, load
 
 
@@ -36,6 +36,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    n = [count(kind) for kind in pii.KINDS]
+    return rows.select("doc_id", *n, hex_sha(pii.listed(F.col("base")).cast("binary")).alias("base_sha256"), pii.listed(F.col("all")).alias("spans"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.Spec(spark, tokenizer_path())
     coded = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), spec).drop("text")
@@ -90,7 +97,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_bpe, op4_langid, op6_urls, op7_media, op8_resharding, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_langid, op6_urls, op7_media, op8_resharding, op10_jaccard)}
 
 ORACLE_SQL = {
     "op6_urls": r"""
