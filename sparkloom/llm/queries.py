@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, langid, media, pii, resharding, url_rules
+from . import bpe, decontam, jaccard_join, langid, media, pii, resharding, suffix_dedup, url_rules
 from .common import crc_mod, load
 
 
@@ -62,6 +62,17 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.col("cut.removed").alias("n_removed"),
+        F.col("cut.spans").alias("n_spans"),
+        hex_sha(F.col("cut.kept")).alias("kept_sha256"),
+    )
+
+
 #: The rules that are given, and two globs that judge what no rule fits.
 SITE_RULES = [
     url_rules.site_rule("allow", "org", "/"),
@@ -97,7 +108,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_langid, op6_urls, op7_media, op8_resharding, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_langid, op5_suffix_dedup, op6_urls, op7_media, op8_resharding, op10_jaccard)}
 
 ORACLE_SQL = {
     "op6_urls": r"""
