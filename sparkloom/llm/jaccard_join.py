@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .components import components
 
 SHINGLE = 5
@@ -368,8 +368,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that whose key names it (of rows with equal keys, one). Rows
+    """One row of each component: that whose key names it, of rows with equal keys any one. Rows
     without words are kept."""
-    names = stored(link(docs, key, text), "linked")
-    chosen = names.where((F.col(key).eqNullSafe(F.col("component_id")))).select(key).distinct()
-    return docs.join(chosen, key, "left_semi")
+    names = stored(link(docs, key, text), "linked").where(F.col(key).eqNullSafe(F.col("component_id")))
+    name = fresh(docs, "_kept")
+    chosen = stored(names.groupBy(F.col(key).alias(name)).agg(F.count("*").alias("n")), "kept")
+    rows = docs.join(chosen.select(name).hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(name)), "left_semi")
+    if chosen.where("n > 1").isEmpty():
+        return rows
+    place = fresh(docs, "_place")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(place) == 1).drop(place)

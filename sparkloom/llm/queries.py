@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, langid, media, pii, resharding, suffix_dedup, url_rules
+from . import bpe, decontam, jaccard_join, langid, maxent_lm, media, pii, resharding, suffix_dedup, url_rules
 from .common import crc_mod, load
 
 
@@ -104,11 +104,17 @@ def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = maxent_lm.score(docs, crc_mod(F.col("doc_id"), 5) != 1)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_langid, op5_suffix_dedup, op6_urls, op7_media, op8_resharding, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_langid, op5_suffix_dedup, op6_urls, op7_media, op8_resharding, op9_maxent, op10_jaccard)}
 
 ORACLE_SQL = {
     "op6_urls": r"""
