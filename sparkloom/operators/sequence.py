@@ -77,5 +77,6 @@ def flagged_runs(df: DataFrame, keys: list[str], order: list[str], at: str, flag
 
 def filled(df: DataFrame, day: str, keys: list[str], n: str, first: str, last: str) -> DataFrame:
     """Every day from first to last for each key, with 0 where df has none."""
-    days = df.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).cast("string").alias(day))
-    return df.select(*keys).distinct().join(F.broadcast(days)).join(df, [*keys, day], "left").select(day, *keys, F.coalesce(n, F.lit(0)).alias(n)) if keys else days.join(df, day, "left").select(day, F.coalesce(n, F.lit(0)).alias(n))
+    days = F.transform(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last))), lambda d: d.cast("string"))
+    frame = (df.select(*keys).distinct() if keys else df.sparkSession.range(1)).withColumn(day, F.explode(days))
+    return frame.join(df, [*keys, day], "left").select(day, *keys, F.coalesce(n, F.lit(0)).alias(n))
