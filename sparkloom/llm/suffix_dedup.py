@@ -15,8 +15,10 @@ anchor, named by the anchor's hash and a hash of all its bytes.
    batches. A batch gets a suffix array, is merge-scanned against itself and against the arrays of
    all earlier batches for common strings of 100 bytes, and becomes a level of the family; levels of
    equal size merge, so n suffixes are merged about log n times and looked up in about log n arrays.
-4. An anchor with more than `hot` different stretches does not go to one task: its 100-byte strings
-   are dealt out by their own 128-bit hashes, after repeats within a block are settled, as in 1 and 2.
+4. Comparing suffixes in pairs is for anchors with few stretches. With more than `crowd` of them, the
+   strings of all are compared at once, by 128-bit hashes, still in one task. With more than `hot`
+   they do not go to one task: the strings are dealt out by their hashes, after repeats within a
+   block are settled, as in 1 and 2.
 
 Null text counts as empty; texts of under 100 bytes are kept whole. Rows that agree in id and text
 are one document; of rows with one id and different texts, the one with the smaller text hash is the
@@ -35,7 +37,7 @@ from .jaccard_join import BYTE_VALUE, mixed, pieces, powers
 
 LONG, ANCHOR = 100, 24
 SPREAD = LONG - ANCHOR + 1  #: anchors that a string chooses from
-HOT = 256
+CROWD, HOT = 256, 20_000
 BATCH = 4096
 ROWS_A_TASK = 60_000
 
@@ -153,7 +155,7 @@ def scan(batches):
         last_key, last_content = key[-1], content[-1]
 
 
-STRETCH = "key long, doc long, place long, hot boolean, left int, bytes binary"
+STRETCH = "key long, doc long, place long, size int, left int, bytes binary"
 
 
 def fetch(batches):
@@ -170,14 +172,18 @@ def fetch(batches):
             for w in wanted:
                 start = int(unpack(w["place"])[1]) + int(b.base[k])
                 n, a = where[k, start]
-                for c, v in zip(cols, (w["key"], docs[k], w["place"], w["hot"], a - start, flat[start : start + n - 1 + LONG])):
+                for c, v in zip(cols, (w["key"], docs[k], w["place"], w["size"], a - start, flat[start : start + n - 1 + LONG])):
                     c.append(v)
-        yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], ["key", "doc", "place", "hot", "left", "bytes"])
+        yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], ["key", "doc", "place", "size", "left", "bytes"])
 
 
 RANGES = "doc long, tie long, first long, last long"  #: bytes first to last, the last exclusive
 
 
+def ranges(doc, tie, first, last):
+    return pa.record_batch([pa.array(x, pa.int64()) for x in (doc, tie, first, last)], ["doc", "tie", "first", "last"])
+
+
 class Family:
     """Suffix arrays of the batches so far, each sorted by the bytes that follow its anchors."""
 
@@ -242,10 +248,13 @@ def match(batches):
         anchor = unpack(place)[1] + np.array([h[2] for h in held])
         tie = unpack(place)[0]
         held.clear()
+        # All matches of a suffix hold its anchor, so together they are one range.
+        most_before, most_after = np.full(n, -1), np.full(n, -1)
         for i, before, after in family.add(lefts, rights, heads, tails):
-            k = i - base
-            first, last = anchor[k] - before, anchor[k] + np.minimum(after, LONG)
-            yield pa.record_batch([pa.array(doc[k]), pa.array(tie[k]), pa.array(first), pa.array(last)], ["doc", "tie", "first", "last"])
+            np.maximum.at(most_before, i - base, before)
+            np.maximum.at(most_after, i - base, after)
+        k = most_before >= 0
+        yield ranges(doc[k], tie[k], anchor[k] - most_before[k], anchor[k] + most_after[k])
 
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("doc", "place", "left", "bytes"))):
@@ -256,16 +265,47 @@ def match(batches):
         yield from run()
 
 
+def single_strings(doc, place, raws):
+    """The 100-byte strings of stretches as posts with 128-bit names, repeats settled."""
+    b = Block(raws)
+    n = b.sizes - LONG + 1
+    row = np.repeat(np.arange(len(raws)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    tie, start, _ = unpack(place)
+    s = b.base[row] + at
+    return settle(b.hashes(s, s + LONG, 6).view(np.int64), b.hashes(s, s + LONG, 7).view(np.int64), doc[row], pack(tie[row], start[row] + at, 1))
+
+
 def strings(batches):
-    """The single 100-byte strings of stretches, as posts with 128-bit names."""
     for (doc, place), raws in pieces(batches, ["doc", "place", "bytes"]):
-        b = Block(raws)
-        n = b.sizes - LONG + 1
-        row = np.repeat(np.arange(len(raws)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        tie, start, _ = unpack(place.to_numpy())
-        s = b.base[row] + at
-        yield settle(b.hashes(s, s + LONG, 6).view(np.int64), b.hashes(s, s + LONG, 7).view(np.int64), doc.to_numpy()[row], pack(tie[row], start[row] + at, 1))
+        yield single_strings(doc.to_numpy(), place.to_numpy(), raws)
+
+
+def crowds(batches):
+    """Stretches in order of anchors: all strings of an anchor are compared at once."""
+    name, held = None, []
+
+    def close():
+        doc, place = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+        posts = single_strings(doc, place, [h[2] for h in held])
+        held.clear()
+        doc, place = posts["doc"].to_numpy(), posts["place"].to_numpy()
+        doc, place = doc[place < 0], -1 - place[place < 0]
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        tie, start, _ = unpack(place)
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else np.zeros(0, int)
+        last = np.append(new[1:], len(doc)) - 1
+        return ranges(doc[new], tie[new], start[new], start[last] + LONG)
+
+    for b in batches:
+        for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "place", "bytes"))):
+            if key != name and held:
+                yield close()
+            name = key
+            held.append(row)
+    if held:
+        yield close()
 
 
 def ordered_scan(p: DataFrame) -> DataFrame:
@@ -282,28 +322,38 @@ def document(key: Column, text: Column) -> list[Column]:
     return [F.coalesce(key.cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)).alias("tie")]
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def as_range(marks: DataFrame) -> DataFrame:
+    start = F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
+    return marks.select("doc", F.shiftright("place", START_BITS + COUNT_BITS).alias("tie"), start.alias("first"), (start + F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)) + LONG).alias("last"))
+
+
+def document(key: Column, text: Column) -> list[Column]:
+    return [F.coalesce(key.cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)).alias("tie")]
+
+
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """doc, tie and the byte ranges that repeat; ranges may overlap."""
     spark = docs.sparkSession
     rows = docs.select(*document(F.col(key), F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= LONG)
     marks = stored(ordered_scan(rows.mapInArrow(posts, POST)), "marks")
     need = marks.where("kind = 2")
-    crowded = need.groupBy("key").count().where(F.col("count") > hot).select(F.col("key"), F.lit(True).alias("hot"))
-    asked = need.join(crowded, "key", "left").select("doc", F.shiftright("place", START_BITS + COUNT_BITS).alias("tie"), F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("want"))
+    crowded = need.groupBy("key").count().where(F.col("count") > min(crowd, hot)).select("key", F.when(F.col("count") > hot, 2).otherwise(1).alias("size"))
+    asked = need.join(crowded, "key", "left").select("doc", F.shiftright("place", START_BITS + COUNT_BITS).alias("tie"), F.struct("key", "place", F.coalesce("size", F.lit(0)).alias("size")).alias("want"))
     asked = asked.groupBy("doc", "tie").agg(F.collect_list("want").alias("asked"))  # at most one document's stretches
     unique = rows.join(asked.hint("shuffle_hash"), ["doc", "tie"]).select("doc", "tie", "asked", "text")
     got = stored(unique.mapInArrow(fetch, STRETCH).dropDuplicates(["doc", "place"]), "stretches")
-    n = got.where("not hot").count()
+    n = got.where("size < 2").count()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_TASK))
-    partial = got.where("not hot").repartition(parts, "key").sortWithinPartitions("doc", "place").mapInArrow(match, RANGES)
-    single = ordered_scan(got.where("hot").mapInArrow(strings, POST)).where("kind = 1")
-    return as_range(marks.where("kind = 1")).unionByName(as_range(single)).unionByName(partial)
+    few = got.where("size = 0").repartition(parts, "key").sortWithinPartitions("doc", "place").mapInArrow(match, RANGES)
+    many = got.where("size = 1").repartition(parts, "key").sortWithinPartitions("key", "doc", "place").mapInArrow(crowds, RANGES)
+    single = ordered_scan(got.where("size = 2").mapInArrow(strings, POST)).where("kind = 1")
+    return as_range(marks.where("kind = 1")).unionByName(as_range(single)).unionByName(few).unionByName(many)
 
 
 CUT = "struct<kept:binary,removed:bigint,spans:bigint>"
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "cut", hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "cut", crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """Adds `to`: the kept bytes, the number of removed ones and of maximal removed runs."""
 
     @F.arrow_udf(CUT)
@@ -323,7 +373,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "
             out.append({"kept": b"".join([*kept, raw[at:]]), "removed": sum(z - a for a, z in runs), "spans": len(runs)})
         return pa.array(out, pa.struct([("kept", pa.binary()), ("removed", pa.int64()), ("spans", pa.int64())]))
 
-    found = repeated(docs, key, text, hot).groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
+    found = repeated(docs, key, text, crowd, hot).groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
     doc, tie = document(F.col(key), F.col(text))
     rows = docs.withColumn("_doc", doc).withColumn("_tie", tie)
     joined = rows.join(found.withColumnsRenamed({"doc": "_doc", "tie": "_tie"}).hint("shuffle_hash"), ["_doc", "_tie"], "left")
