@@ -104,7 +104,7 @@ def preferred_sources(spark, sf_dir):
     all_ = src("p_size > 45", 1).unionByName(src("p_type = 'SMALL'", 2)).unionByName(src("p_retailprice > 1000", 3))
     first = all_.groupBy("p_partkey", "p_brand", "p_retailprice").agg(F.min("rank").alias("rank"))
     place = F.row_number().over(Window.partitionBy("p_brand").orderBy("rank", F.desc("p_retailprice"), "p_partkey"))
-    return first.withColumn("place", place).where("place <= 20")
+    return first.withColumn("place", place.cast("long")).where("place <= 20")
 
 
 def reviewer_queue(spark, sf_dir):

@@ -28,7 +28,7 @@ def stats_days_filled(spark, sf_dir):
 
 
 def stats_hour_of_day(spark, sf_dir):
-    return events(spark, sf_dir).groupBy(clock.hour_shifted(F.hour("ts"), -5).alias("hour")).agg(F.count("*").alias("n"))
+    return events(spark, sf_dir).groupBy(clock.hour_shifted(F.hour("ts"), -5).cast("long").alias("hour")).agg(F.count("*").alias("n"))
 
 
 def stats_tiles(spark, sf_dir):
