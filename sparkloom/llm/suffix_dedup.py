@@ -294,8 +294,8 @@ def crowds(batches):
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
         tie, start, _ = unpack(place)
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else np.zeros(0, int)
-        last = np.append(new[1:], len(doc)) - 1
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + 1)])[: len(doc)])
+        last = np.append(new[1:], len(doc))[: len(new)] - 1
         return ranges(doc[new], tie[new], start[new], start[last] + LONG)
 
     for b in batches:
