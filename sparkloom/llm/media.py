@@ -2,11 +2,12 @@
 
 A payload is stored as a WAV file of unsigned 8-bit mono samples, which is lossless. Stored files are
 cut where a rolling gear hash of their last 32 bytes has zero top bits, between a least and a
-greatest chunk size; so a passage that files share gives the same chunks in each. `chunks_of` yields
-the distinct chunks (digest, compressed bytes), `lists_of` the ordered chunk list of each distinct
-file, and `restore` joins the two by digest, puts files together and checks them against their
-digest. Files are named by digest, so however many rows hold the same payload it is stored, moved
-and restored once.
+greatest chunk size; so a passage that files share gives the same chunks in each. `lists_of` gives
+the ordered chunk digests of each distinct file; `references` finds by a join on digests which chunks
+occur more than once, and which place keeps their bytes; `deduplicated` is the store, each chunk
+once; `restore` fills the gaps by a join on digests, puts files together and checks them against
+their digests. Only digests and shared chunks are dealt out by digest: all other bytes move once.
+Files are named by digest, so however many rows hold the same payload it is stored and restored once.
 
 Null text counts as empty; its payload is one block of blanks. Repeated rows give repeated results.
 """
@@ -23,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLOCK = 192
 RATE = 8000
 LEAST, GREATEST, BITS, WINDOW = 512, 8192, 11, 32
@@ -133,28 +136,19 @@ def fit_dictionary(df: DataFrame, text: str) -> bytes:
         return b""
 
 
-def chunks_of(df: DataFrame, dictionary, text: str = "text") -> DataFrame:
-    """Distinct chunks of the stored forms: digest, data (zstd)."""
+def forms_of(df: DataFrame, dictionary, text: str = "text") -> DataFrame:
+    """Each distinct stored form: media (its digest), and data, its chunks in order (zstd)."""
 
     def run(batches):
         d = zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None
         if d:
             d.precompute_compress(level=LEVEL)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False)
-        seen: set[bytes] = set()
         for held in steps(batches, text):
-            new = {}
-            for parts in split([m for _, m in held]):
-                for p in parts:
-                    k = hashlib.sha256(p).digest()
-                    if k not in seen:
-                        seen.add(k)
-                        new[k] = press.compress(p)
-            yield pa.record_batch([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["digest", "data"])
-            if len(seen) > 200_000:
-                seen = set()
+            parts = split([m for _, m in held])
+            yield pa.record_batch([pa.array([d for d, _ in held], pa.binary()), pa.array([[press.compress(p) for p in own] for own in parts], pa.list_(pa.binary()))], ["media", "data"])
 
-    return df.select(text).mapInArrow(run, "digest binary, data binary").dropDuplicates(["digest"])
+    return df.select(text).mapInArrow(run, "media binary, data array<binary>").dropDuplicates(["media"])
 
 
 def lists_of(df: DataFrame, text: str = "text") -> DataFrame:
@@ -168,49 +162,58 @@ def lists_of(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(run, "media binary, digests array<binary>").dropDuplicates(["media"])
 
 
+def references(lists: DataFrame) -> DataFrame:
+    """For each stored form, the places of its chunks that occur more than once anywhere: at, digest,
+    and whether this place is the one that keeps the bytes."""
+    places = lists.select("media", F.posexplode("digests").alias("at", "digest"))
+    shared = places.groupBy("digest").agg(F.min(F.struct("media", "at")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    refs = places.join(shared, "digest").select("media", F.struct("at", "digest", (F.col("owner") == F.struct("media", "at")).alias("own")).alias("ref"))
+    return refs.groupBy("media").agg(F.collect_list("ref").alias("refs"))
+
+
+def deduplicated(forms: DataFrame, refs: DataFrame) -> DataFrame:
+    """The store: media, refs and data, in which a chunk that another place keeps is null."""
+    joined = forms.join(refs, "media", "left")
+    elsewhere = F.transform(F.filter("refs", lambda r: ~r["own"]), lambda r: r["at"])
+    bare = F.transform("data", lambda x, k: F.when(~F.array_contains(elsewhere, k), x))
+    return joined.select("media", "refs", F.when(F.col("refs").isNull(), F.col("data")).otherwise(bare).alias("data"))
+
+
 RESTORED = "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
 
 
-def restore(lists: DataFrame, chunks: DataFrame, dictionary) -> DataFrame:
-    """Puts each stored form together from its list, checks its digest and reads it back."""
+def restore(store: DataFrame, refs: DataFrame, dictionary) -> DataFrame:
+    """Fills the gaps of each stored form by a join on digests, puts it together, checks it against
+    its digest and reads it back."""
 
     def assemble(batches):
         d = zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None
         unpress = zstandard.ZstdDecompressor(dict_data=d)
-        name, count, parts, out = None, 0, [], []
-
-        def close():
-            media = b"".join(parts)
-            if len(parts) != count or hashlib.sha256(media).digest() != name:
-                raise ValueError(f"stored media {name.hex()} is incomplete or damaged")
-            data = samples(media)
-            out.append((name, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-16:]), len(media), feature(data)))
-
-        def flush():
+        for b in batches:
+            out = []
+            for name, data, borrowed in zip(*(b.column(c).to_pylist() for c in ("media", "data", "borrowed"))):
+                for r in borrowed or ():
+                    data[r["at"]] = r["data"]
+                if any(x is None for x in data):
+                    raise ValueError(f"stored media {name.hex()} lacks a chunk")
+                media = b"".join(map(unpress.decompress, data))
+                if hashlib.sha256(media).digest() != name:
+                    raise ValueError(f"stored media {name.hex()} is damaged")
+                own = samples(media)
+                out.append((name, len(own), hashlib.sha256(own).digest(), zlib.crc32(own[-16:]), len(media), feature(own)))
             cols = list(zip(*out)) if out else [[]] * 6
             kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
-            out.clear()
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
 
-        for b in batches:
-            for m, n, data in zip(b.column("media").to_pylist(), b.column("n").to_pylist(), b.column("data").to_pylist()):
-                if m != name:
-                    if name is not None:
-                        close()
-                    name, count, parts = m, n, []
-                parts.append(unpress.decompress(data))
-            yield flush()
-        if name is not None:
-            close()
-        yield flush()
-
-    places = lists.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
-    pieces = places.join(chunks, "digest", "left").select("media", "n", "at", "data")
-    return pieces.repartition("media").sortWithinPartitions("media", "at").mapInArrow(assemble, RESTORED)
+    kept = store.where("refs is not null").select(F.explode(F.filter("refs", lambda r: r["own"])).alias("r"), "data").select("r.digest", F.get("data", F.col("r.at")).alias("data"))
+    asked = refs.select("media", F.explode(F.filter("refs", lambda r: ~r["own"])).alias("r")).select("media", "r.*")
+    borrowed = asked.join(kept, "digest").groupBy("media").agg(F.collect_list(F.struct("at", "data")).alias("borrowed"))
+    return store.select("media", "data").join(borrowed, "media", "left").mapInArrow(assemble, RESTORED)
 
 
 def store_and_read(df: DataFrame, text: str = "text", to: str = "media") -> tuple[DataFrame, DataFrame]:
     """df with the digest of its stored form in `to`, and what restoring each stored form gives."""
     sent = df.sparkSession.sparkContext.broadcast(fit_dictionary(df, text))
-    read = restore(lists_of(df, text), chunks_of(df, sent, text), sent)
+    refs = stored(references(lists_of(df, text)), "references")
+    read = restore(deduplicated(forms_of(df, sent, text), refs), refs, sent)
     return df.withColumn(to, media_digest(F.col(text))), read
