@@ -148,7 +148,8 @@ def forms_of(df: DataFrame, dictionary, text: str = "text") -> DataFrame:
             parts = split([m for _, m in held])
             yield pa.record_batch([pa.array([d for d, _ in held], pa.binary()), pa.array([[press.compress(p) for p in own] for own in parts], pa.list_(pa.binary()))], ["media", "data"])
 
-    return df.select(text).mapInArrow(run, "media binary, data array<binary>").dropDuplicates(["media"])
+    # The filter is what joins infer: with it both uses of the forms have one plan, and share its exchange.
+    return df.select(text).mapInArrow(run, "media binary, data array<binary>").where("media is not null").dropDuplicates(["media"])
 
 
 def lists_of(df: DataFrame, text: str = "text") -> DataFrame:
