@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INF = 1 << 60
-GENERATION = 300_000  #: entries of a worker's cache of words, and of each of its two generations of pieces
+GENERATION = 400_000  #: pieces in each of the two generations of a worker's cache
 LONGEST_CACHED = 48
 
 # The white space of Unicode, as the published pre-tokenizer's \s.
@@ -95,18 +95,11 @@ class Bpe:
             if made not in self.made_at:
                 self.made_at[made], self.halves[made] = rank, (left, right)
         self.whole = {t: i for t, i in self.ids.items() if i not in unreachable}
-        # The automaton: state 0 is the empty prefix; steps and outputs are filled in when first taken.
-        self.prefixes = [""]
-        self.state_of = {"": 0}
-        for t in self.whole:
-            for k in range(len(t), 0, -1):
-                p = t[:k]
-                if p in self.state_of:
-                    break
-                self.state_of[p] = len(self.prefixes)
-                self.prefixes.append(p)
-        self.steps: dict[tuple[int, str], int] = {}
-        self.outputs: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.prefixes)
+        # The automaton: a state is its steps (char -> state), its outputs (id, size) and its prefix.
+        # Steps and outputs are filled in when first taken.
+        self.prefixes = {t[:k] for t in self.whole for k in range(len(t) + 1)}
+        self.states: dict[str, tuple] = {}
+        self.start = self.state("")
         self.pattern = pre_token_pattern()
         self.blank_in_space = re.compile(f"[{SPACES}] (?![^{SPACES}])")
         added = [(x["content"], x["id"]) for x in j.get("added_tokens") or []]
@@ -115,8 +108,9 @@ class Bpe:
         self.bytes_of = {i: t.encode("latin-1") for t, i in self.ids.items()} | {i: t.encode() for t, i in added}
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.table))]
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.table]
+        self.n_pairs = 0
+        self.marks = {c for c in ",.;:!?" if c in self.whole}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -124,14 +118,19 @@ class Bpe:
         single = [self.ids[chr(b)] for b in range(256)]
         return frozenset(i for t, i in self.ids.items() if plain_bpe([single[ord(c)] for c in t], self.merges) != [i])
 
-    def step(self, state: int, c: str) -> int:
-        p = self.prefixes[state] + c
-        while p not in self.state_of:
+    def state(self, prefix: str) -> tuple:
+        got = self.states.get(prefix)
+        if got is None:
+            ends = [prefix[k:] for k in range(len(prefix))]
+            got = self.states[prefix] = ({}, tuple((self.whole[t], len(t)) for t in ends if t in self.whole), prefix)
+        return got
+
+    def step(self, state: tuple, c: str) -> tuple:
+        """To the longest suffix of what was read that is a prefix of a token."""
+        p = state[2] + c
+        while p not in self.prefixes:
             p = p[1:]
-        to = self.steps[state, c] = self.state_of[p]
-        if self.outputs[to] is None:
-            ends = [p[k:] for k in range(len(p))]
-            self.outputs[to] = tuple((self.whole[t], len(t)) for t in ends if t in self.whole)
+        to = state[0][c] = self.state(p)
         return to
 
     def apart(self, a: int, b: int) -> bool:
@@ -161,24 +160,21 @@ class Bpe:
         one = self.whole.get(t)
         if one is not None:
             return packed[one]
-        pairs, steps, outputs = self.pairs, self.steps, self.outputs
-        last, back, state, i = [0], [0], 0, 0
+        pairs, state = self.pairs, self.start
+        last, back, i = [0], [0], 0
         for c in t:
             i += 1
-            key = state, c
-            state = steps[key] if key in steps else self.step(state, c)
-            for tid, size in outputs[state]:
+            to = state[0].get(c)
+            state = self.step(state, c) if to is None else to
+            for tid, size in state[1]:
                 j = i - size
-                if j:
-                    pair = last[j], tid
-                    ok = pairs.get(pair)
-                    if ok is None:
-                        if len(pairs) > 400_000:
-                            pairs.clear()
-                        ok = pairs[pair] = self.apart(*pair)
-                    if ok:
-                        break
-                else:
+                if not j:
+                    break
+                before = last[j]
+                ok = pairs[before].get(tid)
+                if ok is None:
+                    ok = self.remember(before, tid)
+                if ok:
                     break
             last.append(tid)
             back.append(j)
@@ -189,21 +185,25 @@ class Bpe:
         out.reverse()
         return b"".join(out)
 
+    def remember(self, a: int, b: int) -> bool:
+        self.n_pairs += 1
+        if self.n_pairs > 1_000_000:  # the memo is bounded; it fills again
+            self.pairs[:] = [{} for _ in self.table]
+            self.n_pairs = 0
+        ok = self.pairs[a][b] = self.apart(a, b)
+        return ok
+
     def piece(self, s: str) -> bytes:
         """Ids of a blank and then s."""
         got = self.old.get(s)
         if got is None:
-            got = []
-            for x in self.pattern.findall(" " + s):
-                ids = self.words.get(x)
-                if ids is None:
-                    ids = self.word(x)
-                    if len(x) <= LONGEST_CACHED:
-                        if len(self.words) >= GENERATION:
-                            self.words.clear()
-                        self.words[x] = ids
-                got.append(ids)
-            got = got[0] if len(got) == 1 else b"".join(got)
+            if s.isalpha():  # exactly the letters of the pattern: one pre-token
+                got = self.word(" " + s)
+            elif s[-1:] in self.marks and s[:-1].isalpha():  # a word and a mark: two
+                head = s[:-1]
+                got = (self.young.get(head) or self.piece(head)) + self.packed[self.whole[s[-1]]]
+            else:
+                got = b"".join([self.word(x) for x in self.pattern.findall(" " + s)])
         if len(s) <= LONGEST_CACHED:
             if len(self.young) >= GENERATION:
                 self.old, self.young = self.young, {}
@@ -223,13 +223,9 @@ class Bpe:
             else:
                 first, *pieces = part.split(" ")
                 out += [self.word(x) for x in self.pattern.findall(first)]
-                get = self.young.get
                 for s in pieces:
-                    got = get(s)
-                    if got is None:
-                        got = self.piece(s)
-                        get = self.young.get
-                    out.append(got)
+                    got = self.young.get(s)
+                    out.append(self.piece(s) if got is None else got)
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> str:
