@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def find(line: list[str], words: list[str], times: list[float]) -> tuple[float | None, float]:
@@ -53,22 +54,22 @@ def merged(old: list[str], new: list[str], known: set[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf("struct<t:double,share:double>")
+@F.pandas_udf(T.StructType([T.StructField("t", T.DoubleType()), T.StructField("share", T.DoubleType())]))
 def find_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([find(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], columns=["t", "share"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def find_start_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.Series:
     return pd.Series([find_start(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def find_unique_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.Series:
     return pd.Series([find_unique(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
