@@ -96,7 +96,9 @@ def settle(key, content, doc, place):
     dealt out by document. Returns posts sorted by string."""
     order = np.lexsort((place, doc, content, key))
     key, content, doc, place = key[order], content[order], doc[order], place[order]
-    again = np.concatenate([[False], (key[1:] == key[:-1]) & (content[1:] == content[:-1])]) if len(key) else np.zeros(0, bool)
+    again = np.concatenate([[False], (key[1:] == key[:-1]) & (content[1:] == content[:-1])])[: len(key)]
+    new = ~(again & np.concatenate([[False], (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])[: len(key)])  # else a repeated row
+    key, content, doc, place, again = key[new], content[new], doc[new], place[new], again[new]
     key = np.where(again, mixed(doc.astype(np.uint64)).view(np.int64), key)
     return pa.record_batch([pa.array(key), pa.array(content), pa.array(doc), pa.array(np.where(again, -1 - place, place))], ["key", "content", "doc", "place"])
 
@@ -116,7 +118,7 @@ MARKS = "key long, doc long, place long, kind int"  #: kind 1: repeats; 2: bytes
 
 
 def scan(batches):
-    last_key = last_content = None
+    last_key = last_content = last_place = None
     waiting = None  # the first post of the last key while the key has one content
 
     def out(key, doc, place, kind):
@@ -132,7 +134,8 @@ def scan(batches):
             continue
         new_key = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
         new = new_key | np.concatenate([[content[0] != last_content], content[1:] != content[:-1]])
-        repeats = ~new
+        once = np.concatenate([[(doc[0], place[0]) != last_place], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
+        repeats = ~new & once  # the same place again is a repeated row
         firsts = np.flatnonzero(new)
         several = np.zeros(len(key), bool)
         later = firsts[~new_key[firsts]]  # another content under a key that is known
@@ -152,7 +155,7 @@ def scan(batches):
             waiting = (int(key[k]), int(doc[k]), int(place[k]))
         pick = repeats | several
         yield out(key[pick], doc[pick], place[pick], np.where(repeats[pick], 1, 2).astype(np.int32))
-        last_key, last_content = key[-1], content[-1]
+        last_key, last_content, last_place = key[-1], content[-1], (doc[-1], place[-1])
 
 
 STRETCH = "key long, doc long, place long, size int, left int, bytes binary"
