@@ -64,7 +64,7 @@ def flow(supplies: dict[tuple[int, int], tuple[int, float]], old: int, new: int)
         while queue:
             u = queue.popleft()
             waiting.discard(u)
-            for e in out[u]:
+            for e in out.get(u, ()):
                 if room[e] and far[u] + cost[e] < far.get(to[e], float("inf")) - 1e-9:
                     far[to[e]], by[to[e]] = far[u] + cost[e], e
                     if to[e] not in waiting:
