@@ -181,6 +181,21 @@ def train(rows: DataFrame, head, rounds: int) -> Model:
     return model
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words down to a count that at most `most` words have, found from a small histogram: a
+    sort with a limit would send that many rows of each partition to the driver."""
+    bins = counts.groupBy(F.floor(F.log2("c") * 64).alias("bin")).agg(F.count("*").alias("words"), F.min("c").alias("least")).orderBy(F.desc("bin")).collect()
+    total, least = 0, None
+    for b in bins:
+        total += b["words"]
+        if total > most:
+            break
+        least = b["least"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()), key=lambda r: (-r[1], r[0]))
+
+
 def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", head_words: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """training: true for the rows to learn from. Returns key, n_tokens, n_known, train_tokens,
     base_score and score for each row, in log10; and whether the row was held out."""
@@ -189,8 +204,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     learn = rows.where("train").select("key", "text")
     counts = stored(learn.select("text").mapInArrow(count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head_words).collect()
-    head = sc.broadcast(Head([(r["word"], r["c"]) for r in top], n, v))
+    head = sc.broadcast(Head(most_frequent(counts, head_words), n, v))
     weights = sc.broadcast(train(learn, head, rounds).flat)
 
     def run(batches):
