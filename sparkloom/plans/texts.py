@@ -202,6 +202,8 @@ SELECT q, bin, round(score, 2) AS score FROM v QUALIFY row_number() OVER (PARTIT
     "near_repeats": "WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM documents), n AS (SELECT doc_id, doc_id - lag(doc_id) OVER w AS a, lead(doc_id) OVER w - doc_id AS b FROM d WHERE length(s) >= 8 WINDOW w AS (PARTITION BY s ORDER BY doc_id)) SELECT doc_id FROM n WHERE a <= 600 OR b <= 600",
     "closest_code": "WITH b AS (SELECT DISTINCT p_brand FROM part), c(k, code) AS (VALUES (0, 'Brand#1'), (1, 'Brand#12'), (2, 'Brand#22'), (3, 'Braid#3'), (4, 'Brand#44')), r AS (SELECT p_brand, code, levenshtein(p_brand, code) AS d, row_number() OVER (PARTITION BY p_brand ORDER BY levenshtein(p_brand, code), k) AS n FROM b, c) SELECT p_brand, CASE WHEN d <= greatest(1, floor(length(p_brand) / 4)) THEN code END AS code FROM r WHERE n = 1",
     "html_links": "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"[^>]*>', 1)) AS href FROM pages) SELECT page_id, count(DISTINCT href) AS links, min(href) AS first_href FROM l GROUP BY 1",
+    "html_title": r"""WITH t AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<h2[^>]*>(.*?)</h2>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM t""",
     "event_class": "SELECT CASE WHEN event_type IN ('view', 'click') THEN 'rest' WHEN event_type IN ('purchase', 'signup') THEN 'major' ELSE 'routine' END AS kind, count(*) AS n FROM events GROUP BY 1",
     "tiered_search": "WITH t AS (SELECT p_partkey, p_name, CASE WHEN list_contains(string_split(p_name, ' '), 'ri') THEN 0 WHEN len(list_filter(string_split(p_name, ' '), lambda w: starts_with(w, 'ri'))) > 0 THEN 1 WHEN contains(p_name, 'ri') THEN 2 END AS tier FROM part) SELECT * FROM t WHERE tier = (SELECT min(tier) FROM t)",
     "review_rank": "WITH c AS (SELECT doc_id, quality IS NULL AS open, least(60, 20 * len(regexp_extract_all(text, '[0-9]'))) + CASE WHEN toxic = 1 THEN 15 ELSE 0 END + CASE WHEN source = 'src0' THEN 10 ELSE 0 END + least(40, 15 * len(regexp_extract_all(text, '[#$%&*]'))) + CASE WHEN n_chars < 100 THEN 20 ELSE 0 END AS raw FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, open, CAST(least(100, greatest(25, raw)) AS BIGINT) AS score FROM c WHERE raw > 0 ORDER BY open DESC, score DESC, doc_id LIMIT 100",
