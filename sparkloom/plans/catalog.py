@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational, stats, texts, timeline
+from . import relational, stats, texts, timeline, transcripts
 
-_MODULES = (stats, relational, timeline, texts)
+_MODULES = (stats, relational, timeline, texts, transcripts)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

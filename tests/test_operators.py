@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import align, clock, text
-from sparkloom.operators import folds, intervals, joins, sequence, writes
+from sparkloom.operators import folds, intervals, joins, sequence, transcripts, writes
 from sparkloom.sources import files, html
 from sparkloom.streaming import counters
 
@@ -130,7 +130,8 @@ def test_files(spark, tmp_path):
 
 def test_stream_limit_and_upserts(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    e.repartitionByRange(3, "event_id").write.parquet(str(tmp_path / "events"))
+    for k in range(3):  # a stream takes files in the order of their times
+        e.where(F.floor(F.col("event_id") / 334) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
     s = counters.read_events(spark, str(tmp_path / "events"))
     counters.run_once(counters.under_limit(s, 1), "append", "limited", str(tmp_path / "c1"))
     want = e.select("user_id", F.to_date("ts")).distinct().count()
@@ -139,3 +140,46 @@ def test_stream_limit_and_upserts(spark, tmp_path):
     q.awaitTermination()
     last = sorted(p.name for p in (tmp_path / "state").iterdir())[-1]
     assert spark.read.parquet(str(tmp_path / "state" / last)).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_spoken_times():
+    assert transcripts.number_words("one hundred and two") == 102
+    assert transcripts.number_words("forty five") == 45 and transcripts.number_words("hello") is None
+    assert transcripts.said_times("now at one hundred and two hours and 45 minutes, or 102:45:40") == [(369900, "words"), (369940, "clock")]
+    assert transcripts.said_times("400 hours") == [] and transcripts.said_times(None) == []
+
+
+def test_blocks_and_readings():
+    assert transcripts.block_streams(["x", "note", "x", "crew", "crew", "x", "note", "end"], {"crew"}) == [0, 1, 1, 1, 0, 0, 1, 0]
+    assert transcripts.disagreements("we have a god go".split(), "we have a good go".split()) == [("god", "good")]
+    assert transcripts.same_text("Roger, that.", "roger that") and not transcripts.same_text("Roger", "Go")
+
+
+def test_correlation():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    s = rng.normal(size=200)
+    k, r = transcripts.correlation(s.tolist(), (3 * s[70:110] + 5).tolist())
+    assert k == 70 and r == pytest.approx(1.0)
+    assert transcripts.correlation([1.0], [1.0, 2.0]) == (-1, 0.0)
+
+
+def test_mp3_header():
+    frame = bytes([255, 0b11111011, 0b10010000, 0])  # MPEG 1 layer III, 128 kbit/s, 44.1 kHz
+    assert transcripts.mp3_seconds(frame + bytes(400), 160_000) == pytest.approx(10.0)
+    xing = frame + bytes(32) + b"Xing" + bytes([0, 0, 0, 1]) + (1000).to_bytes(4, "big")
+    assert transcripts.mp3_seconds(xing + bytes(200), 1) == pytest.approx(1000 * 1152 / 44100)
+    assert transcripts.mp3_seconds(b"ID3" + bytes(7) + frame + bytes(50), 16_010) == pytest.approx(1.0)
+    assert transcripts.mp3_seconds(b"no header", 9) is None
+
+
+def test_stitched_and_greedy(spark):
+    df = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", True), (1, 3, "c", False), (1, 4, "d", True)], "k long, n long, t string, s boolean")
+    assert [(r.line, r.t) for r in transcripts.stitched(df, ["k"], "n", F.col("s"), "t").orderBy("line").collect()] == [(0, "a"), (1, "b c"), (2, "d")]
+    c = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.95), (1, 2, 2, 0.5), (1, 3, 2, 0.7)], "k long, l long, r long, s double")
+    assert sorted((x.l, x.r) for x in transcripts.greedy_pairs(c, ["k"], "l", "r", "s", 0.6).collect()) == [(1, 1), (3, 2)]
+    w = spark.createDataFrame([(1, 10.0, 0.0), (1, 13.0, 5.0), (1, 15.0, 0.0)], "p long, y double, x double")
+    assert [r.line for r in transcripts.grouped_by_height(w, ["p"], "y", "x").orderBy("y").collect()] == [0, 0, 1]
+    b = spark.createDataFrame([(1, 0.0, "A", "we go"), (1, 5.0, "?", "on and"), (1, 9.0, "?", "on."), (1, 12.0, "?", "more")], "k long, g double, s string, t string")
+    assert [r.t for r in transcripts.joined_broken_rows(b, ["k"], "g", "s", "t").orderBy("g").collect()] == ["we go on and on.", "more"]
