@@ -29,9 +29,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / width))
     tie = [F.col("_p").asc() if not forward else F.col("_p").desc()]
     inside = Window.partitionBy(*keys, "_b").orderBy(*order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.max_by("_p", F.struct(F.col("_t") * sign, F.col("_p"))) if not forward else F.min_by("_p", F.struct(F.col("_t"), F.col("_p")))
-    ends = both.where("_p is not null").groupBy(*keys, "_b").agg(pick.alias("_end"))
-    buckets = both.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "left")
+    has = F.col("_p").isNotNull()  # rows without an order are passed over
+    pick = F.min_by("_p", F.when(has, F.struct("_t", "_p"))) if forward else F.max_by("_p", F.when(has, F.struct("_t", "_p")))
+    buckets = both.groupBy(*keys, "_b").agg(pick.alias("_end"))
     before = Window.partitionBy(*keys).orderBy((F.col("_b") * sign).asc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.withColumn("_carry", F.last("_end", True).over(before)).select(*keys, "_b", "_carry")
     seen = both.withColumn("_own", F.last("_p", True).over(inside)).where(F.col("_p").isNull())
