@@ -28,6 +28,33 @@ def increasing(values: list[float | None], strict: bool) -> list[int]:
     return out[::-1]
 
 
+def chain(points: list[tuple[float, float]]) -> list[int]:
+    """Places of a longest chain of points that rise in both coordinates; the first longest wins.
+    A tree of maxima over the second coordinate's ranks takes n log n steps."""
+    order = sorted(range(len(points)), key=lambda k: (points[k][0], -points[k][1], k))
+    ranks = {y: r for r, y in enumerate(sorted({p[1] for p in points}), 1)}
+    tree: list[tuple[int, int]] = [(0, 0)] * (len(ranks) + 1)  # length, minus the place
+    before: dict[int, int | None] = {}
+    best = (0, 0)
+    for k in order:
+        r, top = ranks[points[k][1]] - 1, (0, 0)
+        while r:
+            top = max(top, tree[r])
+            r -= r & -r
+        before[k] = -top[1] if top[0] else None
+        mine = (top[0] + 1, -k)
+        best = max(best, mine)
+        r = ranks[points[k][1]]
+        while r < len(tree):
+            tree[r] = max(tree[r], mine)
+            r += r & -r
+    out, k = [], -best[1] if best[0] else None
+    while k is not None:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
 def trimmed(spans: list[tuple[float, float, int]], sliver: float = 1.0) -> list[tuple[float, float, int]]:
     """Overlapping spans (start, end, anchors) made disjoint: the earlier one keeps the overlap,
     unless it has under one anchor a minute and the other at least twice as many."""

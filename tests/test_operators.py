@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import align, clock, text
-from sparkloom.operators import folds, intervals, joins, sequence, transcripts, writes
+from sparkloom.operators import fixes, folds, intervals, joins, sequence, transcripts, writes
 from sparkloom.sources import files, html
 from sparkloom.streaming import counters
 
@@ -183,3 +183,30 @@ def test_stitched_and_greedy(spark):
     assert [r.line for r in transcripts.grouped_by_height(w, ["p"], "y", "x").orderBy("y").collect()] == [0, 0, 1]
     b = spark.createDataFrame([(1, 0.0, "A", "we go"), (1, 5.0, "?", "on and"), (1, 9.0, "?", "on."), (1, 12.0, "?", "more")], "k long, g double, s string, t string")
     assert [r.t for r in transcripts.joined_broken_rows(b, ["k"], "g", "s", "t").orderBy("g").collect()] == ["we go on and on.", "more"]
+
+
+def test_chain():
+    import random
+
+    rng = random.Random(3)
+    assert folds.chain([]) == [] and folds.chain([(0, 5), (1, 6), (2, 1), (3, 7)]) == [0, 1, 3]
+    for _ in range(60):
+        p = [(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(1, 12))]
+        got = folds.chain(p)
+        assert all(p[a][0] < p[b][0] and p[a][1] < p[b][1] for a, b in zip(got, got[1:]))
+        best = [1] * len(p)
+        order = sorted(range(len(p)), key=lambda k: p[k])
+        for b in order:
+            best[b] = 1 + max((best[a] for a in order if p[a][0] < p[b][0] and p[a][1] < p[b][1]), default=0)
+        assert len(got) == max(best)
+
+
+def test_fixes(spark):
+    lines = spark.createDataFrame([(11, 1, 10.0, "A", "we hve a go"), (11, 2, 11.0, "B", "roger"), (11, 3, 50.0, "A", "noise"), (11, 4, 5000.0, "A", "end")], "mission int, line long, g double, s string, t string")
+    rows = [
+        (11, 1, 10.5, "replace", "hve", "have", None, None), (11, 2, 10.0, "set", "we", None, "CC", None), (11, 3, 50.0, "delete", None, None, None, None), (11, 4, 50.0, "ok", None, None, None, None),
+        (11, 5, 4000.0, "retime", "end", None, None, 4999.0), (11, 6, 10.0, "ok", "roger", None, None, None), (11, 7, 9.0, "replace", "absent", "x", None, None),
+    ]
+    fx = spark.createDataFrame(rows, "mission int, fix long, g double, verb string, from string, to string, speaker string, at double")
+    assert sorted(tuple(r)[1:] for r in fixes.applied(lines, fx).collect()) == [(1, 10.0, "CC", "we have a go", False, False), (2, 11.0, "B", "roger", True, False), (4, 4999.0, "A", "end", False, False)]
+    assert [r.fix for r in fixes.unmatched(lines, fx).collect()] == [7]
