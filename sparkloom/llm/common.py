@@ -23,6 +23,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where it is unset, a local master (tests) gets a
     folder of its own; a cluster is refused, as its executors could not see a local one."""
@@ -30,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     if at:
         return at.rstrip("/")
     sc = spark.sparkContext
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        at = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        return at
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    return _own[sc.applicationId]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
