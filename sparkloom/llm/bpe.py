@@ -274,4 +274,6 @@ def decode(df: DataFrame, spec: Spec, ids: str = "ids", to: str = "decoded") ->
         bpe = spec.ready()
         return pa.array([bpe.decode(x) for x in col.to_pylist()], pa.string())
 
-    return df.withColumn(to, back(F.col(ids)))
+    # Python functions applied directly to one another are run as one, and the inner one again for
+    # its own column; with an expression between them the ids are made once.
+    return df.withColumn(to, back(F.coalesce(F.col(ids), F.lit(b""))))
