@@ -122,7 +122,8 @@ def media_digest(text: Column) -> Column:
     def digest(col: pa.Array) -> pa.Array:
         return pa.array([hashlib.sha256(wav(payload_of(x or b""))).digest() for x in col.cast(pa.binary()).to_pylist()], pa.binary())
 
-    return digest(text)
+    # Never null, so that a join needs no filter on it, which would run the function again.
+    return F.coalesce(digest(text), F.lit(b""))
 
 
 def fit_dictionary(df: DataFrame, text: str) -> bytes:
