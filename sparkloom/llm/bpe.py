@@ -277,3 +277,18 @@ def decode(df: DataFrame, spec: Spec, ids: str = "ids", to: str = "decoded") ->
     # Python functions applied directly to one another are run as one, and the inner one again for
     # its own column; with an expression between them the ids are made once.
     return df.withColumn(to, back(F.coalesce(F.col(ids), F.lit(b""))))
+
+
+def round_trip(df: DataFrame, spec: Spec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() of its ids in one Python worker: two functions on one another would
+    hold two workers, each with the vocabulary, for every task."""
+    from .common import fresh
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(col: pa.Array) -> pa.Array:
+        bpe = spec.ready()
+        made = [bpe.encode(x) for x in col.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(made, pa.binary()), pa.array(map(bpe.decode, made), pa.string())], ["ids", "decoded"])
+
+    to = fresh(df, "_both")
+    return df.withColumn(to, both(F.col(text))).withColumn(ids, F.col(f"{to}.ids")).withColumn(decoded, F.col(f"{to}.decoded")).drop(to)

@@ -45,8 +45,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.Spec(spark, tokenizer_path())
-    coded = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), spec).drop("text")
-    return bpe.decode(coded, spec).select(
+    return bpe.round_trip(load(spark, sf_dir, "documents").select("doc_id", "text"), spec).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         hex_sha(F.col("ids")).alias("ids_sha256"),
