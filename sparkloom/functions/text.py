@@ -19,9 +19,10 @@ def squeezed(text: Column) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by blanks."""
-    last = F.size(words) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n words, joined by blanks. Shifted copies are zipped: an index inside a lambda would
+    have the words made anew for each place."""
+    runs = F.greatest(F.size(words) - n + 1, F.lit(0))
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), [F.slice(words, k + 1, runs) for k in range(n)])
 
 
 # The entities that cleaning resolves.
