@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stored
@@ -368,13 +368,18 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that whose key names it, of rows with equal keys any one. Rows
-    without words are kept."""
-    names = stored(link(docs, key, text), "linked").where(F.col(key).eqNullSafe(F.col("component_id")))
-    name = fresh(docs, "_kept")
-    chosen = stored(names.groupBy(F.col(key).alias(name)).agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(chosen.select(name).hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(name)), "left_semi")
-    if chosen.where("n > 1").isEmpty():
-        return rows
-    place = fresh(docs, "_place")
-    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(place) == 1).drop(place)
+    """One row of each component: one with its least key. Rows are told apart by key and text
+    together, so missing and repeated keys merge no unrelated texts; of rows alike in both any one
+    stays. Rows without words are all kept."""
+    name, found, times = fresh(docs, "_row"), fresh(docs, "_kept"), fresh(docs, "_times")
+    words = F.coalesce(F.col(text).rlike(r"[^ \t\n\x0b\f\r]"), F.lit(False))
+    # Missing keys sort last: they name a component that has no other.
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("text"))
+    rows = docs.where(words).withColumn(name, own)
+    names = link(rows, name, text).where(F.col(name) == F.col("component_id"))
+    chosen = stored(names.groupBy(F.col(name).alias(found)).agg(F.count("*").alias(times)), "kept")
+    kept = rows.join(chosen.hint("shuffle_hash"), F.col(name) == F.col(found))
+    out = kept.where(F.col(times) == 1)
+    if not chosen.where(F.col(times) > 1).isEmpty():
+        out = out.unionAll(kept.where(F.col(times) > 1).dropDuplicates([name]))
+    return out.select(docs.columns).unionAll(docs.where(~words))

@@ -384,6 +384,18 @@ def test_op10(spark, sf, rows, monkeypatch):
     check(spark, sf, "op10_jaccard", rows, lambda r: want[r[0]], 3)
 
 
+def test_keep_one_without_unique_keys(spark):
+    """Missing and repeated keys: no text is lost but for near copies, of which one stays."""
+    line = lambda k, *more: " ".join([*(f"w{k}x{j}" for j in range(40)), *more])
+    a, b, c, d, e, f, g = map(line, range(7))
+    rows = [(None, a), (None, b), (None, line(1, "more")), (7, c), (7, d), (7, d), (3, e), (9, line(4, "more")), (9, f), (None, line(2, "more")), (None, g), (None, g), (None, None), (None, ""), (5, " "), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1))
+    have = Counter((r[0], r[1]) for r in jaccard_join.keep_one(docs).select("doc_id", "text").collect())
+    near = [k for k in have if k in ((None, b), (None, line(1, "more")))]
+    assert len(near) == 1 and have.pop(near[0]) == 1
+    assert have == Counter([(None, a), (7, c), (7, d), (3, e), (9, f), (None, g), (None, None), (None, ""), (5, " "), (5, " ")])
+
+
 def test_long_runs_and_blocks(spark):
     """Shingles of many classes are chained, and components cut into blocks, in local functions."""
     rng = np.random.default_rng(9)
