@@ -1,9 +1,11 @@
 """Resharding by minimum-cost flow: from old shards to new ones, moving the fewest bytes.
 
-Rows of an old shard are put into blocks by size class. Sources of the flow are the (old shard, size
+Rows of an old shard are put into blocks by size class: powers of two, where the one that an old
+shard's surplus ends in is parted at that very size. Sources of the flow are the (old shard, size
 class) pairs with their row counts, sinks are the new shards with their capacities in rows; a row
-that stays costs nothing, one that moves costs the mean bytes of its class. The solution is exact
-for these classes. Blocks then follow the flow: most go whole, a few are cut at a row number.
+that stays costs nothing, one that moves costs the mean bytes of its class. As only a class of equal
+sizes is ever cut, the moved bytes are the fewest for the rows' own sizes. Blocks then follow the
+flow: most go whole, a few are cut at a row number.
 
 The law is `rows`: the row counts of the new shards differ by at most one. Only ids and sizes are
 shuffled; the driver holds one line for each block of about `block_rows` rows.
@@ -84,8 +86,6 @@ def flow(supplies: dict[tuple[int, int], tuple[int, float]], old: int, new: int)
     result = {}
     for key in sorted(supplies):
         parts = {}
-        if key in stay and room[stay[key] ^ 1]:
-            parts[key[0]] = room[stay[key] ^ 1]
         n = room[move[key] ^ 1]
         while n:
             j, left = taken.popleft()
@@ -94,6 +94,8 @@ def flow(supplies: dict[tuple[int, int], tuple[int, float]], old: int, new: int)
             n -= part
             if left > part:
                 taken.appendleft((j, left - part))
+        if key in stay and room[stay[key] ^ 1]:  # last, as row numbers rise with size
+            parts[key[0]] = parts.get(key[0], 0) + room[stay[key] ^ 1]
         result[key] = parts
     return result
 
@@ -124,12 +126,37 @@ def cuts(blocks: list[tuple[int, int, int, int, int]], new: int) -> list[tuple[i
     return out
 
 
+def surplus_ends(rows: DataFrame, new: int) -> list[tuple[int, int]]:
+    """Old shard and size of the last row that it gives away, smallest first, if it keeps no extra row."""
+    spark, sums = rows.sparkSession, {}
+    for r in rows.groupBy("old_shard", "_class").count().collect():
+        sums.setdefault(r["old_shard"], []).append((r["_class"], r["count"]))
+    base = sum(n for classes in sums.values() for _, n in classes) // new
+    wanted = []
+    for i, classes in sums.items():
+        left = sum(n for _, n in classes) - base
+        if i < new and left > 0:
+            for c, n in sorted(classes):
+                if left <= n:
+                    wanted.append((i, c, left))
+                    break
+                left -= n
+    if not wanted:
+        return []
+    at = spark.createDataFrame(wanted, "old_shard int, _class int, _rank long")
+    sizes = rows.join(F.broadcast(at), ["old_shard", "_class"]).groupBy("old_shard", "_rank", "size").count()
+    sizes = sizes.withColumn("upto", F.sum("count").over(Window.partitionBy("old_shard").orderBy("size")))
+    return [(r["old_shard"], r["size"]) for r in sizes.where((F.col("upto") >= F.col("_rank")) & (F.col("upto") - F.col("count") < F.col("_rank"))).collect()]
+
+
 def reshard(df: DataFrame, old_shard: Column, size: Column, key: str = "doc_id", text: str = "text", new: int = NEW_SHARDS, block_rows: int = BLOCK_ROWS, keep: dict[str, Column] | None = None) -> DataFrame:
     """Returns key, size, old_shard, shard, slot and the columns of `keep` for each row."""
     spark: SparkSession = df.sparkSession
     parts = max(1, -(-df.count() // (8 * block_rows)))
     rows = df.select(F.col(key), size.alias("size"), old_shard.cast("int").alias("old_shard"), F.xxhash64(F.col(key), F.col(text)).alias("_tie"), *((c.alias(n)) for n, c in (keep or {}).items()))
     rows = rows.withColumn("_class", F.floor(F.log2(F.col("size"))).cast("int")).withColumn("_part", F.pmod(F.col("_tie"), F.lit(parts)).cast("int"))
+    ends = spark.createDataFrame(surplus_ends(rows, new), "old_shard int, _end long")
+    rows = rows.join(F.broadcast(ends), "old_shard", "left").withColumn("_class", F.col("_class") * 3 + F.coalesce(F.signum(F.col("size") - F.col("_end")).cast("int") + 1, F.lit(0)))
     block = ["old_shard", "_class", "_part"]
     got = rows.groupBy(*block).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
     plan = spark.createDataFrame(cuts([tuple(r) for r in got], new), "old_shard int, _class int, _part int, _first long, _last long, shard int, _slot long")

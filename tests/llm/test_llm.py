@@ -334,6 +334,26 @@ def test_flow_is_cheapest():
         assert cost == pytest.approx(best)
 
 
+def test_moved_bytes_are_fewest(spark):
+    """Row sizes of one power of two: against the best choice of shards that take one more, each
+    old shard moving its smallest rows."""
+    import itertools
+
+    rng = random.Random(12)
+    for block_rows in (1_000_000, 1):
+        rows = [(k, rng.choice((0, 0, 1, 2, 3)), rng.randrange(64, 128)) for k in range(61)]
+        df = spark.createDataFrame(rows, "doc_id long, shard0 int, bytes long").withColumn("text", F.lit(""))
+        have = resharding.reshard(df, F.col("shard0"), F.col("bytes"), new=5, block_rows=block_rows).collect()
+        assert sorted((r.doc_id, r.old_shard, r["size"]) for r in have) == sorted(rows)
+        n = Counter(r.shard for r in have)
+        assert max(n.values()) - min(n.values()) <= 1
+        assert all(sorted(r.slot for r in have if r.shard == k) == list(range(n[k])) for k in n)
+        sizes = {i: sorted(z for _, o, z in rows if o == i) for i in range(5)}
+        base, extra = divmod(len(rows), 5)
+        best = min(sum(sum(v[: max(0, len(v) - base - (i in more))]) for i, v in sizes.items()) for more in itertools.combinations(range(5), extra))
+        assert sum(r["size"] for r in have if r.shard != r.old_shard) == best
+
+
 def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     docs = spark.createDataFrame([(k, "x" * k, k % 2) for k in range(40)], "doc_id long, text string, at int")
     out = resharding.reshard(docs, F.col("at"), resharding.size_of(F.col("text")), new=3)
