@@ -152,14 +152,12 @@ def phase_fold(spark, sf_dir):
 
 
 def align_share(spark, sf_dir):
-    """Benchmark items against the documents that share a rare trigram: share of the item's words
-    that are found in order, and where they begin."""
+    """Benchmark items against all documents that share three trigrams, however common these are:
+    share of the item's words that are found in order, and where they begin."""
     b = load(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("line"))
     d = load(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
     g = lambda df, k, w: df.select(k, F.explode(F.array_distinct(text.grams(F.col(w), 3))).alias("gram"))
-    rare = g(d, "doc_id", "words").join(g(b, "item_id", "line").select("gram").distinct(), "gram", "left_semi")
-    few = rare.groupBy("gram").agg(F.count("*").alias("n")).where("n <= 20")
-    pairs = g(b, "item_id", "line").join(rare.join(few, "gram"), "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
+    pairs = g(d, "doc_id", "words").join(g(b, "item_id", "line"), "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
     times = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda k: k.cast("double"))
     rows = pairs.join(b, "item_id").join(d, "doc_id")
     return rows.withColumn("found", align.find_udf("line", "words", times)).select("item_id", "doc_id", "shared", "found.t", F.round("found.share", 6).alias("share"))

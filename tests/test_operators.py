@@ -210,3 +210,15 @@ def test_fixes(spark):
     fx = spark.createDataFrame(rows, "mission int, fix long, g double, verb string, from string, to string, speaker string, at double")
     assert sorted(tuple(r)[1:] for r in fixes.applied(lines, fx).collect()) == [(1, 10.0, "CC", "we have a go", False, False), (2, 11.0, "B", "roger", True, False), (4, 4999.0, "A", "end", False, False)]
     assert [r.fix for r in fixes.unmatched(lines, fx).collect()] == [7]
+
+
+def test_align_share_of_a_hot_passage(spark, tmp_path):
+    """A passage that 25 documents hold aligns with each of them."""
+    from sparkloom.plans import texts
+
+    passage = "one two three four five six"
+    docs = [(k, f"start{k} {passage} end{k}") for k in range(25)] + [(99, "one two three four seven eight")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    have = sorted(map(tuple, texts.align_share(spark, str(tmp_path)).collect()))
+    assert have == [(1, k, 4, 1.0, 1.0) for k in range(25)]
