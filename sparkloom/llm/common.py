@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +49,66 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes stored tables. Only what nothing unfinished reads may be dropped: call it once all that
+    is derived from them is stored itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame, size: int, a_task: int, *columns: str) -> DataFrame:
+    """df dealt out by columns: to the session's number of tasks, or to more where these would take
+    over `a_task` of `size` each."""
+    parts = -(-size // a_task)
+    few = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*columns) if few else df.repartition(parts, *columns)
+
+
+def least_reaching(df: DataFrame, column: str, most: int) -> int:
+    """The least value of a column of counts that at most `most` rows reach, from a small histogram.
+    A sort with a limit would send that many rows of each partition to the driver."""
+    c = F.col(column)
+    bins = df.groupBy(F.floor(F.log2(c) * 64).alias("bin")).agg(F.count("*").alias("rows"), F.min(c).alias("least"), F.max(c).alias("most")).orderBy(F.desc("bin")).collect()
+    total, least = 0, 1 + max((b["most"] for b in bins), default=0)
+    for b in bins:
+        total += b["rows"]
+        if total > most:
+            break
+        least = b["least"]
+    return least
+
+
+SLICES, SLICED = 16, "slice int, salt int, sums binary"
+
+
+def sliced(total: np.ndarray) -> pa.RecordBatch:
+    """A task's table of whole numbers, as rows to be added up by `sliced_sum`."""
+    parts = np.array_split(total.ravel().astype(np.int64), SLICES)
+    salt = TaskContext.get().partitionId() % 8 if TaskContext.get() else 0
+    return pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "salt", "sums"])
+
+
+def _added(batches):
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, raw in zip(b.column("slice").to_pylist(), b.column("sums").to_pylist()):
+            x = np.frombuffer(raw, np.int64)
+            total[k] = total[k] + x if k in total else x
+    if total:
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "salt", "sums"])
+
+
+def sliced_sum(tables: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' tables, all of one size, by slices and in two levels. Whole numbers have
+    one sum in any order, so it does not depend on how rows are split over tasks."""
+    got = tables.repartition("slice", "salt").mapInArrow(_added, SLICED).repartition("slice").mapInArrow(_added, SLICED).collect()
+    return np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(got, key=lambda r: r["slice"])]) if got else np.zeros(size, np.int64)
 
 
 def fresh(df: DataFrame, base: str) -> str:

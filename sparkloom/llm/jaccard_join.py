@@ -5,35 +5,39 @@ with a 128-bit signature. All shingles have one global order, rare ones first. T
 0.8 or more that both show their first n - ceil(0.8 n) + l shingles have at least l of these in
 common, for any l. Each document takes its own l: the one with the least estimated cost of reading
 its prefix and of verifying the candidates that l matches let through; a pair needs the lesser l of
-the two. Long texts and texts with common shingles thus need several matches.
+the two. Long texts and texts with common shingles thus need several matches. Frequencies come from
+a count of all rows in a table of fixed size; they set the order and l, and have no effect on results.
 
 Prefix shingles are dealt out once. Where a shingle has few classes its pairs of fitting sizes are
-counted. Where it has many, neighbours by size are chained instead, so that rows stay linear. The
-candidate graph falls into components, whose sets meet in tasks of bounded size; there all pairs
-that no link connects yet are decided exactly with an inverted index. A component too large for one
-task is cut into blocks, and each pair of blocks is a task.
+counted. Where it has many, neighbours by size are chained instead, so that rows stay linear, and a
+run is read row by row. The candidate graph falls into components, whose sets meet in tasks of
+bounded size and are verified exactly (`link_sets`). A component too large for one task is first held
+against one of its sets, a block in each task; only sets that this does not link meet all blocks.
 
 Results: null, empty and blank texts have an empty set and are linked with nothing. Rows with equal
-sets are one class, repeated rows included. The order only affects speed, so the sample that its
-frequencies come from has no effect on results.
+sets are one class, repeated rows included. Keys may repeat or be missing: rows are told apart by key
+and text, and a missing key counts as the largest, so a component has a null id only if all its keys
+are null. Ties do not occur; no rows give no rows. Other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import SLICED, dealt, drop_stored, fresh, sliced, sliced_sum, stored
 from .components import components
 
 SHINGLE = 5
-SAMPLE_ROWS, FREQUENT_LEAST, FREQUENT_KEEP = 20_000, 4, 200_000
+SKETCH_BITS = 20  #: of the table that shingles are counted in
 RUN = 64  #: classes of one shingle up to which all pairs are counted
 MOST_L = 16
 BLOCK_SHINGLES = 3_000_000  #: of the sets that one verifying task holds at a time, per block
 STEP_BYTES = 1 << 20
+POSTS_A_TASK = 1_000_000
 
 LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _random = np.random.default_rng(20240607)
@@ -103,16 +107,15 @@ def signatures(h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
 
 
 def pieces(batches, columns: list[str]):
-    """Rows some texts at a time, by bytes."""
+    """Rows some texts at a time, by bytes. The last column has the texts."""
     for b in batches:
         cols = [b.column(c) for c in columns]
-        raws = cols[-1].cast(pa.binary()).to_pylist()
-        start, held = 0, 0
-        for k, r in enumerate(raws):
-            held += len(r or b"")
-            if held >= STEP_BYTES or k == len(raws) - 1:
-                yield [c.slice(start, k + 1 - start) for c in cols[:-1]], raws[start : k + 1]
-                start, held = k + 1, 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(cols[-1]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, begin = 0, 0
+        while start < b.num_rows:
+            stop = min(b.num_rows, int(np.searchsorted(ends, begin + STEP_BYTES)) + 1)
+            yield [c.slice(start, stop - start) for c in cols[:-1]], cols[-1].slice(start, stop - start).cast(pa.binary()).to_pylist()
+            start, begin = stop, int(ends[stop - 1])
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -129,27 +132,24 @@ def choose_l(n: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.minimum(l[cost.argmin(1)], needed(n)))
 
 
-def features(docs: DataFrame, frequent, key: str, text: str) -> DataFrame:
-    """key, n, sig, l and the prefix; the prefix is null for sets that the task has seen."""
+def features(docs: DataFrame, frequent) -> DataFrame:
+    """docs: key, text. Returns key, n, sig, l and the prefix; the prefix is null for sets that the
+    task has seen."""
 
     def run(batches):
-        common, often = frequent.value
+        often = frequent.value
         seen: set[bytes] = set()
-        for (keys,), raws in pieces(batches, [key, text]):
+        for (keys,), raws in pieces(batches, ["key", "text"]):
             rows, h = shingles(raws)
             n = np.bincount(rows, minlength=len(raws))
             sigs = signatures(h, n)
-            if len(common):
-                k = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                f = np.where(common[k] == h, often[k], 0)
-            else:
-                f = np.zeros(len(h), np.int64)
+            f = often[place(h)]
             order = np.argsort((rows << 24) | np.minimum(f, (1 << 24) - 1), kind="stable")
             h, f = h[order], f[order]
             begin = np.cumsum(n) - n
             one = n - needed(n) + 1
-            place = np.arange(len(h)) - begin[rows]
-            l = choose_l(n, sums(np.where(place < one[rows], f, 0), n))
+            at = np.arange(len(h)) - begin[rows]
+            l = choose_l(n, sums(np.where(at < one[rows], f, 0), n))
             size = np.where(n > 0, n - needed(n) + l, 0)
             prefixes = []
             for k, s in enumerate(sigs):
@@ -158,28 +158,30 @@ def features(docs: DataFrame, frequent, key: str, text: str) -> DataFrame:
                 else:
                     seen.add(s)
                     prefixes.append(h[begin[k] : begin[k] + size[k]].view(np.int64))
-            yield pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(l, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], [key, "n", "sig", "l", "prefix"])
-            if len(seen) > 300_000:
+            yield pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(l, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "n", "sig", "l", "prefix"])
+            if len(seen) > 100_000:
                 seen = set()
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, sig binary, l int, prefix array<long>")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.select("key", "text").mapInArrow(run, f"key {kind}, n long, sig binary, l int, prefix array<long>")
 
 
-def frequencies(docs: DataFrame, key: str, text: str, sample_rows: int):
-    """Shingles that are frequent in a sample of about sample_rows rows, and how frequent; at most
-    FREQUENT_KEEP of them. They only set the order."""
+def place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """How often shingles of each place of the table occur in all rows, less what a place has on
+    average: rare shingles count as zero, however many there are."""
 
     def run(batches):
-        for _, raws in pieces(batches, [text]):
-            yield pa.record_batch([pa.array(shingles(raws)[1].view(np.int64))], ["h"])
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for _, raws in pieces(batches, ["text"]):
+            total += np.bincount(place(shingles(raws)[1]), minlength=len(total))
+        yield sliced(total)
 
-    n, grain = docs.count(), 1 << 30
-    part = docs if n <= sample_rows else docs.where(F.pmod(F.xxhash64(key), F.lit(grain)) < int(grain * sample_rows / n))
-    got = part.select(text).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_LEAST).orderBy(F.desc("count"), "h").limit(FREQUENT_KEEP).toArrow()
-    h, c = got["h"].to_numpy().view(np.uint64), got["count"].to_numpy()
-    order = np.argsort(h)
-    return docs.sparkSession.sparkContext.broadcast((h[order], c[order]))
+    total = sliced_sum(docs.select("text").mapInArrow(run, SLICED), 1 << SKETCH_BITS)
+    return np.clip(total - int(np.ceil(total.mean())), 0, (1 << 31) - 1).astype(np.int32)
 
 
 EDGES = "a binary, b binary, least int, kind int"
@@ -187,184 +189,265 @@ EDGES = "a binary, b binary, least int, kind int"
 
 def scan(batches):
     """Sorted prefix rows to candidate pairs (kind 0), chain edges of long runs (1) and, for each
-    class in a long run, a row that says so (2)."""
-    held = None
-
-    def close(tok, sig, n, l):
-        a, b, least, kind = [], [], [], []
-        starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-        ends = np.concatenate([starts[1:], [len(tok)]])
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            if e - s < 2:
-                continue
-            own, size, want = [sig[s]], [n[s]], [l[s]]
-            for k in range(s + 1, e):
-                if sig[k] != own[-1]:
-                    own.append(sig[k])
-                    size.append(n[k])
-                    want.append(l[k])
-            if len(own) <= RUN:
-                for i in range(len(own)):
-                    j = i + 1
-                    while j < len(own) and 4 * size[j] <= 5 * size[i]:
-                        x, y = (own[i], own[j]) if own[i] < own[j] else (own[j], own[i])
-                        a.append(x)
-                        b.append(y)
-                        least.append(min(want[i], want[j]))
-                        kind.append(0)
-                        j += 1
-            else:
-                for i in range(len(own)):
-                    a.append(own[i])
-                    b.append(own[i])
-                    least.append(0)
-                    kind.append(2)
-                    if i + 1 < len(own) and 4 * size[i + 1] <= 5 * size[i]:
-                        a.append(own[i])
-                        b.append(own[i + 1])
-                        least.append(0)
-                        kind.append(1)
-        return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(least, pa.int32()), pa.array(kind, pa.int32())], ["a", "b", "least", "kind"])
-
-    def shared(t: pa.Table) -> pa.Table:
-        """Rows whose shingle has another row beside it."""
-        tok = t["token"].to_numpy()
-        same = tok[1:] == tok[:-1]
-        return t.filter(pa.array(np.concatenate([[False], same]) | np.concatenate([same, [False]]))) if len(tok) else t
+    class in a long run, a row that says so (2). Of a run, at most RUN classes are held."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    token, own, long = None, [], False  # of the run that is open; own: sig, n, l of its classes
 
-    def send(t: pa.Table):
-        t = shared(t)
-        if len(t):
-            return close(t["token"].to_numpy(), t["sig"].to_pylist(), t["n"].to_pylist(), t["l"].to_pylist())
+    def edge(a, b, least, kind):
+        for col, x in zip(out, (a, b, least, kind)):
+            col.append(x)
+
+    def chain(last, row):
+        if last is not None and 4 * row[1] <= 5 * last[1]:
+            edge(last[0], row[0], 0, 1)
+        edge(row[0], row[0], 0, 2)
+
+    def close():
+        for i, (x, n, l) in enumerate(() if long else own):
+            for y, m, k in own[i + 1 :]:
+                if 4 * m > 5 * n:
+                    break
+                edge(min(x, y), max(x, y), min(l, k), 0)
 
     for b in batches:
-        t = pa.Table.from_batches([b])
-        if held is not None:
-            t = pa.concat_tables([held, t])
-        tok = t["token"].to_numpy()
-        cut = int(np.searchsorted(tok, tok[-1])) if len(tok) else 0
-        out = send(t.slice(0, cut)) if cut else None
-        held = t.slice(cut)
-        if out is not None:
-            yield out
-    if held is not None and len(held):
-        out = send(held)
-        if out is not None:
-            yield out
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """Edges a, b of the candidate graph between signatures."""
-    posts = rows.where("prefix is not null").select(F.explode("prefix").alias("token"), "sig", F.col("n").cast("int").alias("n"), "l")
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = stored(posts.repartition(n, "token").sortWithinPartitions("token", "n", "sig").mapInArrow(scan, EDGES), "edges")
+        tok = b.column("token").to_numpy()
+        same = tok[1:] == tok[:-1]
+        edges = [len(tok) == 0 or tok[0] == token], [True]  # the last row's run stays open
+        keep = np.flatnonzero(np.concatenate([edges[0], same]) | np.concatenate([same, edges[1]])[: len(tok)]) if len(tok) else []
+        part = b.take(pa.array(keep, pa.int64()))
+        for t, *row in zip(*(part.column(c).to_pylist() for c in ("token", "sig", "n", "l"))):
+            if t != token:
+                close()
+                token, own, long = t, [], False
+            elif row[0] == own[-1][0]:
+                continue
+            if long:
+                chain(own[-1], row)
+                own = [row]
+                continue
+            own.append(row)
+            if len(own) > RUN:
+                for last, x in zip([None, *own], own):
+                    chain(last, x)
+                long, own = True, [row]
+        if len(out[0]) > 10_000:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int32()))], ["a", "b", "least", "kind"])
+            out = ([], [], [], [])
+    close()
+    yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int32(), pa.int32()))], ["a", "b", "least", "kind"])
+
+
+def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges a, b of the candidate graph between signatures, and the stored table they come from."""
+    shown = rows.where("prefix is not null")
+    posts = shown.select(F.explode("prefix").alias("token"), "sig", F.col("n").cast("int").alias("n"), "l")
+    many = shown.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    edges = stored(dealt(posts, many, POSTS_A_TASK, "token").sortWithinPartitions("token", "n", "sig").mapInArrow(scan, EDGES), "edges")
     pairs = edges.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("met"), F.first("least").alias("least"))
     hot = edges.where("kind = 2").groupBy(F.col("a").alias("h")).agg(F.count("*").alias("hot"))
     # Shingles of long runs are not counted, so a pair may have as many more matches as both have of them.
     enough = pairs.where("met >= least").select("a", "b")
     some = pairs.where("met < least").join(hot.withColumnsRenamed({"h": "a", "hot": "ha"}), "a").join(hot.withColumnsRenamed({"h": "b", "hot": "hb"}), "b").where(F.col("met") + F.least("ha", "hb") >= F.col("least")).select("a", "b")
-    return enough.unionAll(some).unionAll(edges.where("kind = 1").select("a", "b"))
+    return enough.unionAll(some).unionAll(edges.where("kind = 1").select("a", "b")), edges
 
 
-def link_sets(sigs: list[bytes], sets: list[np.ndarray]):
-    """Star links of all components among the sets, decided exactly.
+class Groups:
+    """Union-find."""
 
-    A pivot's overlaps with all sets are counted at once from the inverted index. Members of the
-    component that is largest when a pivot is chosen need not be pivots: a link with any other set
-    shows when that one is."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(flat, kind="stable")
-    flat_s, owner_s = flat[order], owner[order]
-    tokens, begin = np.unique(flat_s, return_index=True)
-    end = np.append(begin[1:], len(flat_s))
-    group = np.arange(m)
-    waiting = np.ones(m, bool)
-    middle = int(np.argsort(size)[m // 2])
-    x = middle
-    while True:
-        waiting[x] = False
-        k = np.searchsorted(tokens, sets[x])
-        b, n = begin[k], end[k] - begin[k]
-        at = np.repeat(b - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.bincount(owner_s[at], minlength=m)
-        linked = 100 * both >= 80 * (size + size[x] - both)
-        linked[x] = True
-        groups = np.unique(group[linked])
-        group[np.isin(group, groups)] = groups[0]
-        largest = np.bincount(group, minlength=m).argmax()
-        left = np.flatnonzero(waiting & (group != largest))
-        if not len(left):
-            break
-        x = int(left[0])
-    return [(sigs[int(np.flatnonzero(group == g)[0])], sigs[k]) for k, g in enumerate(group) if int(g) != k or np.count_nonzero(group == g) > 1]
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-def verify(batches):
-    name, sigs, sets, out = None, [], [], []
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def link_sets(sigs: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Links that connect just those sets that links among all of them connect.
+
+    Linked sets share one of their first n - ceil(0.8 n) + 1 shingles in the order of rarity here, so
+    only sets that meet in an index of these are compared. First, leaders: a set that no leader links
+    yet becomes one, and is compared with all that it meets. Then the rest: within each run of the
+    index, sets outside its largest group are compared with those of other groups. Copies of one text
+    thus cost one comparison each, and unrelated sets none."""
+    size = np.array([len(s) for s in sets])
+    names, code = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(code)
+    ends = np.cumsum(size)
+    first = size - needed(size) + 1
+    prefixes = []
+    for e, n, k in zip(ends.tolist(), size.tolist(), first.tolist()):
+        own = code[e - n : e]
+        prefixes.append(own[np.lexsort((own, often[own]))[:k]])
+    token, owner = np.concatenate(prefixes), np.repeat(np.arange(len(sets)), first)
+    order = np.lexsort((owner, size[owner], token))
+    token, owner = token[order], owner[order]
+    begin = np.searchsorted(token, np.arange(len(names) + 1))
+    groups, links = Groups(len(sets)), []
+
+    def compare(x: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that are linked with x."""
+        others = others[(4 * size[others] <= 5 * size[x]) & (4 * size[x] <= 5 * size[others])]
+        if not len(others):
+            return others
+        flat = np.concatenate([code[ends[y] - size[y] : ends[y]] for y in others])
+        own = code[ends[x] - size[x] : ends[x]]  # ascending, as the sets are
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = sums((own[at] == flat).astype(np.int64), size[others])
+        return others[100 * both >= 80 * (size[others] + size[x] - both)]
+
+    def link(x: int, others: np.ndarray) -> None:
+        for y in compare(x, others).tolist():
+            if groups.join(x, y):
+                links.append((sigs[x], sigs[y]))
+
+    led = np.zeros(len(sets), bool)
+    for x in np.argsort(size, kind="stable").tolist():
+        if led[x]:
+            continue
+        met = np.unique(np.concatenate([owner[begin[t] : begin[t + 1]] for t in prefixes[x]]))
+        met = met[met != x]
+        led[x] = True
+        near = compare(x, met)
+        led[near] = True
+        for y in near.tolist():
+            if groups.join(x, y):
+                links.append((sigs[x], sigs[y]))
+    tried: set[tuple[int, int]] = set()
+    for s, e in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        run = owner[s:e]
+        group = np.array([groups.root(x) for x in run.tolist()])
+        if e - s < 2 or (group == group[0]).all():
+            continue
+        values, where, many = np.unique(group, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(where != many.argmax()).tolist():
+            x = int(run[k])
+            others = np.array([y for y in run.tolist() if y != x and groups.root(y) != groups.root(x) and (min(x, y), max(x, y)) not in tried], np.int64)
+            tried.update((min(x, y), max(x, y)) for y in others.tolist())
+            link(x, others)
+    return links
+
+
+def packed(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], ["a", "b"])
 
-    def close():
-        if len(sigs) > 1:
-            out.extend((a, b) for a, b in link_sets(sigs, sets) if a != b)
 
-    def flush():
-        r = pa.record_batch([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
-        out.clear()
-        return r
+def verify(batches):
+    """Links within each root and pair of blocks i, j; rows come sorted by these and by signature."""
+    name, sigs, sets = None, [], []
 
     for b in batches:
         for root, i, j, sig, raw in zip(*(b.column(c).to_pylist() for c in ("root", "i", "j", "sig", "set"))):
             if (root, i, j) != name:
-                close()
+                if len(sigs) > 1:
+                    yield packed(link_sets(sigs, sets))
                 name, sigs, sets = (root, i, j), [], []
-            if sigs and sig == sigs[-1]:
-                continue
-            sigs.append(sig)
-            sets.append(np.frombuffer(raw, np.uint64))
-        yield flush()
-    close()
-    yield flush()
+            if not sigs or sig != sigs[-1]:
+                sigs.append(sig)
+                sets.append(np.frombuffer(raw, np.uint64))
+    if len(sigs) > 1:
+        yield packed(link_sets(sigs, sets))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+def star(batches):
+    """Links of each root's pivot, which comes first in each of its blocks."""
+    name, pivot, own = None, b"", np.zeros(0, np.uint64)
+    for b in batches:
+        out = []
+        for root, i, first, sig, raw in zip(*(b.column(c).to_pylist() for c in ("root", "i", "first", "sig", "set"))):
+            x = np.frombuffer(raw, np.uint64)
+            if first:
+                name, pivot, own = (root, i), sig, x
+            elif name == (root, i) and sig != pivot:
+                both = len(np.intersect1d(own, x, True))
+                if 100 * both >= 80 * (len(own) + len(x) - both):
+                    out.append((pivot, sig))
+        yield packed(out)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: key, sig, root, blocks. Adds the set itself, as packed 64-bit hashes."""
 
     def run(batches):
-        for (sig, root, blocks), raws in pieces(batches, ["sig", "root", "blocks", text]):
+        for (sig, root, blocks), raws in pieces(batches, ["sig", "root", "blocks", "text"]):
             rows, h = shingles(raws)
             n = np.bincount(rows, minlength=len(raws))
             ends = np.cumsum(n)
             sets = [h[e - k : e].tobytes() for e, k in zip(ends, n)]
-            fits = pa.array([a == b for a, b in zip(signatures(h, n), sig.to_pylist())], pa.bool_())
-            yield pa.record_batch([sig, root, blocks, pa.array(sets, pa.binary())], ["sig", "root", "blocks", "set"]).filter(fits)
+            yield pa.record_batch([sig, root, blocks, pa.array(sets, pa.binary())], ["sig", "root", "blocks", "set"])
 
-    joined = docs.select(key, text).join(wanted.hint("shuffle_hash"), key).select("sig", "root", "blocks", text)
+    joined = docs.join(wanted.hint("shuffle_hash"), "key").select("sig", "root", "blocks", "text")
     return joined.mapInArrow(run, "sig binary, root binary, blocks int, set binary")
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def block_of(blocks) -> Column:
+    return F.pmod(F.xxhash64("sig"), blocks).cast("int")
+
+
+def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members: root, sig, key (of a row that has the set), n. Returns links a, b."""
+    sizes = members.groupBy("root").agg(F.sum("n").alias("total"), F.avg("n").alias("mean"))
+    sizes = stored(sizes.select("root", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"), "mean", "total"), "sizes")
+    total, most = sizes.agg(F.coalesce(F.sum("total"), F.lit(0)), F.max("blocks")).first()
+    deal = lambda df, times, *by: dealt(df, total * times, BLOCK_SHINGLES, *by).sortWithinPartitions(*by, "sig")
+    wanted = members.join(sizes.select("root", "blocks"), "root").select("key", "sig", "root", "blocks")
+    sets = sets_of(docs, wanted)
+    pair = lambda df, i, j: df.select("root", i.alias("i"), j.alias("j"), "sig", "set")
+    if (most or 1) == 1:
+        return deal(pair(sets, F.lit(0), F.lit(0)), 1, "root", "i", "j").mapInArrow(verify, LINKS)
+    sets = stored(sets.withColumn("i", block_of(F.col("blocks"))), "components")
+    links = deal(pair(sets.where("blocks = 1"), F.lit(0), F.lit(0)), 1, "root", "i", "j").mapInArrow(verify, LINKS)
+    large = sets.where("blocks > 1")
+    # A set of about the mean size, in every block of its root.
+    pivots = members.join(sizes.where("blocks > 1"), "root").groupBy("root", "blocks").agg(F.min_by("sig", F.struct(F.abs(F.col("n") - F.col("mean")), "sig")).alias("sig"))
+    ones = large.drop("blocks", "i").join(pivots, ["root", "sig"]).dropDuplicates(["root", "sig"])
+    ones = ones.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(True).alias("first"), "sig", "set")
+    both = ones.unionByName(large.select("root", "i", F.lit(False).alias("first"), "sig", "set"))
+    near = stored(dealt(both, total, BLOCK_SHINGLES, "root", "i").sortWithinPartitions("root", "i", F.desc("first")).mapInArrow(star, LINKS), "star")
+    # What the pivot does not link meets all blocks.
+    done = near.select(F.col("b").alias("sig")).unionAll(near.select(F.col("a").alias("sig"))).unionAll(pivots.select("sig")).distinct()
+    rest = stored(large.join(done, "sig", "left_anti"), "rest")
+    pieces_ = rest.groupBy("root").agg(F.ceil(F.sum(F.octet_length("set")) / (8 * BLOCK_SHINGLES)).cast("int").alias("parts"))
+    times = 1 + (pieces_.agg(F.max("parts")).first()[0] or 0)
+    every = large.join(pieces_, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one = rest.join(pieces_, "root").withColumn("part", block_of(F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = pair(every, F.col("part"), F.col("i")).unionAll(pair(one, F.col("part"), F.col("j")))
+    return links.unionAll(near).unionAll(deal(met, times, "root", "i", "j").mapInArrow(verify, LINKS))
+
+
+LINKS = "a binary, b binary"
+
+
+def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """For each row: `key`, a struct that tells rows apart by key and text, n, and `component`, the
+    least such struct that links reach."""
+    docs = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash")).alias("key"), F.col(text).alias("text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
+    rows = stored(features(docs, frequent), "sets")
+    frequent.unpersist()
+    classes = stored(rows.where("sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.max("n").alias("n")), "classes")
+    edges, table = candidates(rows)
+    graph = components(edges)
+    members = stored(graph.withColumnRenamed("node", "sig").join(classes, "sig").withColumnRenamed("rep", "key"), "near")
+    drop_stored(table, graph)
+    found = components(exact_links(docs, members)).withColumnRenamed("node", "sig").join(classes, "sig")
+    lowest = found.groupBy("root").agg(F.min("rep").alias("component"))
+    of_class = classes.join(found.join(lowest, "root").select("sig", "component"), "sig", "left").select("sig", F.least("rep", F.coalesce("component", "rep")).alias("component"))
+    return rows.select("key", "n", "sig").join(of_class, "sig", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns key, n_shingles and component_id (the smallest key reachable by links, or the row's
     own) for each row of docs."""
-    frequent = frequencies(docs, key, text, sample_rows)
-    rows = stored(features(docs, frequent, key, text), "sets")
-    classes = stored(rows.where("sig is not null").groupBy("sig").agg(F.min(key).alias("rep"), F.max("n").alias("n")), "classes")
-    near = stored(components(candidates(rows)), "near")
-    block = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    members = near.withColumnRenamed("node", "sig").join(classes, "sig")
-    blocks = members.groupBy("root").agg(F.sum("n").alias("total")).select("root", block.alias("blocks"))
-    wanted = members.join(blocks, "root").select(F.col("rep").alias(key), "sig", "root", "blocks")
-    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    pair = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != own), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    )
-    sets = sets_of(docs, wanted, key, text).withColumn("pair", F.explode(pair)).select("root", "pair.i", "pair.j", "sig", "set")
-    links = sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "sig").mapInArrow(verify, "a binary, b binary")
-    found = components(links).withColumnRenamed("node", "sig").join(classes, "sig")
-    lowest = found.groupBy("root").agg(F.min("rep").alias("component"))
-    linked = found.join(lowest, "root").select("sig", "component")
-    of_class = classes.join(linked, "sig", "left").select("sig", F.least("rep", F.coalesce("component", "rep")).alias("component"))
-    return rows.select(key, "n", "sig").join(of_class, "sig", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))
+    return linked(docs, key, text).select(F.col("key.key").alias(key), F.col("n").alias("n_shingles"), F.col("component.key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,12 +456,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     stays. Rows without words are all kept."""
     name, found, times = fresh(docs, "_row"), fresh(docs, "_kept"), fresh(docs, "_times")
     words = F.coalesce(F.col(text).rlike(r"[^ \t\n\x0b\f\r]"), F.lit(False))
-    # Missing keys sort last: they name a component that has no other.
-    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("text"))
-    rows = docs.where(words).withColumn(name, own)
-    names = link(rows, name, text).where(F.col(name) == F.col("component_id"))
-    chosen = stored(names.groupBy(F.col(name).alias(found)).agg(F.count("*").alias(times)), "kept")
-    kept = rows.join(chosen.hint("shuffle_hash"), F.col(name) == F.col(found))
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    rows = docs.where(words)
+    names = linked(rows, key, text).where(F.col("key") == F.col("component"))
+    chosen = stored(names.groupBy(F.col("key").alias(found)).agg(F.count("*").alias(times)), "kept")
+    kept = rows.withColumn(name, own).join(chosen.hint("shuffle_hash"), F.col(name) == F.col(found))
     out = kept.where(F.col(times) == 1)
     if not chosen.where(F.col(times) > 1).isEmpty():
         out = out.unionAll(kept.where(F.col(times) > 1).dropDuplicates([name]))

@@ -3,13 +3,13 @@ derive counts and digests from them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard_join, langid, maxent_lm, media, pii, resharding, suffix_dedup, url_rules
-from .common import crc_mod, load
-
-
+from .common import crc_mod, load, shared_dir
 
 
 def tokenizer_path() -> str:
@@ -40,7 +40,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n = [count(kind) for kind in pii.KINDS]
-    return rows.select("doc_id", *n, hex_sha(pii.listed(F.col("base")).cast("binary")).alias("base_sha256"), pii.listed(F.col("all")).alias("spans"))
+    more = [F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.ADDED]
+    found = F.size("all").cast("long").alias("n_spans")
+    return rows.select("doc_id", *n, hex_sha(pii.listed(F.col("base")).cast("binary")).alias("base_sha256"), pii.listed(F.col("all")).alias("spans"), *more, found)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +101,15 @@ def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     old = F.pmod(F.xxhash64("doc_id"), F.lit(resharding.OLD_SHARDS))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    out = resharding.reshard(docs, old, resharding.size_of(F.col("text")), keep={"text_crc32": crc})
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    rows, changed = resharding.reshard(docs, old, resharding.size_of(F.col("text")), keep={"text": F.col("text")})
+    out = rows.where(~F.col("shard").isin(changed)) if changed else rows
+    if changed:  # what the rewritten files hold, and the rows of shards that keep theirs
+        path = f"{shared_dir(spark)}/sparkloom-shards-{uuid.uuid4().hex}"
+        resharding.rewrite(rows, changed, path)
+        files = spark.read.parquet(path)
+        untouched = set(range(resharding.NEW_SHARDS)) - set(changed)
+        out = files if not untouched else files.unionByName(out)
+    return out.select("doc_id", resharding.size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

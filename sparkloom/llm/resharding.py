@@ -5,13 +5,16 @@ shard's surplus ends in is parted at that very size. Sources of the flow are the
 class) pairs with their row counts, sinks are the new shards with their capacities in rows; a row
 that stays costs nothing, one that moves costs the mean bytes of its class. As only a class of equal
 sizes is ever cut, the moved bytes are the fewest for the rows' own sizes. Blocks then follow the
-flow: most go whole, a few are cut at a row number.
+flow: most go whole, a few are cut at a row number. `rewrite` writes the files of those shards whose
+rows change.
 
-The law is `rows`: the row counts of the new shards differ by at most one. Only ids and sizes are
-shuffled; the driver holds one line for each block of about `block_rows` rows.
+The law is `rows`: the row counts of the new shards differ by at most one. Rows are shuffled once, by
+block, with all columns that are to be kept, and are written from there, so a shard is written by many
+tasks. The driver holds one line for each block of about `block_rows` rows.
 
-Null text has no bytes. Repeated rows are rows. An empty table has no assignment. Rows are ordered
-within a block by size, id and a hash of the text; equal rows may stand in either order.
+Null text has no bytes. Repeated rows are rows, and so are rows with a null id. An empty table has no
+assignment. Rows are ordered within a block by size, id and a hash of the text; equal rows may stand
+in either order. Columns of any name may be kept.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OLD_SHARDS, NEW_SHARDS = 16, 24
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS, BLOCK_BYTES = 100_000, 256 << 20
 
 
 def size_of(text: Column) -> Column:
@@ -126,11 +129,11 @@ def cuts(blocks: list[tuple[int, int, int, int, int]], new: int) -> list[tuple[i
     return out
 
 
-def surplus_ends(rows: DataFrame, new: int) -> list[tuple[int, int]]:
+def surplus_ends(rows: DataFrame, totals: list, new: int) -> list[tuple[int, int]]:
     """Old shard and size of the last row that it gives away, smallest first, if it keeps no extra row."""
     spark, sums = rows.sparkSession, {}
-    for r in rows.groupBy("old_shard", "_class").count().collect():
-        sums.setdefault(r["old_shard"], []).append((r["_class"], r["count"]))
+    for r in totals:
+        sums.setdefault(r["old_shard"], []).append((r["_class"], r["n"]))
     base = sum(n for classes in sums.values() for _, n in classes) // new
     wanted = []
     for i, classes in sums.items():
@@ -149,38 +152,35 @@ def surplus_ends(rows: DataFrame, new: int) -> list[tuple[int, int]]:
     return [(r["old_shard"], r["size"]) for r in sizes.where((F.col("upto") >= F.col("_rank")) & (F.col("upto") - F.col("count") < F.col("_rank"))).collect()]
 
 
-def reshard(df: DataFrame, old_shard: Column, size: Column, key: str = "doc_id", text: str = "text", new: int = NEW_SHARDS, block_rows: int = BLOCK_ROWS, keep: dict[str, Column] | None = None) -> DataFrame:
-    """Returns key, size, old_shard, shard, slot and the columns of `keep` for each row."""
+def reshard(df: DataFrame, old_shard: Column, size: Column, key: str = "doc_id", text: str = "text", new: int = NEW_SHARDS, block_rows: int = BLOCK_ROWS, keep: dict[str, Column] | None = None) -> tuple[DataFrame, list[int]]:
+    """Returns key, size, old_shard, shard, slot and the columns of `keep` for each row; and the
+    numbers of the shards, old and new, whose rows change."""
     spark: SparkSession = df.sparkSession
-    parts = max(1, -(-df.count() // (8 * block_rows)))
-    rows = df.select(F.col(key), size.alias("size"), old_shard.cast("int").alias("old_shard"), F.xxhash64(F.col(key), F.col(text)).alias("_tie"), *((c.alias(n)) for n, c in (keep or {}).items()))
-    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size"))).cast("int")).withColumn("_part", F.pmod(F.col("_tie"), F.lit(parts)).cast("int"))
-    ends = spark.createDataFrame(surplus_ends(rows, new), "old_shard int, _end long")
-    rows = rows.join(F.broadcast(ends), "old_shard", "left").withColumn("_class", F.col("_class") * 3 + F.coalesce(F.signum(F.col("size") - F.col("_end")).cast("int") + 1, F.lit(0)))
+    kept = {f"kept{k}": name for k, name in enumerate(keep or {})}
+    rows = df.select(F.col(key).alias("key"), size.alias("size"), old_shard.cast("int").alias("old_shard"), F.xxhash64(F.col(key), F.col(text)).alias("_tie"), *(c.alias(f"kept{k}") for k, c in enumerate((keep or {}).values())))
+    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size"))).cast("int"))
+    totals = rows.groupBy("old_shard", "_class").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
+    # A class of very many rows or bytes is dealt out to parts.
+    parts = [(r["old_shard"], r["_class"], max(1, -(-r["n"] // block_rows), -(-r["b"] // BLOCK_BYTES))) for r in totals]
+    parts = spark.createDataFrame(parts, "old_shard int, _class int, _parts int")
+    ends = spark.createDataFrame(surplus_ends(rows, totals, new), "old_shard int, _end long")
+    rows = rows.join(F.broadcast(parts), ["old_shard", "_class"]).withColumn("_part", F.pmod(F.col("_tie"), F.col("_parts")).cast("int")).drop("_parts")
+    rows = rows.join(F.broadcast(ends), "old_shard", "left").withColumn("_class", F.col("_class") * 3 + F.coalesce(F.signum(F.col("size") - F.col("_end")).cast("int") + 1, F.lit(0))).drop("_end")
     block = ["old_shard", "_class", "_part"]
-    got = rows.groupBy(*block).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
-    plan = spark.createDataFrame(cuts([tuple(r) for r in got], new), "old_shard int, _class int, _part int, _first long, _last long, shard int, _slot long")
-    at = F.row_number().over(Window.partitionBy(*block).orderBy("size", key, "_tie")).cast("long")
-    return (
+    lines = cuts([tuple(r) for r in rows.groupBy(*block).agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()], new)
+    plan = spark.createDataFrame(lines, "old_shard int, _class int, _part int, _first long, _last long, shard int, _slot long")
+    at = F.row_number().over(Window.partitionBy(*block).orderBy("size", "key", "_tie")).cast("long")
+    out = (
         rows.withColumn("_at", at)
-        .join(plan, block)
+        .join(F.broadcast(plan), block)
         .where(F.col("_at").between(F.col("_first"), F.col("_last")))
-        .select(key, "size", "old_shard", "shard", (F.col("_slot") + F.col("_at") - F.col("_first")).alias("slot"), *(keep or {}))
+        .select(F.col("key").alias(key), "size", "old_shard", "shard", (F.col("_slot") + F.col("_at") - F.col("_first")).alias("slot"), *(F.col(k).alias(name) for k, name in kept.items()))
     )
+    return out, sorted({x for i, _, _, _, _, j, _ in lines if i != j for x in (i, j)})
 
 
-def rewrite(rows: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> list[int]:
-    """Writes the files of those shards whose rows change, and no others, under path/shard=N;
-    returns them. `rows` has unique keys; untouched shards keep the files that they have."""
-    moved = assigned.where("old_shard <> shard")
-    hit = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    changed = sorted(r["shard"] for r in hit.collect())
-    spark, mode = rows.sparkSession, "spark.sql.sources.partitionOverwriteMode"
-    was = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
-        part = assigned.where(F.col("shard").isin(changed)).select(key, "shard", "slot")
-        rows.join(part, key).repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    finally:
-        spark.conf.set(mode, was)
-    return changed
+def rewrite(rows: DataFrame, changed: list[int], path: str) -> None:
+    """Writes the rows of the changed shards, and of no others, under path/shard=N, in order of slots
+    within a file. Untouched shards keep the files that they have."""
+    part = rows.where(F.col("shard").isin(changed))
+    part.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)

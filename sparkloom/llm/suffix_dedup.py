@@ -1,57 +1,66 @@
 """Removal of repeated byte strings with a logarithmic family of sparse suffix arrays.
 
-A byte goes if a 100-byte string that covers it also starts earlier, in a document of smaller id or
-earlier in the same one; strings are judged on the input. Matches never cross documents.
+A byte goes if a 100-byte string that covers it also starts earlier: in an earlier batch, in a
+document of smaller id, or earlier in the same one; strings are judged on the input. Matches never
+cross documents.
 
 Suffix arrays need not hold every suffix. Every 100-byte string has an anchor, the 24-byte string in
 it with the least hash, and equal strings have it at the same place; so the suffixes that start at
-anchors suffice. Neighbouring strings mostly share an anchor: a stretch is a run of starts with one
-anchor, named by the anchor's hash and a hash of all its bytes.
-
-1. Each task lists the stretches of its documents. Repeats within a block are settled at once.
-2. Stretches are dealt out by anchor and sorted. All but the first of equal stretches are repeats.
-   An anchor with several different stretches may hold partial matches: these need their bytes.
-3. Those bytes are fetched and dealt out by anchor again. Each task takes them in document order, in
-   batches. A batch gets a suffix array, is merge-scanned against itself and against the arrays of
-   all earlier batches for common strings of 100 bytes, and becomes a level of the family; levels of
-   equal size merge, so n suffixes are merged about log n times and looked up in about log n arrays.
-4. Comparing suffixes in pairs is for anchors with few stretches. With more than `crowd` of them, the
-   strings of all are compared at once, by 128-bit hashes, still in one task. With more than `hot`
-   they do not go to one task: the strings are dealt out by their hashes, after repeats within a
-   block are settled, as in 1 and 2.
+anchors suffice, each with the bytes before it that strings with this anchor reach. Neighbouring
+strings mostly share an anchor: a stretch is a run of starts with one anchor.
+
+1. Each task lists the stretches of its documents. Stretches of a block that are equal byte for byte
+   are settled at once: all but the first are repeats. An anchor that a block has several times is
+   known to be shared and sends one row only; the other anchors are dealt out to find shared ones.
+2. The bytes of stretches with a shared anchor are fetched and dealt out by anchor. Each task takes
+   them in order, in batches. A batch gets a suffix array, is merge-scanned with the suffixes of the
+   same anchors in all earlier levels, and becomes a level itself, less what is repeated as a whole;
+   levels of equal size merge, two sorted arrays into one. The common prefixes of neighbours, to the
+   right and to the left of the anchor, tell for each place of the anchor which strings are equal, so
+   no pairs are compared and no string is judged by a hash.
+3. An anchor with over `hot` stretches is not left to one task: its strings are dealt out by the place
+   of the anchor in them, eleven places at a time, and by the bytes that all strings of such a group
+   share. Each part is treated as in 2.
+
+`Index` keeps anchors and texts of earlier batches as tables, in levels that merge geometrically too.
 
 Null text counts as empty; texts of under 100 bytes are kept whole. Rows that agree in id and text
 are one document; of rows with one id and different texts, the one with the smaller text hash is the
-earlier. Ids are whole numbers; a null id comes before all.
+earlier. Ids are whole numbers; a null id comes before all. No rows give no rows. Other columns stay,
+whatever their names; only `to` is replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dealt, drop_stored, fresh, stored
 from .jaccard_join import BYTE_VALUE, mixed, pieces, powers
 
 LONG, ANCHOR = 100, 24
-SPREAD = LONG - ANCHOR + 1  #: anchors that a string chooses from
-CROWD, HOT = 256, 20_000
-BATCH = 4096
-ROWS_A_TASK = 60_000
+SPREAD = LONG - ANCHOR + 1  #: places of an anchor in a string
+HOT, GROUP = 20_000, 11
+BATCH = 8192
+ROWS_A_TASK, POSTS_A_TASK = 60_000, 2_000_000
+MOST_BYTES = 1 << 26  #: of a text that are hashed at a time
 
-# A place packs 24 bits of the text's hash, the first start (31 bits) and the starts less one (7 bits).
-START_BITS, COUNT_BITS = 31, 7
-POST = "key long, content long, doc long, place long"
+# A place packs the first start (31 bits) and the starts less one (7 bits).
+COUNT_BITS = 7
+POST = "key long, seq long, doc long, tie long, place long, kind int"  #: kind 0: to deal out; 1: repeats; 2: anchor is shared
 
 
-def pack(tie, start, count):
-    return tie << (START_BITS + COUNT_BITS) | start << COUNT_BITS | (count - 1)
+def pack(start, count):
+    return start << COUNT_BITS | (count - 1)
 
 
 def unpack(place):
-    return place >> (START_BITS + COUNT_BITS), place >> COUNT_BITS & ((1 << START_BITS) - 1), (place & ((1 << COUNT_BITS) - 1)) + 1
+    return place >> COUNT_BITS, (place & ((1 << COUNT_BITS) - 1)) + 1
 
 
 class Block:
@@ -59,7 +68,8 @@ class Block:
 
     def __init__(self, raws: list[bytes]):
         self.sizes = np.array([len(r) for r in raws], np.int64)
-        self.flat = np.frombuffer(b"".join(raws), np.uint8)
+        self.bytes = b"".join(raws)
+        self.flat = np.frombuffer(self.bytes, np.uint8)
         power, self.inverse = powers(len(self.flat) + 1)
         self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[self.flat] * power[: len(self.flat)])])
         self.base = np.cumsum(self.sizes) - self.sizes
@@ -91,274 +101,278 @@ class Block:
         return row[first], at[first], count, anchor[first]
 
 
-def settle(key, content, doc, place):
-    """Of equal strings the earliest stays a post; the others are marked by a negative place and
-    dealt out by document. Returns posts sorted by string."""
-    order = np.lexsort((place, doc, content, key))
-    key, content, doc, place = key[order], content[order], doc[order], place[order]
-    again = np.concatenate([[False], (key[1:] == key[:-1]) & (content[1:] == content[:-1])])[: len(key)]
-    new = ~(again & np.concatenate([[False], (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])[: len(key)])  # else a repeated row
-    key, content, doc, place, again = key[new], content[new], doc[new], place[new], again[new]
-    key = np.where(again, mixed(doc.astype(np.uint64)).view(np.int64), key)
-    return pa.record_batch([pa.array(key), pa.array(content), pa.array(doc), pa.array(np.where(again, -1 - place, place))], ["key", "content", "doc", "place"])
+def blocks(batches, columns: list[str]):
+    """The columns, one block of texts, and where each of its texts begins in its document. A text of
+    over MOST_BYTES is cut into several, which overlap so that each string starts in one."""
+    for cols, raws in pieces(batches, [*columns, "text"]):
+        which, texts, offset = [], [], []
+        for k, raw in enumerate(raws):
+            for s in range(0, max(1, len(raw or b"") - LONG + 1), MOST_BYTES):
+                which.append(k)
+                offset.append(s)
+                texts.append((raw or b"")[s : s + MOST_BYTES + LONG - 1])
+        held = 0
+        while held < len(texts):  # several blocks only where a text was cut
+            stop, size = held + 1, len(texts[held])
+            while stop < len(texts) and size + len(texts[stop]) <= MOST_BYTES:
+                size += len(texts[stop])
+                stop += 1
+            yield [c.take(pa.array(which[held:stop])) for c in cols], Block(texts[held:stop]), np.array(offset[held:stop])
+            held = stop
 
 
 def posts(batches):
-    for (doc, tie), raws in pieces(batches, ["doc", "tie", "text"]):
-        raws = [r or b"" for r in raws]
-        b = Block(raws)
+    for cols, b, offset in blocks(batches, ["seq", "doc", "tie"]):
+        seq, doc, tie = (c.to_numpy() for c in cols)
         row, at, count, anchor = b.stretches()
         key = b.hashes(anchor, anchor + ANCHOR, 4).view(np.int64)
-        content = b.hashes(at, at + count - 1 + LONG, 5).view(np.int64)
-        doc, tie = doc.to_numpy(), tie.to_numpy()
-        yield settle(key, content, doc[row], pack(tie[row], at - b.base[row], count))
-
-
-MARKS = "key long, doc long, place long, kind int"  #: kind 1: repeats; 2: bytes are needed
-
-
-def scan(batches):
-    last_key = last_content = last_place = None
-    waiting = None  # the first post of the last key while the key has one content
-
-    def out(key, doc, place, kind):
-        return pa.record_batch([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(kind, pa.int32())], ["key", "doc", "place", "kind"])
-
+        name = b.hashes(at, at + count - 1 + LONG, 5)
+        start = at - b.base[row] + offset[row]
+        order = np.lexsort((start, tie[row], doc[row], seq[row], name, key))
+        key, name, at, count, row, start = (x[order] for x in (key, name, at, count, row, start))
+        kind = np.zeros(len(key), np.int32)
+        like = (key[1:] == key[:-1]) & (name[1:] == name[:-1]) & (count[1:] == count[:-1])
+        first = np.arange(len(key))
+        for k in (np.flatnonzero(like) + 1).tolist():
+            f, n = first[k - 1], int(count[k]) - 1 + LONG
+            if b.bytes[at[f] : at[f] + n] == b.bytes[at[k] : at[k] + n]:
+                first[k], kind[k] = f, 1
+        same = (doc[row] == doc[row[first]]) & (tie[row] == tie[row[first]]) & (seq[row] == seq[row[first]]) & (start == start[first])
+        keep = (kind == 0) | ~same  # else a repeated row
+        kind, key, row, start, count = kind[keep], key[keep], row[keep], start[keep], count[keep]
+        # Anchors that occur again among what is not settled: one row goes out, and all are marked.
+        k = np.flatnonzero(kind == 0)
+        again = key[k][1:] == key[k][:-1]
+        shared = np.concatenate([[False], again]) | np.concatenate([again, [False]]) if len(k) else np.zeros(0, bool)
+        lone = k[~np.concatenate([[False], again])] if len(k) else k
+        kind[k[shared]] = 2
+        every = np.concatenate([np.arange(len(kind))[kind > 0], lone])
+        kinds = np.concatenate([kind[kind > 0], np.zeros(len(lone), np.int32)])
+        row, start, count, key = row[every], start[every], count[every], key[every]
+        yield pa.record_batch([pa.array(key), pa.array(seq[row]), pa.array(doc[row]), pa.array(tie[row]), pa.array(pack(start, count)), pa.array(kinds)], ["key", "seq", "doc", "tie", "place", "kind"])
+
+
+def shared_anchors(batches):
+    """Rows sorted by key: those whose key another row has too, as kind 2."""
+    held = None
     for b in batches:
-        key, content, doc, place = (b.column(c).to_numpy() for c in ("key", "content", "doc", "place"))
-        settled = place < 0
-        if settled.any():
-            yield out(key[settled], doc[settled], -1 - place[settled], np.ones(int(settled.sum()), np.int32))
-            key, content, doc, place = key[~settled], content[~settled], doc[~settled], place[~settled]
-        if not len(key):
+        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
             continue
-        new_key = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[content[0] != last_content], content[1:] != content[:-1]])
-        once = np.concatenate([[(doc[0], place[0]) != last_place], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
-        repeats = ~new & once  # the same place again is a repeated row
-        firsts = np.flatnonzero(new)
-        several = np.zeros(len(key), bool)
-        later = firsts[~new_key[firsts]]  # another content under a key that is known
-        several[later] = True
-        # The first post of a key is needed too once the key has another content.
-        for_key = np.cumsum(new_key) - 1
-        heads = np.flatnonzero(new_key)
-        own = for_key[later]
-        several[heads[own[own >= 0]]] = True
-        extra = waiting if waiting is not None and (own < 0).any() else None
-        if extra is not None or (len(heads) and waiting is not None):
-            waiting = None
-        if extra is not None:
-            yield out(*([x] for x in extra), [2])
-        if len(heads) and not several[heads[-1]]:
-            k = heads[-1]
-            waiting = (int(key[k]), int(doc[k]), int(place[k]))
-        pick = repeats | several
-        yield out(key[pick], doc[pick], place[pick], np.where(repeats[pick], 1, 2).astype(np.int32))
-        last_key, last_content, last_place = key[-1], content[-1], (doc[-1], place[-1])
-
-
-STRETCH = "key long, doc long, place long, size int, left int, bytes binary"
+        key = b.column("key").to_numpy()
+        again = np.concatenate([[False], key[1:] == key[:-1]])
+        pick = again | np.concatenate([again[1:], [False]])
+        # The last row waits for the next one; it is held again if it is known already, and sent twice.
+        yield b.filter(pa.array(pick))
+        held = b.slice(b.num_rows - 1)
+
+
+STRETCH = "key long, seq long, doc long, tie long, anchor long, left int, low int, bytes binary"
+PLAIN = bytes([255, *range(1, 256)])  # 255 does not occur in UTF-8, and stands for zero
 
 
 def fetch(batches):
     """The bytes of the stretches that are asked for, and how many of them lie before the anchor."""
-    for (doc, tie, asked), raws in pieces(batches, ["doc", "tie", "asked", "text"]):
-        raws = [r or b"" for r in raws]
-        b = Block(raws)
+    for (seq, doc, tie, asked), b, offset in blocks(batches, ["seq", "doc", "tie", "asked"]):
         row, at, count, anchor = b.stretches()
-        where = {(int(r), int(s)): (int(n), int(a)) for r, s, n, a in zip(row, at, count, anchor)}
-        cols = [[], [], [], [], [], []]
-        flat = b.flat.tobytes()
-        docs = doc.to_pylist()
-        for k, wanted in enumerate(asked.to_pylist()):
-            for w in wanted:
-                start = int(unpack(w["place"])[1]) + int(b.base[k])
-                n, a = where[k, start]
-                for c, v in zip(cols, (w["key"], docs[k], w["place"], w["size"], a - start, flat[start : start + n - 1 + LONG])):
-                    c.append(v)
-        yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], ["key", "doc", "place", "size", "left", "bytes"])
-
-
-RANGES = "doc long, tie long, first long, last long"  #: bytes first to last, the last exclusive
-
-
-def ranges(doc, tie, first, last):
-    return pa.record_batch([pa.array(x, pa.int64()) for x in (doc, tie, first, last)], ["doc", "tie", "first", "last"])
+        wanted = asked.to_pylist()
+        own = np.array([k for k, w in enumerate(wanted) for _ in w], np.int64)
+        place, key, hot = (np.array([x[c] for w in wanted for x in w], np.int64) for c in ("place", "key", "hot"))
+        start = unpack(place)[0] - offset[own] + b.base[own]
+        code, want = (row << 32) | at, (own << 32) | start
+        k = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
+        here = np.flatnonzero(code[k] == want) if len(code) else np.zeros(0, int)  # else in another block of the text
+        k, own, key, hot = k[here], own[here], key[here], hot[here]
+        left, low = anchor[k] - at[k], anchor[k] - at[k] - count[k] + 1
+        raws = [b.bytes[s : s + n].translate(PLAIN) for s, n in zip(at[k].tolist(), (count[k] - 1 + LONG).tolist())]
+        # Hot anchors: once for each group of places that the stretch has.
+        line, group = np.arange(len(k)), np.full(len(k), -1)
+        some = np.flatnonzero(hot)
+        many = left[some] // GROUP - low[some] // GROUP + 1
+        of = np.repeat(some, many)
+        line = np.concatenate([line[hot == 0], of])
+        group = np.concatenate([group[hot == 0], np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of] // GROUP])
+        near, far = group * GROUP, group * GROUP + GROUP - 1
+        cold = group < 0
+        mid = anchor[k][line]
+        name = mixed(b.hashes(np.where(cold, 0, mid - near), np.where(cold, 0, mid + LONG - far), 6) + group.astype(np.uint64), 8).view(np.int64)
+        own = own[line]
+        columns = [np.where(cold, key[line], key[line] ^ name), seq.to_numpy()[own], doc.to_numpy()[own], tie.to_numpy()[own], mid - b.base[own] + offset[own]]
+        high = np.where(cold, left[line], np.minimum(left[line], far))
+        least = np.where(cold, low[line], np.maximum(low[line], near))
+        cut = left[line] - high  # bytes of the stretch that strings of this group do not reach
+        bytes_ = [raws[x][c : c + h - m + LONG] for x, c, h, m in zip(line.tolist(), cut.tolist(), high.tolist(), least.tolist())]
+        yield pa.record_batch([*map(pa.array, columns), pa.array(high, pa.int32()), pa.array(least, pa.int32()), pa.array(bytes_, pa.binary())], ["key", "seq", "doc", "tie", "anchor", "left", "low", "bytes"])
+
+
+RANGES = "seq long, doc long, tie long, first long, last long"  #: bytes first to last, the last exclusive
+
+
+def common_prefixes(a: np.ndarray) -> np.ndarray:
+    """Of each string and the one before it, padded strings of one width in order."""
+    m = a.view(np.uint8).reshape(len(a), a.dtype.itemsize)
+    other = m[1:] != m[:-1]
+    return np.where(other.any(1), other.argmax(1), a.dtype.itemsize)
+
+
+@dataclass
+class Suffixes:
+    """Suffixes at anchors: the bytes from the anchor on, those before it (nearest first), and the
+    places (bytes before the anchor) of the strings that each stands for."""
+
+    right: np.ndarray
+    left: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def __len__(self):
+        return len(self.right)
+
+    def take(self, k) -> Suffixes:
+        return Suffixes(self.right[k], self.left[k], self.low[k], self.high[k])
+
+    def merged(self, other: Suffixes) -> Suffixes:
+        """Two arrays in order of `right` made one."""
+        at = np.searchsorted(self.right, other.right, "right")
+        both = lambda x, y: np.insert(x, at, y)
+        return Suffixes(both(self.right, other.right), both(self.left, other.left), both(self.low, other.low), both(self.high, other.high))
 
 
 class Family:
-    """Suffix arrays of the batches so far, each sorted by the bytes that follow its anchors."""
+    """Suffix arrays of the batches so far; their sizes fall geometrically."""
 
     def __init__(self):
-        self.left = np.zeros((0, SPREAD - 1), np.int16)  # bytes before the anchor, nearest first; -1 beyond
-        self.right = np.zeros((0, LONG), np.int16)
-        self.heads = np.zeros(0, f"S{ANCHOR}")
-        self.levels: list[np.ndarray] = []
-
-    def matches(self, new: np.ndarray, level: np.ndarray):
-        """Pairs of a new suffix and one of the level that share the anchor."""
-        heads = self.heads[level]
-        a, z = np.searchsorted(heads, self.heads[new], "left"), np.searchsorted(heads, self.heads[new], "right")
-        n = z - a
-        return np.repeat(new, n), level[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-
-    def shared(self, x: np.ndarray, y: np.ndarray):
-        """How far each pair agrees to the left and to the right of its anchors."""
-        for s in range(0, len(x), 30_000):
-            i, j = x[s : s + 30_000], y[s : s + 30_000]
-            l, r = self.left[i], self.right[i]
-            before = np.cumprod((l == self.left[j]) & (l >= 0), 1, dtype=np.int8).sum(1, dtype=np.int64)
-            after = np.cumprod((r == self.right[j]) & (r >= 0), 1, dtype=np.int8).sum(1, dtype=np.int64)
-            yield i, before, after
-
-    def add(self, lefts: np.ndarray, rights: np.ndarray, heads: np.ndarray, tails: np.ndarray):
-        """Takes a batch in document order. Yields suffix, bytes shared before and after the anchor,
-        for pairs that share a string of 100 bytes with an earlier one."""
-        base = len(self.left)
-        self.left, self.right = np.concatenate([self.left, lefts]), np.concatenate([self.right, rights])
-        self.heads = np.concatenate([self.heads, heads])
-        array = base + np.argsort(tails, kind="stable")  # the batch's suffix array
-        for level in [*self.levels, array]:
-            x, y = self.matches(array, level)
-            earlier = y < x
-            for i, before, after in self.shared(x[earlier], y[earlier]):
-                long = before + after >= LONG
-                yield i[long], before[long], after[long]
-        self.levels.append(array)
+        self.levels: list[Suffixes] = []
+
+    def add(self, batch: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """Takes a batch in document order. Returns, for each suffix, the greatest and least place of
+        its strings that occur earlier; -1 and beyond all for none."""
+        order = np.argsort(batch.right, kind="stable")
+        own = batch.take(order)  # the suffix array of the batch
+        heads = own.right.astype(f"S{ANCHOR}")
+        known, partner = None, np.concatenate([[False], heads[1:] == heads[:-1]])[: len(own)]
+        partner = partner | np.append(partner[1:], False)[: len(own)]
+        for level in self.levels:
+            there = level.right.astype(f"S{ANCHOR}")
+            a, z = np.searchsorted(there, heads, "left"), np.searchsorted(there, heads, "right")
+            partner |= z > a
+            hit = np.zeros(len(level) + 1, np.int64)
+            np.add.at(hit, a, 1)
+            np.add.at(hit, z, -1)
+            part = level.take(np.cumsum(hit[:-1]) > 0)
+            known = part if known is None else known.merged(part)
+        k = order[partner]
+        most, least, times = np.full(len(batch), -1), np.full(len(batch), SPREAD), np.zeros(len(batch), np.int64)
+        if len(k):
+            self.scan(known, batch, own.take(partner), k, most, least, times)
+        # What occurs earlier as a whole need not be kept.
+        kept = own.take((times < batch.high - batch.low + 1)[order])
+        self.levels.append(kept)
         while len(self.levels) > 1 and len(self.levels[-2]) <= len(self.levels[-1]):
-            one = np.concatenate([self.levels.pop(-2), self.levels.pop()])
-            self.levels.append(one[np.argsort(self.heads[one], kind="stable")])
+            last = self.levels.pop()
+            self.levels.append(self.levels.pop().merged(last))
+        return most, least
+
+    @staticmethod
+    def scan(known, batch, array, k, most, least, times):
+        """Merges the batch's array with the known suffixes; k are the places of its rows in the
+        batch. Fills in what occurs earlier."""
+        old = 0 if known is None else len(known)
+        if old:
+            at = np.searchsorted(known.right, array.right, "right")
+            right = np.insert(known.right, at, array.right)
+            who = np.insert(np.arange(old), at, old + np.arange(len(k)))
+        else:
+            right, who = array.right, np.arange(len(k))
+        # Rows: the known ones, then the batch's in document order.
+        later = np.argsort(np.argsort(k))
+        who = np.where(who < old, who, old + later[np.maximum(who - old, 0)])
+        ordered = np.sort(k)
+        own = batch.take(ordered)
+        both = lambda x, y: np.concatenate([x, y]) if old else y
+        left, low, high = (both(getattr(known, c, None), getattr(own, c)) for c in ("left", "low", "high"))
+        n = old + len(k)
+        to_right = common_prefixes(right)
+        by_left = np.argsort(left, kind="stable")
+        to_left = common_prefixes(left[by_left])
+        rank_r, rank_l = np.empty(n, np.int64), np.empty(n, np.int64)
+        for place in range(SPREAD):
+            here = np.flatnonzero((low <= place) & (place <= high))
+            if not len(here) or here[-1] < old:
+                continue
+            rank_r[who] = np.concatenate([[0], np.cumsum(to_right < LONG - place)])
+            rank_l[by_left] = np.concatenate([[0], np.cumsum(to_left < place)])
+            code = rank_r[here] * n + rank_l[here]  # equal for equal strings
+            order = np.argsort(code, kind="stable")
+            again = here[order[1:][code[order][1:] == code[order][:-1]]]
+            again = ordered[again[again >= old] - old]
+            most[again] = np.maximum(most[again], place)
+            least[again] = np.minimum(least[again], place)
+            times[again] += 1
 
 
 def match(batches):
-    """Ranges that partial matches with earlier stretches cover."""
-    family = Family()
-    held = []
+    """Ranges that strings with an earlier equal one cover. Rows come in document order."""
+    family, held = Family(), []
 
     def run():
-        n = len(held)
-        lefts, rights = np.full((n, SPREAD - 1), -1, np.int16), np.full((n, LONG), -1, np.int16)
-        for k, (_, _, left, raw) in enumerate(held):
-            x = np.frombuffer(raw, np.uint8)
-            lefts[k, :left] = x[:left][::-1]
-            rest = x[left : left + LONG]
-            rights[k, : len(rest)] = rest
-        heads = np.array([raw[left : left + ANCHOR] for _, _, left, raw in held], f"S{ANCHOR}")
-        tails = np.array([raw[left : left + LONG] for _, _, left, raw in held], f"S{LONG}")
-        base = len(family.left)
-        doc, place = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-        anchor = unpack(place)[1] + np.array([h[2] for h in held])
-        tie = unpack(place)[0]
+        seq, doc, tie, anchor, left, low = (np.array([h[k] for h in held], np.int64) for k in range(6))
+        raws = [h[6] for h in held]
+        right = np.array([r[x : x + LONG] for r, x in zip(raws, left.tolist())], f"S{LONG}")
+        before = np.array([r[:x][::-1] for r, x in zip(raws, left.tolist())], f"S{SPREAD - 1}")
         held.clear()
-        # All matches of a suffix hold its anchor, so together they are one range.
-        most_before, most_after = np.full(n, -1), np.full(n, -1)
-        for i, before, after in family.add(lefts, rights, heads, tails):
-            np.maximum.at(most_before, i - base, before)
-            np.maximum.at(most_after, i - base, after)
-        k = most_before >= 0
-        yield ranges(doc[k], tie[k], anchor[k] - most_before[k], anchor[k] + most_after[k])
-
+        # Repeated rows are one document: all but the first of a place go.
+        new = np.concatenate([[True], (seq[1:] != seq[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | (low[1:] != low[:-1])])
+        seq, doc, tie, anchor = seq[new], doc[new], tie[new], anchor[new]
+        most, least = family.add(Suffixes(right[new], before[new], low[new], left[new]))
+        k = most >= 0
+        return pa.record_batch([pa.array(x) for x in (seq[k], doc[k], tie[k], anchor[k] - most[k], anchor[k] - least[k] + LONG)], ["seq", "doc", "tie", "first", "last"])
+
+    last = None
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("doc", "place", "left", "bytes"))):
+        for row in zip(*(b.column(c).to_pylist() for c in ("seq", "doc", "tie", "anchor", "left", "low", "bytes", "key"))):
+            if row == last:
+                continue
+            last = row
             held.append(row)
             if len(held) >= BATCH:
-                yield from run()
-    if held:
-        yield from run()
-
-
-def single_strings(doc, place, raws):
-    """The 100-byte strings of stretches as posts with 128-bit names, repeats settled."""
-    b = Block(raws)
-    n = b.sizes - LONG + 1
-    row = np.repeat(np.arange(len(raws)), n)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    tie, start, _ = unpack(place)
-    s = b.base[row] + at
-    return settle(b.hashes(s, s + LONG, 6).view(np.int64), b.hashes(s, s + LONG, 7).view(np.int64), doc[row], pack(tie[row], start[row] + at, 1))
-
-
-def strings(batches):
-    for (doc, place), raws in pieces(batches, ["doc", "place", "bytes"]):
-        yield single_strings(doc.to_numpy(), place.to_numpy(), raws)
-
-
-def crowds(batches):
-    """Stretches in order of anchors: all strings of an anchor are compared at once."""
-    name, held = None, []
-
-    def close():
-        doc, place = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-        posts = single_strings(doc, place, [h[2] for h in held])
-        held.clear()
-        doc, place = posts["doc"].to_numpy(), posts["place"].to_numpy()
-        doc, place = doc[place < 0], -1 - place[place < 0]
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        tie, start, _ = unpack(place)
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + 1)])[: len(doc)])
-        last = np.append(new[1:], len(doc))[: len(new)] - 1
-        return ranges(doc[new], tie[new], start[new], start[last] + LONG)
-
-    for b in batches:
-        for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "place", "bytes"))):
-            if key != name and held:
-                yield close()
-            name = key
-            held.append(row)
+                yield run()
     if held:
-        yield close()
-
-
-def ordered_scan(p: DataFrame) -> DataFrame:
-    n = max(1, int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return p.repartition(n, "key").sortWithinPartitions("key", "content", "doc", "place").mapInArrow(scan, MARKS)
-
-
-def as_range(marks: DataFrame) -> DataFrame:
-    start = F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
-    return marks.select("doc", F.shiftright("place", START_BITS + COUNT_BITS).alias("tie"), start.alias("first"), (start + F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)) + LONG).alias("last"))
-
-
-def document(key: Column, text: Column) -> list[Column]:
-    return [F.coalesce(key.cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)).alias("tie")]
+        yield run()
 
 
-def as_range(marks: DataFrame) -> DataFrame:
-    start = F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
-    return marks.select("doc", F.shiftright("place", START_BITS + COUNT_BITS).alias("tie"), start.alias("first"), (start + F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)) + LONG).alias("last"))
+def document(key: Column, text: Column) -> tuple[Column, Column]:
+    return F.coalesce(key.cast("long"), F.lit(-(2**63))), F.xxhash64(text)
 
 
-def document(key: Column, text: Column) -> list[Column]:
-    return [F.coalesce(key.cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 24) - 1)).alias("tie")]
-
-
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD, hot: int = HOT) -> DataFrame:
-    """doc, tie and the byte ranges that repeat; ranges may overlap."""
-    spark = docs.sparkSession
-    rows = docs.select(*document(F.col(key), F.col(text)), F.col(text).alias("text")).where(F.octet_length("text") >= LONG)
-    marks = stored(ordered_scan(rows.mapInArrow(posts, POST)), "marks")
-    need = marks.where("kind = 2")
-    crowded = need.groupBy("key").count().where(F.col("count") > min(crowd, hot)).select("key", F.when(F.col("count") > hot, 2).otherwise(1).alias("size"))
-    asked = need.join(crowded, "key", "left").select("doc", F.shiftright("place", START_BITS + COUNT_BITS).alias("tie"), F.struct("key", "place", F.coalesce("size", F.lit(0)).alias("size")).alias("want"))
-    asked = asked.groupBy("doc", "tie").agg(F.collect_list("want").alias("asked"))  # at most one document's stretches
-    unique = rows.join(asked.hint("shuffle_hash"), ["doc", "tie"]).select("doc", "tie", "asked", "text")
-    got = stored(unique.mapInArrow(fetch, STRETCH).dropDuplicates(["doc", "place"]), "stretches")
-    n = got.where("size < 2").count()
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_TASK))
-    few = got.where("size = 0").repartition(parts, "key").sortWithinPartitions("doc", "place").mapInArrow(match, RANGES)
-    many = got.where("size = 1").repartition(parts, "key").sortWithinPartitions("key", "doc", "place").mapInArrow(crowds, RANGES)
-    single = ordered_scan(got.where("size = 2").mapInArrow(strings, POST)).where("kind = 1")
-    return as_range(marks.where("kind = 1")).unionByName(as_range(single)).unionByName(few).unionByName(many)
+def texts_of(docs: DataFrame, key: str, text: str, seq: int) -> DataFrame:
+    doc, tie = document(F.col(key), F.col(text))
+    rows = docs.select(F.lit(seq).cast("long").alias("seq"), doc.alias("doc"), tie.alias("tie"), F.col(text).alias("text"))
+    return rows.where(F.octet_length("text") >= LONG)
+
+
+def repeated(rows: DataFrame, own: DataFrame, old: DataFrame | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """rows: seq, doc, tie, text of all batches; own: the posts of the newest, old: those of the
+    others. Returns the byte ranges of the newest that repeat, which may overlap, and the stored table
+    that they come from."""
+    out = own if old is None else own.unionByName(old.withColumn("kind", F.lit(0)))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    found = dealt(out.where("kind = 0"), size // 40, POSTS_A_TASK, "key").sortWithinPartitions("key").mapInArrow(shared_anchors, POST)
+    need = found.unionByName(own.where("kind = 2")).select("key", "seq", "doc", "tie", "place")
+    if old is not None:  # anchors of old rows only are done
+        need = need.join(need.groupBy("key").agg(F.max("seq").alias("newest")).where(F.col("newest") == own.agg(F.max("seq")).first()[0]), "key", "left_semi")
+    need = stored(need, "anchors")
+    crowded = need.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(1).alias("hot"))
+    asked = need.join(crowded, "key", "left").groupBy("seq", "doc", "tie").agg(F.collect_set(F.struct("key", "place", F.coalesce("hot", F.lit(0)).alias("hot"))).alias("asked"))  # at most one document's stretches
+    got = rows.join(asked.hint("shuffle_hash"), ["seq", "doc", "tie"]).select("seq", "doc", "tie", "asked", "text").mapInArrow(fetch, STRETCH)
+    order = ("seq", "doc", "tie", "anchor", "left", "low")
+    return dealt(got, need.count(), ROWS_A_TASK, "key").sortWithinPartitions(*order).mapInArrow(match, RANGES), need
 
 
 CUT = "struct<kept:binary,removed:bigint,spans:bigint>"
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "cut", crowd: int = CROWD, hot: int = HOT) -> DataFrame:
-    """Adds `to`: the kept bytes, the number of removed ones and of maximal removed runs."""
-
+def cut_out(docs: DataFrame, ranges: DataFrame, key: str, text: str, to: str) -> DataFrame:
     @F.arrow_udf(CUT)
     def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         out = []
@@ -376,8 +390,71 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "
             out.append({"kept": b"".join([*kept, raw[at:]]), "removed": sum(z - a for a, z in runs), "spans": len(runs)})
         return pa.array(out, pa.struct([("kept", pa.binary()), ("removed", pa.int64()), ("spans", pa.int64())]))
 
-    found = repeated(docs, key, text, crowd, hot).groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
+    own = [fresh(docs, c) for c in ("_doc", "_tie", "_ranges")]
+    found = ranges.groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "last")).alias(own[2])).withColumnsRenamed({"doc": own[0], "tie": own[1]})
     doc, tie = document(F.col(key), F.col(text))
-    rows = docs.withColumn("_doc", doc).withColumn("_tie", tie)
-    joined = rows.join(found.withColumnsRenamed({"doc": "_doc", "tie": "_tie"}).hint("shuffle_hash"), ["_doc", "_tie"], "left")
-    return joined.withColumn(to, cut(F.col(text), F.col("_ranges"))).select(*docs.columns, to)
+    joined = docs.withColumn(own[0], doc).withColumn(own[1], tie).join(found.hint("shuffle_hash"), own[:2], "left")
+    return joined.withColumn(to, cut(F.col(text), F.col(own[2]))).select(*(c for c in docs.columns if c != to), to)
+
+
+def ranges_of(posts_: DataFrame) -> DataFrame:
+    start = F.shiftright("place", COUNT_BITS)
+    return posts_.select("seq", "doc", "tie", start.alias("first"), (start + F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)) + LONG).alias("last"))
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "cut", hot: int = HOT) -> DataFrame:
+    """Adds `to`: the kept bytes, the number of removed ones and of maximal removed runs."""
+    rows = texts_of(docs, key, text, 0)
+    own = stored(rows.mapInArrow(posts, POST), "posts")
+    found, _ = repeated(rows, own, hot=hot)
+    return cut_out(docs, ranges_of(own.where("kind = 1")).unionByName(found), key, text, to)
+
+
+@dataclass
+class Level:
+    posts: str
+    texts: str
+    batches: int
+
+
+class Index:
+    """Anchors and texts of all batches so far, below a folder that all executors share. Batches are
+    levels; two levels of equal numbers of batches merge into one, sorted by anchor. A new Index of the
+    same folder goes on where the last one ended."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.levels = spark, folder.rstrip("/"), []
+        self.manifest = f"{self.folder}/manifest"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.manifest)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            lines = spark.read.parquet(self.manifest)
+            last = lines.agg(F.max("batch")).first()[0]
+            self.levels = [Level(r["posts"], r["texts"], r["batches"]) for r in lines.where(F.col("batch") == last).orderBy("at").collect()]
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "cut", hot: int = HOT) -> DataFrame:
+        """Takes a batch; returns it with `to` as `remove` does, against itself and all earlier ones."""
+        read = self.spark.read.parquet
+        seq = sum(x.batches for x in self.levels)
+        rows = texts_of(docs, key, text, seq)
+        own = stored(rows.mapInArrow(posts, POST), "posts")
+        every, old = rows, None
+        for x in self.levels:
+            every = every.unionByName(read(x.texts))
+            old = read(x.posts) if old is None else old.unionByName(read(x.posts))
+        found, need = repeated(every, own, old, hot)
+        found = stored(found.where(F.col("seq") == seq), "ranges")
+        drop_stored(need)
+        anchors = own.where("kind <> 1").drop("kind").distinct()
+        self.levels.append(Level(self._write(anchors.sortWithinPartitions("key"), "posts"), self._write(rows.distinct(), "texts"), 1))
+        while len(self.levels) > 1 and self.levels[-2].batches <= self.levels[-1].batches:
+            b, a = self.levels.pop(), self.levels.pop()
+            both = lambda p, q: read(p).unionByName(read(q))
+            self.levels.append(Level(self._write(both(a.posts, b.posts).repartition("key").sortWithinPartitions("key"), "posts"), self._write(both(a.texts, b.texts), "texts"), a.batches + b.batches))
+        lines = [(seq + 1, k, x.posts, x.texts, x.batches) for k, x in enumerate(self.levels)]
+        self.spark.createDataFrame(lines, "batch int, at int, posts string, texts string, batches int").write.mode("append").parquet(self.manifest)
+        return cut_out(docs, ranges_of(own.where("kind = 1")).unionByName(found), key, text, to)
