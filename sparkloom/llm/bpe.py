@@ -1,7 +1,8 @@
 """Byte-level BPE: exact encoding by per-prefix dynamic programming, and decoding.
 
-For a pre-token, every prefix has exactly one encoding, hence one last token. A suffix automaton of
-the vocabulary (its states are the prefixes of tokens; a step goes to the longest suffix that is one)
+For a pre-token, every prefix has exactly one encoding, hence one last token. An automaton of the
+vocabulary matches suffixes (its states are the prefixes of tokens; a step goes to the longest suffix
+of what was read that is one, as in Aho-Corasick automata, and states are built when first reached). It
 reports, at each end position, all tokens that are suffixes of the prefix read so far; the one whose
 predecessor (the last token of what remains before it) stays a separate token beside it is the last
 token of that prefix. Following the stored back-pointers from the end gives the ids. No merge queue
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INF = 1 << 60
-GENERATION = 400_000  #: pieces in each of the two generations of a worker's cache
+GENERATION = 50_000  #: pieces in each of the two generations of a worker's cache
+MOST_PAIRS = 200_000  #: pairs of tokens that a worker remembers
 LONGEST_CACHED = 48
 
 # The white space of Unicode, as the published pre-tokenizer's \s.
@@ -187,7 +189,7 @@ class Bpe:
 
     def remember(self, a: int, b: int) -> bool:
         self.n_pairs += 1
-        if self.n_pairs > 1_000_000:  # the memo is bounded; it fills again
+        if self.n_pairs > MOST_PAIRS:  # the memo is bounded; it fills again
             self.pairs[:] = [{} for _ in self.table]
             self.n_pairs = 0
         ok = self.pairs[a][b] = self.apart(a, b)

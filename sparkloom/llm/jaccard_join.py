@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICED, dealt, drop_stored, fresh, sliced, sliced_sum, stored
+from .common import SLICED, dealt, drop_stored, fresh, sliced, sliced_sum, stored, tidy
 from .components import components
 
 SHINGLE = 5
@@ -116,6 +116,7 @@ def pieces(batches, columns: list[str]):
             stop = min(b.num_rows, int(np.searchsorted(ends, begin + STEP_BYTES)) + 1)
             yield [c.slice(start, stop - start) for c in cols[:-1]], cols[-1].slice(start, stop - start).cast(pa.binary()).to_pylist()
             start, begin = stop, int(ends[stop - 1])
+    tidy()
 
 
 def needed(n: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, least_reaching, stored
+from .common import drop_stored, least_reaching, stored, tidy
 from .jaccard_join import mixed, powers
 
 SAMPLE_ROWS = 30_000
@@ -126,6 +126,7 @@ def counts(batches):
                 ],
                 ["lang", "n", "gram", "count"],
             )
+    tidy()
 
 
 class Model:
