@@ -77,7 +77,7 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dealt(df: DataFrame, size: int, a_task: int, *columns: str) -> DataFrame:
+def dealt(df: DataFrame, size: int, a_task: int, *columns: str | Column) -> DataFrame:
     """df dealt out by columns: to the session's number of tasks, or to more where these would take
     over `a_task` of `size` each."""
     parts = -(-size // a_task)

@@ -12,6 +12,7 @@ strings mostly share an anchor: a stretch is a run of starts with one anchor.
 1. Each task lists the stretches of its documents. Stretches of a block that are equal byte for byte
    are settled at once: all but the first are repeats. An anchor that a block has several times is
    known to be shared and sends one row only; the other anchors are dealt out to find shared ones.
+   Of equal texts (SHA-256) the first stands for all; the others are repeats as a whole.
 2. The bytes of stretches with a shared anchor are fetched and dealt out by anchor. Each task takes
    them in order, in batches. A batch gets a suffix array, is merge-scanned with the suffixes of the
    same anchors in all earlier levels, and becomes a level itself, less what is repeated as a whole;
@@ -153,18 +154,24 @@ def posts(batches):
 
 
 def shared_anchors(batches):
-    """Rows sorted by key: those whose key another row has too, as kind 2."""
+    """Rows sorted by key: of kind 0, those whose key another one has too, as kind 2; all others."""
     held = None
     for b in batches:
+        if not b.num_rows:
+            continue
+        kind = b.column("kind").to_numpy()
+        if kind.any():
+            yield b.filter(pa.array(kind > 0))
+            b = b.filter(pa.array(kind == 0))
         b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         if not b.num_rows:
             continue
         key = b.column("key").to_numpy()
         again = np.concatenate([[False], key[1:] == key[:-1]])
-        pick = again | np.concatenate([again[1:], [False]])
-        # The last row waits for the next one; it is held again if it is known already, and sent twice.
-        yield b.filter(pa.array(pick))
+        # The last row waits for the next one; if it is known already it is held again, and sent twice.
+        pick = b.filter(pa.array(again | np.concatenate([again[1:], [False]])))
         held = b.slice(b.num_rows - 1)
+        yield pa.record_batch([*(pick.column(c) for c in ("key", "seq", "doc", "tie", "place")), pa.array([2] * pick.num_rows, pa.int32())], b.schema.names)
 
 
 STRETCH = "key long, seq long, doc long, tie long, anchor long, left int, low int, bytes binary"
@@ -351,22 +358,27 @@ def texts_of(docs: DataFrame, key: str, text: str, seq: int) -> DataFrame:
     return rows.where(F.octet_length("text") >= LONG)
 
 
-def repeated(rows: DataFrame, own: DataFrame, old: DataFrame | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """rows: seq, doc, tie, text of all batches; own: the posts of the newest, old: those of the
-    others. Returns the byte ranges of the newest that repeat, which may overlap, and the stored table
-    that they come from."""
+def repeated(rows: DataFrame, own: DataFrame, seq: int = 0, old: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """rows: seq, doc, tie, text of all batches; own: the posts of batch seq, the newest, old: those
+    of the others. Returns the byte ranges of the newest that repeat; they may overlap."""
+    named = rows.select("seq", "doc", "tie", F.octet_length("text").cast("long").alias("last"), F.unhex(F.sha2("text", 256)).alias("name"))
+    first = named.groupBy("name").agg(F.min(F.struct("seq", "doc")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(named.join(first, "name").where(F.struct("seq", "doc") > F.col("first")).select("seq", "doc", "tie", F.lit(0).cast("long").alias("first"), "last").distinct(), "copies")
     out = own if old is None else own.unionByName(old.withColumn("kind", F.lit(0)))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = dealt(out.where("kind = 0"), size // 40, POSTS_A_TASK, "key").sortWithinPartitions("key").mapInArrow(shared_anchors, POST)
-    need = found.unionByName(own.where("kind = 2")).select("key", "seq", "doc", "tie", "place")
-    if old is not None:  # anchors of old rows only are done
-        need = need.join(need.groupBy("key").agg(F.max("seq").alias("newest")).where(F.col("newest") == own.agg(F.max("seq")).first()[0]), "key", "left_semi")
-    need = stored(need, "anchors")
-    crowded = need.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(1).alias("hot"))
-    asked = need.join(crowded, "key", "left").groupBy("seq", "doc", "tie").agg(F.collect_set(F.struct("key", "place", F.coalesce("hot", F.lit(0)).alias("hot"))).alias("asked"))  # at most one document's stretches
+    by = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("doc", "place"))
+    marks = stored(dealt(out, size // 40, POSTS_A_TASK, by).sortWithinPartitions("key").mapInArrow(shared_anchors, POST), "marks")
+    need = marks.where("kind = 2").join(copies.select("seq", "doc", "tie"), ["seq", "doc", "tie"], "left_anti").select("key", "seq", "doc", "tie", "place").distinct()
+    # Anchors of one row, or of old rows only, are done.
+    many = need.groupBy("key").agg(F.count("*").alias("n"), F.max("seq").alias("newest")).where((F.col("n") > 1) & (F.col("newest") == seq))
+    asked = need.join(many.select("key", (F.col("n") > hot).cast("int").alias("hot")), "key")
+    asked = stored(asked.groupBy("seq", "doc", "tie").agg(F.collect_list(F.struct("key", "place", "hot")).alias("asked")), "asked")  # at most one document's stretches
+    fetched = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0]
     got = rows.join(asked.hint("shuffle_hash"), ["seq", "doc", "tie"]).select("seq", "doc", "tie", "asked", "text").mapInArrow(fetch, STRETCH)
-    order = ("seq", "doc", "tie", "anchor", "left", "low")
-    return dealt(got, need.count(), ROWS_A_TASK, "key").sortWithinPartitions(*order).mapInArrow(match, RANGES), need
+    partial = dealt(got, fetched, ROWS_A_TASK, "key").sortWithinPartitions("seq", "doc", "tie", "anchor", "left", "low").mapInArrow(match, RANGES)
+    partial = stored(partial.where(F.col("seq") == seq), "ranges")
+    drop_stored(asked)
+    return partial.unionByName(ranges_of(marks.where("kind = 1"))).unionByName(copies.where(F.col("seq") == seq))
 
 
 CUT = "struct<kept:binary,removed:bigint,spans:bigint>"
@@ -405,9 +417,7 @@ def ranges_of(posts_: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", to: str = "cut", hot: int = HOT) -> DataFrame:
     """Adds `to`: the kept bytes, the number of removed ones and of maximal removed runs."""
     rows = texts_of(docs, key, text, 0)
-    own = stored(rows.mapInArrow(posts, POST), "posts")
-    found, _ = repeated(rows, own, hot=hot)
-    return cut_out(docs, ranges_of(own.where("kind = 1")).unionByName(found), key, text, to)
+    return cut_out(docs, repeated(rows, rows.mapInArrow(posts, POST), hot=hot), key, text, to)
 
 
 @dataclass
@@ -446,9 +456,7 @@ class Index:
         for x in self.levels:
             every = every.unionByName(read(x.texts))
             old = read(x.posts) if old is None else old.unionByName(read(x.posts))
-        found, need = repeated(every, own, old, hot)
-        found = stored(found.where(F.col("seq") == seq), "ranges")
-        drop_stored(need)
+        found = repeated(every, own, seq, old, hot)
         anchors = own.where("kind <> 1").drop("kind").distinct()
         self.levels.append(Level(self._write(anchors.sortWithinPartitions("key"), "posts"), self._write(rows.distinct(), "texts"), 1))
         while len(self.levels) > 1 and self.levels[-2].batches <= self.levels[-1].batches:
@@ -457,4 +465,5 @@ class Index:
             self.levels.append(Level(self._write(both(a.posts, b.posts).repartition("key").sortWithinPartitions("key"), "posts"), self._write(both(a.texts, b.texts), "texts"), a.batches + b.batches))
         lines = [(seq + 1, k, x.posts, x.texts, x.batches) for k, x in enumerate(self.levels)]
         self.spark.createDataFrame(lines, "batch int, at int, posts string, texts string, batches int").write.mode("append").parquet(self.manifest)
-        return cut_out(docs, ranges_of(own.where("kind = 1")).unionByName(found), key, text, to)
+        drop_stored(own)
+        return cut_out(docs, found, key, text, to)
