@@ -111,7 +111,7 @@ def luhn(value: Column) -> Column:
 def valid(kind: str, value: Column) -> Column:
     n = F.length(digits(value))
     if kind == "ip":  # at most three digits after leading zeros, so any length of them is compared safely
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.try_to_number(F.lpad(F.right(p, F.lit(3)), 3, "0"), F.lit("999")), F.lit(0)) <= 255))
+        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.try_to_number(F.lpad(F.right(p, F.lit(3)), 3, "0"), F.lit("999")), F.lit(0)) <= 255))
     if kind == "card":
         return n.between(12, 19) & luhn(value)
     if kind == "phone":

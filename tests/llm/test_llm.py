@@ -161,7 +161,7 @@ def test_op2(spark, sf, rows):
 
 
 def test_pii_awkward(spark):
-    texts = ["a@b.c_d@e.f", "x" * 5000 + "@" + "y.z" * 900, "1" * 9000, "1 2 3" * 800, "00256.1.1.1 00255.0.0.0", "1.1.1.1.1", "+1 2 3 4 5 6 7 8 9 (", "4111 1111 1111 1111  4111111111111111", "1-2-" * 2000 + "3", "++12345678901", "a@b", "a@b.", "é@b.cc", "5.5.5.5\n6.6.6.6"]
+    texts = ["a@b.c_d@e.f", "x" * 5000 + "@" + "y.z" * 900, "1" * 9000, "1 2 3" * 800, "00256.1.1.1 00255.0.0.0 1100.1.1.1 1.2.3.4100 0.00.000.0000", "1.1.1.1.1", "+1 2 3 4 5 6 7 8 9 (", "4111 1111 1111 1111  4111111111111111", "1-2-" * 2000 + "3", "++12345678901", "a@b", "a@b.", "é@b.cc", "5.5.5.5\n6.6.6.6"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     have = {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.listed(F.col("base")).alias("s")).collect()}
     assert have == {k: ",".join(f"{x}:{a}:{e}" for a, _, x, e in pii_base(t)) for k, t in enumerate(texts)}
