@@ -21,27 +21,41 @@ def find(line: list[str], words: list[str], times: list[float]) -> tuple[float |
     return float(times[blocks[0].b]), sum(b.size for b in blocks) / len(line)
 
 
-def find_start(line: list[str], words: list[str], times: list[float], per_word: float = 0.3) -> float | None:
-    """When the line began: at the first two words or more in a row, less a bit for each before."""
-    for b in SequenceMatcher(None, line, words, autojunk=False).get_matching_blocks():
-        if b.size >= 2:
-            return float(times[b.b]) - per_word * b.a
-    return None
-
-
-def find_unique(line: list[str], words: list[str], times: list[float], apart: float = 20, by: int = 2) -> float | None:
-    """The best place of the line if it beats any place further than `apart` by over `by` words."""
-    scores = []
-    for s in range(0, max(1, len(words) - len(line) + 1), 2):
-        part = words[s : s + len(line) + 2]
-        blocks = SequenceMatcher(None, line, part, autojunk=False).get_matching_blocks()
-        n = sum(b.size for b in blocks)
-        if n:
-            scores.append((n, -s, float(times[s + blocks[0].b])))
-    if not scores:
-        return None
-    n, _, t = max(scores)
-    return t if all(m < n - by for m, _, u in scores if abs(u - t) > apart) else None
+def _blocks(line: list[str], words: list[str]):
+    return [b for b in SequenceMatcher(None, line, words, autojunk=False).get_matching_blocks() if b.size]
+
+
+def _first_run(blocks):
+    """The first block of two words or more, else the first one."""
+    return min(blocks, key=lambda b: (b.size < 2, b.a))
+
+
+def find_start(line: list[str], words: list[str], times: list[float], per_word: float = 0.3) -> tuple[float | None, float]:
+    """When the line began, and the share of it that is found: at its first two words or more in a row
+    (else its first word found), less a bit for each word before."""
+    blocks = _blocks(line, words) if line else []
+    if not blocks:
+        return None, 0.0
+    run = _first_run(blocks)
+    return float(times[run.b]) - per_word * run.a, sum(b.size for b in blocks) / len(line)
+
+
+def find_unique(line: list[str], words: list[str], times: list[float], apart: float = 20, by: int = 2) -> tuple[float | None, float]:
+    """The same, but only if the best place beats by over `by` words any other whose words are all more
+    than `apart` away from its own. Places are tried at every second word; of equals the last wins."""
+    n, tried = len(line), []
+    for s in range(0, max(1, len(words) - n // 2), 2):
+        blocks = _blocks(line, words[s : s + n + 6])
+        if blocks:
+            run = _first_run(blocks)
+            tried.append({"score": sum(b.size for b in blocks), "at": s + run.b, "skipped": run.a, "first": s + blocks[0].b, "last": s + blocks[-1].b + blocks[-1].size - 1})
+    if not line or not tried:
+        return None, 0.0
+    best = max(tried, key=lambda x: tuple(x.values()))
+    clear = lambda x: times[x["last"]] < times[best["first"]] - apart or times[x["first"]] > times[best["last"]] + apart
+    if any(x["score"] >= best["score"] - by for x in tried if clear(x)):
+        return None, 0.0
+    return float(times[best["at"]]) - 0.3 * best["skipped"], best["score"] / n
 
 
 def merged(old: list[str], new: list[str], known: set[str]) -> list[str]:
@@ -59,14 +73,17 @@ def find_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFram
     return pd.DataFrame([find(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], columns=["t", "share"])
 
 
-@F.pandas_udf(T.DoubleType())
-def find_start_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.Series:
-    return pd.Series([find_start(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], dtype="float64")
+FOUND = T.StructType([T.StructField("t", T.DoubleType()), T.StructField("share", T.DoubleType())])
 
 
-@F.pandas_udf(T.DoubleType())
-def find_unique_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.Series:
-    return pd.Series([find_unique(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], dtype="float64")
+@F.pandas_udf(FOUND)
+def find_start_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([find_start(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], columns=["t", "share"])
+
+
+@F.pandas_udf(FOUND)
+def find_unique_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([find_unique(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], columns=["t", "share"])
 
 
 @F.pandas_udf(T.DoubleType())

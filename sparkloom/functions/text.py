@@ -48,8 +48,9 @@ def first_rule(text: Column, rules: list[tuple[str, str]], default: str | None =
 
 
 def text_hash(text: Column) -> Column:
-    """A 32-bit string hash (h = h * 33 + code, from 5381) in base 36; ASCII text."""
-    h = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(5381).cast("long"), lambda a, c: F.pmod(a * 33 + F.ascii(c), F.lit(4294967296)))
+    """A 32-bit string hash (h = h * 33 + UTF-16 unit, from 5381) in base 36."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    h = F.aggregate(units, F.lit(5381).cast("long"), lambda a, c: F.pmod(a * 33 + F.conv(c, 16, 10).cast("long"), F.lit(4294967296)))
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 

@@ -22,10 +22,13 @@ def clipped_fit(df: DataFrame, keys: list[str], x: str, y: str, least_spread: fl
 
 def rare_votes(queries: DataFrame, index: DataFrame, query: str, gram: str, place: str, most: int, width: float, least: float = 0.0) -> DataFrame:
     """Each distinct gram of a query votes 1/hits for the places (in bins) where the index has it, if
-    it has at most `most`. The best bin of each query, the lower of equals, and its score."""
-    hits = index.groupBy(gram).agg(F.count("*").alias("_hits")).where(F.col("_hits") <= most)
-    rare = index.join(hits, gram)
-    votes = queries.select(query, gram).distinct().join(rare, gram).withColumn("bin", F.floor(F.col(place) / width).cast("long")).groupBy(query, "bin").agg(F.sum(1 / F.col("_hits")).alias("score"))
+    it has at most `most`. The best bin of each query, the lower of equals, and its score. Index rows
+    whose gram no query has go before anything is counted."""
+    asked = queries.select(query, gram).distinct()
+    met = index.join(asked.select(gram).distinct(), gram, "left_semi")
+    hits = met.groupBy(gram).agg(F.count("*").alias("_hits")).where(F.col("_hits") <= most)
+    rare = met.join(hits, gram)
+    votes = asked.join(rare, gram).withColumn("bin", F.floor(F.col(place) / width).cast("long")).groupBy(query, "bin").agg(F.sum(1 / F.col("_hits")).alias("score"))
     best = votes.groupBy(query).agg(F.max_by("bin", F.struct(F.round("score", 6), -F.col("bin"))).alias("bin"), F.round(F.max("score"), 2).alias("score"))
     return best.where(F.col("score") >= least)
 

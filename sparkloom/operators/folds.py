@@ -1,14 +1,18 @@
 """Greedy folds: each step depends on earlier outputs, so a frame cannot express them. One group (a
 tape, a mission, a user) is folded in one task by applyInPandas; groups run side by side. The folds
-themselves are small helpers on lists. Callers whose groups are unbounded must cut them first, as
-`longest_run` does by time."""
+themselves are small helpers on lists. Where a fold cannot look across a gap (spans that do not touch,
+anchors out of reach) groups are cut there first, so that a user with very many rows is many groups.
+`longest_run` and `resolve_times` look across a whole stream: their groups must be bounded."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .sequence import clusters, running_most
 
 
 def increasing(values: list[float | None], strict: bool) -> list[int]:
@@ -141,15 +145,6 @@ def resolved(times: list[int | None], patterns: list[str | None], hours: list[in
     return out
 
 
-def phases(classes: list[int | None]) -> list[int | None]:
-    """Each row's stage: its own class unless that is null or behind the stage reached."""
-    out, stage = [], None
-    for c in classes:
-        stage = c if c is not None and c == c and (stage is None or c >= stage) else stage
-        out.append(stage)
-    return out
-
-
 def per_group(df: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
     """fold: a pandas frame in order -> a pandas frame."""
     return df.groupBy(*keys).applyInPandas(lambda p: fold(p.sort_values(order, kind="stable").reset_index(drop=True)), schema)
@@ -164,38 +159,44 @@ def longest_run(df: DataFrame, keys: list[str], order: list[str], value: str, st
     return per_group(df, keys, order, fold, df.schema)
 
 
-def trim_overlaps(df: DataFrame, keys: list[str], start: str, end: str, anchors: str) -> DataFrame:
+def _of_spans(df: DataFrame, keys: list[str], start: str, end: str, value: str, width: float, fold) -> DataFrame:
+    """fold: (start, end, value) of touching spans -> the same."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
+    columns = [*keys, start, end, value]
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        rows = trimmed(list(zip(p[start], p[end], p[anchors])))
-        return pd.DataFrame([(*p.loc[0, keys], *r) for r in rows], columns=[*keys, start, end, anchors])
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        rows = fold(list(zip(p[start], p[end], p[value])))
+        return pd.DataFrame([(*p.loc[0, keys], *r) for r in rows], columns=columns)
 
-    return per_group(df, keys, [start, end], fold, ", ".join(f"`{c}` {types[c]}" for c in [*keys, start, end, anchors]))
+    parts = clusters(df.select(*columns), keys, start, F.col(end), width, "_cluster")
+    return per_group(parts, [*keys, "_cluster"], [start, end], run, ", ".join(f"`{c}` {types[c]}" for c in columns))
 
 
-def merge_pieces(df: DataFrame, keys: list[str], start: str, end: str, offset: str, within: float = 30) -> DataFrame:
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
+def trim_overlaps(df: DataFrame, keys: list[str], start: str, end: str, anchors: str, width: float = 3600) -> DataFrame:
+    return _of_spans(df, keys, start, end, anchors, width, trimmed)
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        rows = merged(list(zip(p[start], p[end], p[offset])), within)
-        return pd.DataFrame([(*p.loc[0, keys], *r) for r in rows], columns=[*keys, start, end, offset])
 
-    return per_group(df, keys, [start, end], fold, ", ".join(f"`{c}` {types[c]}" for c in [*keys, start, end, offset]))
+def merge_pieces(df: DataFrame, keys: list[str], start: str, end: str, offset: str, within: float = 30, width: float = 3600) -> DataFrame:
+    return _of_spans(df, keys, start, end, offset, width, lambda spans: merged(spans, within))
 
 
 def group_by_offset(df: DataFrame, keys: list[str], at: str, offset: str, reach: float = 600, within: float = 8, to: str = "group") -> DataFrame:
+    """Groups are numbered from 0 for each key, in order of their first anchors."""
+
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         return p.assign(**{to: offset_groups(list(zip(p[at], p[offset])), reach, within)})
 
-    return per_group(df, keys, [at], fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` int")
-
+    parts = clusters(df, keys, at, F.col(at) + reach, 10 * reach, "_cluster")
+    out = per_group(parts, [*keys, "_cluster"], [at], fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + f", `{to}` int")
+    many = out.groupBy(*keys, "_cluster").agg((F.max(to) + 1).alias("_many"))
+    before = F.sum("_many").over(Window.partitionBy(*keys).orderBy("_cluster").rowsBetween(Window.unboundedPreceding, -1))
+    shift = many.select(*keys, "_cluster", F.coalesce(before, F.lit(0)).cast("int").alias("_shift"))
+    return out.join(shift, [*keys, "_cluster"]).withColumn(to, F.col(to) + F.col("_shift")).select(*df.columns, to)
 
-def phase_fold(df: DataFrame, keys: list[str], order: list[str], kind: str, to: str = "stage") -> DataFrame:
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        return p.assign(**{to: pd.array(phases([None if pd.isna(x) else int(x) for x in p[kind]]), dtype="Int64")})
 
-    return per_group(df, keys, order, fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` long")
+def phase_fold(df: DataFrame, keys: list[str], order: str, kind: str, width: float = 100_000, to: str = "stage") -> DataFrame:
+    """Each row's stage: its own class unless that is null or behind the stage reached."""
+    return running_most(df, keys, order, F.col(kind).cast("long"), width, to)
 
 
 def resolve_times(df: DataFrame, keys: list[str], order: list[str], time: str, pattern: str, hour: str, to: str = "resolved") -> DataFrame:

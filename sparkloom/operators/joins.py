@@ -40,12 +40,25 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str], width: float, tolerance: float | None = None, to: str = "match") -> DataFrame:
     """The right row nearest in time, before or after; a tie goes to the earlier one. Beyond
-    `tolerance` the match is null."""
-    one = asof(left, right, keys, at, right_at, take, width, strict=True, to="_before")
-    both = asof(one, right, keys, at, right_at, take, width, forward=True, to="_after")
-    back, ahead = F.col(at) - F.col("_before")[right_at], F.col("_after")[right_at] - F.col(at)
-    best = F.when(F.col("_after").isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))
-    out = both.withColumn(to, best)
+    `tolerance` the match is null. Of right rows at one time, the greatest `take` counts before, the
+    least after. One pass: both sides come from one union, dealt out once."""
+    payload = F.struct(F.col(right_at), *take)
+    l = left.select(*left.columns, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_p"))
+    r = right.select(*[F.col(k) for k in keys], F.col(right_at).alias("_t"), F.lit(1).alias("_side"), payload.alias("_p"))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / width))
+    # At one time left rows come first, so that right rows of that time count as after.
+    inside = Window.partitionBy(*keys, "_b")
+    up, down = inside.orderBy("_t", "_side", "_p"), inside.orderBy(F.desc("_t"), F.desc("_side"), F.desc("_p"))
+    so_far = (Window.unboundedPreceding, 0)
+    has = F.when(F.col("_p").isNotNull(), F.struct("_t", "_p"))
+    buckets = both.groupBy(*keys, "_b").agg(F.max_by("_p", has).alias("_end"), F.min_by("_p", has).alias("_begin"))
+    line = Window.partitionBy(*keys)
+    others = buckets.select(*keys, "_b", F.last("_end", True).over(line.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_old"), F.last("_begin", True).over(line.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_new"))
+    seen = both.withColumn("_back", F.last("_p", True).over(up.rowsBetween(*so_far))).withColumn("_ahead", F.last("_p", True).over(down.rowsBetween(*so_far))).where("_side = 0")
+    out = seen.join(others, [*keys, "_b"], "left").withColumn("_back", F.coalesce("_back", "_old")).withColumn("_ahead", F.coalesce("_ahead", "_new"))
+    back, ahead = F.col(at) - F.col("_back")[right_at], F.col("_ahead")[right_at] - F.col(at)
+    best = F.when(F.col("_ahead").isNull() | (back <= ahead), F.col("_back")).otherwise(F.col("_ahead"))
+    out = out.withColumn(to, best)
     if tolerance is not None:
         out = out.withColumn(to, F.when(F.abs(F.col(at) - F.col(to)[right_at]) <= tolerance, F.col(to)))
     return out.select(*left.columns, to)

@@ -52,8 +52,9 @@ def interpolate(df: DataFrame, keys: list[str], at: str, value: str, to: str = "
     first and after the last known row, its value."""
     w = ordered(keys, [at])
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("x"), F.col(value).alias("y")))
+    back = Window.partitionBy(*keys).orderBy(F.desc(at))  # a frame to the end would be read again for each row
     a = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    b = F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     line = a["y"] + (b["y"] - a["y"]) * (F.col(at) - a["x"]) / (b["x"] - a["x"])
     return df.withColumn(to, F.when(a.isNull(), b["y"]).when(b.isNull() | (a["x"] == b["x"]), a["y"]).otherwise(line))
 
@@ -80,3 +81,22 @@ def filled(df: DataFrame, day: str, keys: list[str], n: str, first: str, last: s
     days = F.transform(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last))), lambda d: d.cast("string"))
     frame = (df.select(*keys).distinct() if keys else df.sparkSession.range(1)).withColumn(day, F.explode(days))
     return frame.join(df, [*keys, day], "left").select(day, *keys, F.coalesce(n, F.lit(0)).alias(n))
+
+
+def running_most(df: DataFrame, keys: list[str], at: str, value: Column, width: float, to: str, strict: bool = False) -> DataFrame:
+    """The greatest value up to each row in order of `at` (strict: of the rows before it). The order is cut into buckets of `width`, and what earlier buckets reach is
+    carried over, so that one key with very many rows is spread over tasks."""
+    rows = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(at) / width))
+    order = Window.partitionBy(*keys, "_b").orderBy(at)
+    inside = order.rowsBetween(Window.unboundedPreceding, -1) if strict else order.rangeBetween(Window.unboundedPreceding, 0)
+    most = rows.groupBy(*keys, "_b").agg(F.max("_v").alias("_most"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried_ = most.select(*keys, "_b", F.max("_most").over(before).alias("_carry"))
+    return rows.withColumn("_own", F.max("_v").over(inside)).join(carried_, [*keys, "_b"]).withColumn(to, F.greatest("_own", "_carry")).select(*(c for c in df.columns if c != to), to)
+
+
+def clusters(df: DataFrame, keys: list[str], start: str, end: Column, width: float, to: str = "cluster") -> DataFrame:
+    """Rows whose spans overlap or touch, in chains: `to` is the start of the first one."""
+    reached = running_most(df, keys, start, end, width, "_reached", strict=True)
+    first = F.when(F.col("_reached").isNull() | (F.col(start) > F.col("_reached")), F.col(start))
+    return running_most(reached.withColumn("_first", first), keys, start, F.col("_first"), width, to).drop("_reached", "_first")

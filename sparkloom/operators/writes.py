@@ -27,9 +27,32 @@ def upsert_add(state: DataFrame, changes: DataFrame, keys: list[str], n: str) ->
     return state.select(*keys, n).unionByName(changes.select(*keys, n)).groupBy(*keys).agg(F.sum(n).alias(n))
 
 
-def insert_missing(state: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Appends the rows whose key the state lacks."""
-    return state.unionByName(rows.join(state.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys))
+def insert_missing(state: DataFrame, rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Appends the rows whose key the state lacks; of several, the first in `order` (if none is given,
+    by all other columns)."""
+    new = rows.join(state.select(*keys).distinct(), keys, "left_anti")
+    rest = [F.col(c) for c in rows.columns if c not in keys]
+    return state.unionByName(first_write_wins(new, keys, *(order or rest)) if rest else new.distinct())
+
+
+def to_do(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """A restartable batch: the rows whose output is not there yet."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def sync_lists(here: DataFrame, there: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
+    """key, action: `upload` for what is here, not rejected and not there; `delete` for what is there
+    and rejected."""
+    bad = rejected.select(key).distinct()
+    upload = here.select(key).distinct().join(bad, key, "left_anti").join(there.select(key), key, "left_anti")
+    delete = there.select(key).distinct().join(bad, key, "left_semi")
+    return upload.withColumn("action", F.lit("upload")).unionByName(delete.withColumn("action", F.lit("delete")))
+
+
+def whole_units(rows: DataFrame, keys: list[str], amount: Column, unit: float) -> DataFrame:
+    """Counters that send whole units and keep the rest: sent, and what is left."""
+    total = F.sum(amount)
+    return rows.groupBy(*keys).agg(F.floor(total / unit).alias("sent"), (total - unit * F.floor(total / unit)).alias("left"))
 
 
 def apply_changes(state: DataFrame, changes: DataFrame, key: str, removed: str) -> DataFrame:

@@ -57,7 +57,7 @@ def retimed_lines(spark, sf_dir):
 def lines_on_tape(spark, sf_dir):
     """Clock times looked up in the segments of one tape, with the tape time, or null."""
     one = fixed_segments(spark, sf_dir).where("tape = '1'")
-    l = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), (F.col("o_orderkey") % 9000).cast("double").alias("g")).where("line < 9000")
+    l = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line"), (F.col("o_orderkey") % 9000).cast("double").alias("g"))
     return placement.lines_on_tape(l, one).select("line", F.coalesce("tape", F.lit("")).alias("tape"), F.coalesce(F.round("t", 6), F.lit(-1.0)).alias("t"))
 
 
@@ -67,5 +67,5 @@ W = "e AS (SELECT CAST(user_id AS VARCHAR) AS tape, event_id AS seq, event_type,
 ORACLE_SQL = {
     "words_on_clock": f"WITH {W} SELECT seq, round(g, 6) AS g FROM w",
     "unheard_lines": f"WITH {W} SELECT seq AS line FROM w a WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM w b WHERE a.tape = b.tape AND b.event_type NOT IN ('purchase', 'view') AND b.g BETWEEN a.g - 30 AND a.g + 30)",
-    "lines_on_tape": "WITH l AS (SELECT o_orderkey AS line, (o_orderkey % 9000)::DOUBLE AS g FROM orders WHERE o_orderkey < 9000) SELECT line, CASE WHEN g >= 100 AND g < 1000 OR g >= 5000 AND g < 6550 THEN '1' ELSE '' END AS tape, round(CASE WHEN g >= 100 AND g < 1000 THEN g - 100 WHEN g >= 5000 AND g < 6550 THEN 900 + (g - 5000) / 0.5 ELSE -1.0 END, 6) AS t FROM l",
+    "lines_on_tape": "WITH l AS (SELECT o_orderkey AS line, (o_orderkey % 9000)::DOUBLE AS g FROM orders) SELECT line, CASE WHEN g >= 100 AND g < 1000 OR g >= 5000 AND g < 6550 THEN '1' ELSE '' END AS tape, round(CASE WHEN g >= 100 AND g < 1000 THEN g - 100 WHEN g >= 5000 AND g < 6550 THEN 900 + (g - 5000) / 0.5 ELSE -1.0 END, 6) AS t FROM l",
 }

@@ -21,7 +21,9 @@ def top_reactions(spark, sf_dir):
     p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     flags = F.array_join(F.transform(F.array_sort(F.collect_list("l_returnflag")), lambda x: x), " ")
     top = by_flag.groupBy("l_partkey").agg(F.sum("n").alias("total"), flags.alias("flags"))
-    return top.join(p, F.col("l_partkey") == F.col("p_partkey")).orderBy(F.desc("total"), "p_partkey").limit(30).select("p_partkey", "p_name", "p_brand", "total", "flags")
+    # Every line has its part, so the top thirty are taken before the join.
+    top = top.orderBy(F.desc("total"), "l_partkey").limit(30)
+    return top.join(p, F.col("l_partkey") == F.col("p_partkey")).orderBy(F.desc("total"), "p_partkey").select("p_partkey", "p_name", "p_brand", "total", "flags")
 
 
 def top_prefix(spark, sf_dir):
@@ -86,9 +88,9 @@ def paged(spark, sf_dir):
 
 
 def nulls_last(spark, sf_dir):
-    """The first hundred by a date that may be missing, missing ones last."""
-    o = load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day")).where("o_orderkey < 140")
-    return o.orderBy(F.asc_nulls_last("day"), "o_orderkey").limit(100)
+    """By a date that may be missing, missing ones last."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
+    return o.orderBy(F.asc_nulls_last("day"), "o_orderkey")
 
 
 def snapshot_diff(spark, sf_dir):
@@ -186,7 +188,7 @@ ORACLE_SQL = {
     "other_nations": "SELECT a.n_nationkey, a.n_name, count(*) AS others FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY ALL",
     "set_operations": "WITH a AS (SELECT user_id FROM events WHERE value > 60 AND event_type = 'view'), b AS (SELECT user_id FROM events WHERE value > 60 AND event_type = 'error') SELECT user_id, 'union' AS what FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT user_id, 'both' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT user_id, 'only views' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT user_id, 'signups without' FROM (SELECT user_id FROM events WHERE event_type = 'signup' EXCEPT SELECT * FROM a)",
     "paged": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 60 OFFSET 120",
-    "nulls_last": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders WHERE o_orderkey < 140 ORDER BY day ASC NULLS LAST, o_orderkey LIMIT 100",
+    "nulls_last": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders ORDER BY day ASC NULLS LAST, o_orderkey",
     "snapshot_diff": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'removed' ELSE 'modified' END AS change FROM orders WHERE o_orderkey % 7 = 0 OR (o_orderkey % 11 = 0 AND o_orderstatus <> 'X') UNION ALL SELECT o_orderkey + 10000000, 'added' FROM orders WHERE o_orderkey < 20",
     "preferred_sources": "WITH s AS (SELECT p_partkey, p_brand, p_retailprice, CASE WHEN p_size > 45 THEN 1 WHEN p_type = 'SMALL' THEN 2 WHEN p_retailprice > 1000 THEN 3 END AS rank FROM part) SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY rank, p_retailprice DESC, p_partkey) AS place FROM s WHERE rank IS NOT NULL QUALIFY place <= 20",
     "reviewer_queue": "WITH m AS (SELECT doc_id FROM labels WHERE quality = 0 ORDER BY doc_id DESC LIMIT 5) SELECT doc_id, 0 AS part FROM m UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM m)",

@@ -15,7 +15,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_daily_kind(spark, sf_dir):
-    return events(spark, sf_dir).where("day >= '2024-01-08'").groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return events(spark, sf_dir).where("ts >= timestamp_ntz'2024-01-08 00:00:00'").groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def stats_daily_visitors(spark, sf_dir):
@@ -23,7 +23,7 @@ def stats_daily_visitors(spark, sf_dir):
 
 
 def stats_days_filled(spark, sf_dir):
-    e = events(spark, sf_dir).where("event_type = 'purchase' and user_id < 40").groupBy("event_type", "day").agg(F.count("*").alias("n"))
+    e = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("event_type", "day").agg(F.count("*").alias("n"))
     return sequence.filled(e, "day", ["event_type"], "n", "2023-12-30", "2024-02-02")
 
 
@@ -144,7 +144,7 @@ E = "e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events)"
 ORACLE_SQL = {
     "stats_daily_kind": f"WITH {E} SELECT day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM e WHERE day >= '2024-01-08' GROUP BY ALL",
     "stats_daily_visitors": f"WITH {E} SELECT day, count(DISTINCT user_id) AS visitors FROM e GROUP BY day",
-    "stats_days_filled": f"WITH {E} SELECT strftime(d, '%Y-%m-%d') AS day, 'purchase' AS event_type, (SELECT count(*) FROM e WHERE e.day = strftime(d, '%Y-%m-%d') AND event_type = 'purchase' AND user_id < 40) AS n FROM generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY) AS s(d)",
+    "stats_days_filled": f"WITH {E} SELECT strftime(d, '%Y-%m-%d') AS day, 'purchase' AS event_type, (SELECT count(*) FROM e WHERE e.day = strftime(d, '%Y-%m-%d') AND event_type = 'purchase') AS n FROM generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY) AS s(d)",
     "stats_hour_of_day": "SELECT (hour(ts) + 19) % 24 AS hour, count(*) AS n FROM events GROUP BY 1",
     "stats_tiles": f"WITH {E} SELECT count(*) AS n, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT (day, user_id)) AS visitor_days, CAST(floor(100.0 * count(*) FILTER (event_type = 'error') / count(*) + 0.5) AS BIGINT) AS error_share FROM e",
     "stats_top_kinds": "WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 12) SELECT user_id, n, CAST(greatest(2, floor(100.0 * n / max(n) OVER () + 0.5)) AS BIGINT) AS width FROM t",

@@ -34,8 +34,10 @@ def capitals(spark, sf_dir):
 
 def trigram_vote(spark, sf_dir):
     """For each conversation turn, the 64-id bin of documents that shares most of its rare trigrams."""
-    q = load(spark, sf_dir, "conversations").withColumn("q", F.concat_ws(":", "conv_id", "turn")).select("q", F.explode(text.grams(text.tokens(F.col("text")), 3)).alias("gram"))
-    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text.grams(text.tokens(F.col("text")), 3))).alias("gram"))
+    # Grams are told apart by a 64-bit hash, a third of the bytes to shuffle.
+    grams = lambda: F.transform(text.grams(text.tokens(F.col("text")), 3), lambda g: F.xxhash64(g))
+    q = load(spark, sf_dir, "conversations").withColumn("q", F.concat_ws(":", "conv_id", "turn")).select("q", F.explode(grams()).alias("gram"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(grams())).alias("gram"))
     return aggregates.rare_votes(q, d, "q", "gram", "doc_id", 20, 64, 0.2)
 
 
@@ -148,7 +150,7 @@ def offset_groups(spark, sf_dir):
 
 def phase_fold(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("value") > 30, F.col("event_id") % 7).alias("kind"))
-    return folds.phase_fold(e, ["user_id"], ["event_id"], "kind")
+    return folds.phase_fold(e, ["user_id"], "event_id", "kind")
 
 
 def align_share(spark, sf_dir):
@@ -164,22 +166,23 @@ def align_share(spark, sf_dir):
 
 
 def fuzzy_band(spark, sf_dir):
-    """Turns against the turns of the next four conversations in reach: the best fuzzy match."""
-    c = load(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.substring(text.squeezed(F.col("text")), 1, 60).alias("s"))
-    o = c.select(F.col("conv_id").alias("other"), F.col("s").alias("os"))
-    near = joins.band_join(c, o, [], "conv_id", "other", 4, 4).where("conv_id <> other").withColumn("ratio", F.round(align.ratio_udf("s", "os"), 6))
-    return near.groupBy("conv_id").agg(F.max_by("other", F.struct("ratio", -F.col("other"))).alias("other"), F.max("ratio").alias("ratio"))
+    """Turns against the turns of the same number in the four conversations before and after: the best
+    fuzzy match of the whole texts, of equals the first."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", text.squeezed(F.col("text")).alias("s"))
+    return best_in_band(c)
+
+
+def best_in_band(c):
+    """c: conv_id, turn, s. The most like text within four conversations."""
+    o = c.select(F.col("conv_id").alias("other"), "turn", F.col("s").alias("os"))
+    near = joins.band_join(c, o, ["turn"], "conv_id", "other", 4, 4).where("conv_id <> other").withColumn("ratio", F.round(align.ratio_udf("s", "os"), 6))
+    return near.groupBy("conv_id", "turn").agg(F.max_by("other", F.struct("ratio", -F.col("other"))).alias("other"), F.max("ratio").alias("ratio"))
 
 
 def stream_daily_counts(spark, sf_dir):
     """The daily counters as a stream over the event files, run to its end in complete mode."""
     name = f"daily_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-    counters.run_once(counters.daily_counts(counters.read_events(spark, f"{sf_dir}/events.parquet")), "complete", name, f"{base}/{name}")
+    counters.run_once(counters.daily_counts(counters.read_events(spark, f"{sf_dir}/events.parquet")), "complete", name, f"{counters.shared_dir(spark)}/{name}")
     return spark.table(name)
 
 
@@ -207,5 +210,6 @@ SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(repl
     "review_rank": "WITH c AS (SELECT doc_id, quality IS NULL AS open, least(60, 20 * len(regexp_extract_all(text, '[0-9]'))) + CASE WHEN toxic = 1 THEN 15 ELSE 0 END + CASE WHEN source = 'src0' THEN 10 ELSE 0 END + least(40, 15 * len(regexp_extract_all(text, '[#$%&*]'))) + CASE WHEN n_chars < 100 THEN 20 ELSE 0 END AS raw FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, open, CAST(least(100, greatest(25, raw)) AS BIGINT) AS score FROM c WHERE raw > 0 ORDER BY open DESC, score DESC, doc_id LIMIT 100",
     "line_lengths": "WITH c AS (SELECT conv_id, turn, 2 + 0.09::DOUBLE * len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '[0-9]')) + 3 * len(regexp_extract_all(text, '\\*{3}|\\.{3}')) AS own FROM conversations), n AS (SELECT *, lead(own) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM c) SELECT conv_id, turn, round(greatest(10.0::DOUBLE, least(360.0::DOUBLE, CASE WHEN nx <= 2 * own + 10 THEN nx ELSE own END)), 4) AS seconds FROM n",
     "first_mentions": f"WITH t AS (SELECT conv_id, turn, {TOK.format(t='text')} AS w FROM conversations), g(word) AS (VALUES ('the'), ('and'), ('ing'), ('th')) SELECT conv_id, turn, word, CAST(list_position(w, word) - 1 AS BIGINT) AS at FROM t, g WHERE list_contains(w, word)",
+    "phase_fold": "SELECT user_id, event_id, CASE WHEN value > 30 THEN event_id % 7 END AS kind, max(CASE WHEN value > 30 THEN event_id % 7 END) OVER (PARTITION BY user_id ORDER BY event_id) AS stage FROM events",
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

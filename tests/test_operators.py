@@ -29,8 +29,6 @@ def test_resolved_times():
     assert folds.resolved([None, 900, None], [None] * 3, [None, None, 800]) == [None, 900, 900]
 
 
-def test_phases_never_go_back():
-    assert folds.phases([1, None, 3, 2, 4]) == [1, 1, 3, 3, 4]
 
 
 def test_trimmed_and_merged():
@@ -94,9 +92,10 @@ def test_text(spark):
 def test_alignment():
     words, times = "we have a good go for landing over".split(), [float(t) for t in range(8)]
     assert align.find("good go for".split(), words, times) == (3.0, 1.0)
-    assert align.find_start("uh good go".split(), words, times) == pytest.approx(2.7)
-    assert align.find_unique("go for landing".split(), words, times) is not None
-    assert align.find_unique("a b c".split(), ("a b c x y z " * 5).split() , [t * 10.0 for t in range(30)]) is None
+    assert align.find_start("uh good go".split(), words, times)[0] == pytest.approx(2.7)
+    assert align.find_start(["zz"], words, times) == (None, 0.0) and align.find_start(["zz", words[3]], words, times) == (pytest.approx(times[words.index(words[3])] - 0.3), 0.5)
+    assert align.find_unique("go for landing".split(), words, times)[0] is not None
+    assert align.find_unique("a b c".split(), ("a b c x y z " * 5).split() , [t * 10.0 for t in range(30)]) == (None, 0.0)
     known = {"the", "quick", "fox"}
     assert align.merged("the qick dog".split(), "the quick fox".split(), known) == ["the", "quick", "fox"]
     assert align.merged("the quick fox".split(), "the qick fox x".split(), known) == ["the", "quick", "fox", "x"]
@@ -144,6 +143,7 @@ def test_stream_limit_and_upserts(spark, tmp_path):
 
 def test_spoken_times():
     assert transcripts.number_words("one hundred and two") == 102
+    assert [transcripts.number_words(t) for t in ("fifty-nine", "Two hundred", "hundred", "two hundred twelve", "zero", "17", "nineteen", "five twenty", "and", "ten hundred and twenty-one")] == [59, 200, 100, 212, 0, 17, 19, None, None, 1021]
     assert transcripts.number_words("forty five") == 45 and transcripts.number_words("hello") is None
     assert transcripts.said_times("now at one hundred and two hours and 45 minutes, or 102:45:40") == [(369900, "words"), (369940, "clock")]
     assert transcripts.said_times("400 hours") == [] and transcripts.said_times(None) == []
@@ -152,6 +152,7 @@ def test_spoken_times():
 def test_blocks_and_readings():
     assert transcripts.block_streams(["x", "note", "x", "crew", "crew", "x", "note", "end"], {"crew"}) == [0, 1, 1, 1, 0, 0, 1, 0]
     assert transcripts.disagreements("we have a god go".split(), "we have a good go".split()) == [("god", "good")]
+    assert transcripts.disagreements("the LOS, is 123 Karl and hte".split(), "the lls is 124 carl and the".split(), {("karl", "carl")}) == [("hte", "the")]
     assert transcripts.same_text("Roger, that.", "roger that") and not transcripts.same_text("Roger", "Go")
 
 
@@ -222,3 +223,76 @@ def test_align_share_of_a_hot_passage(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     have = sorted(map(tuple, texts.align_share(spark, str(tmp_path)).collect()))
     assert have == [(1, k, 4, 1.0, 1.0) for k in range(25)]
+
+
+def test_groups_cut_at_gaps(spark):
+    """Folds over clusters equal folds over whole groups, with one key having most rows."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(1 if k % 10 else 2, rng.uniform(0, 9000), rng.uniform(0, 60), float(rng.randrange(50))) for k in range(800)]
+    rows = [(u, a, a + n, o) for u, a, n, o in rows]
+    df = spark.createDataFrame(rows, "u int, a double, b double, o double")
+    mine = lambda u: [(a, b, o) for k, a, b, o in rows if k == u]
+    for width in (7.0, 1e6):
+        got = sorted((r.u, r.a, r.b, r.o) for r in folds.merge_pieces(df, ["u"], "a", "b", "o", width=width).collect())
+        assert got == sorted((u, *r) for u in (1, 2) for r in folds.merged(mine(u), 30))
+        ints = df.withColumn("n", F.col("o").cast("int"))
+        got = sorted((r.u, r.a, r.b, r.n) for r in folds.trim_overlaps(ints, ["u"], "a", "b", "n", width=width).collect())
+        assert got == sorted((u, *r) for u in (1, 2) for r in folds.trimmed([(a, b, int(o)) for a, b, o in mine(u)]))
+    for reach in (5.0, 600.0):
+        got = {(r.u, r.a): r.group for r in folds.group_by_offset(df, ["u"], "a", "o", reach=reach).collect()}
+        for u in (1, 2):
+            own = sorted((a, o) for a, _, o in mine(u))
+            want = folds.offset_groups(own, reach, 8)
+            first = lambda gs: [gs.index(g) for g in gs]
+            assert first([got[u, a] for a, _ in own]) == first(want)
+
+
+def test_text_hash_of_any_text(spark):
+    def want(t):
+        h = 5381
+        for k in range(0, len(t.encode("utf-16-be")), 2):
+            h = (h * 33 + int.from_bytes(t.encode("utf-16-be")[k : k + 2], "big")) % 2**32
+        out = ""
+        while h:
+            out, h = "0123456789abcdefghijklmnopqrstuvwxyz"[h % 36] + out, h // 36
+        return out
+
+    texts = ["", "abc", "é ü", "🙂", "long " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.h for r in df.select("t", text.text_hash(F.col("t")).alias("h")).collect()} == {t: want(t) for t in texts}
+
+
+def test_fuzzy_band_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    from sparkloom.plans import texts as plans
+
+    rows = [(c, t, s) for c in range(12) for t, s in enumerate(["abcdef"[c % 5 :] + "x" * (c % 3), "q" * (c % 4) + "zz"][: 1 + c % 2])]
+    have = {(r.conv_id, r.turn): (r.other, r.ratio) for r in plans.best_in_band(spark.createDataFrame(rows, "conv_id int, turn int, s string")).collect()}
+    for c, t, s in rows:
+        near = [(round(SequenceMatcher(None, s, x).ratio(), 6), -o, o) for o, u, x in rows if u == t and o != c and abs(o - c) <= 4]
+        assert have[c, t] == (max(near)[2], max(near)[0])
+
+
+def test_rows_of_scraps():
+    from sparkloom.functions import labels
+
+    words = {"the", "we", "go", "copy", "on"}
+    scraps = ["bee oy", "2oY eeo", "", "o ek ae", "eee"]
+    kept = ["Ahh!", "P64", "- -", "go on", "52", "_0TRAL x", "I", "the's", "RCS", "Bob ee"]
+    assert [labels.is_scraps(t, words) for t in scraps] == [True] * len(scraps)
+    assert [labels.is_scraps(t, words) for t in kept] == [False] * len(kept)
+    assert labels.is_fold("TE EE ET I a _ aeennn", words) and labels.is_fold("ORT TT nee", words)
+    assert not any(labels.is_fold(t, words) for t in ("the we go", "ORT TT 3 nee", "Go. TT nee ort", "TT nee", "we copy tt ee nn oo"))
+
+
+def test_scan_twins_and_headings(spark):
+    from sparkloom.functions import labels
+
+    df = spark.createDataFrame([("Ckay", "okay"), ("Fete", "Pete"), ("same", "same"), ("abc", "abcd"), ("cat", "dog")], "a string, b string")
+    assert [r[0] for r in df.select(labels.scan_twins(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, False]
+    lines = ["gets stopped. Tap'e 69/5", "target load I Tape 52/6 and your set", "Okay. Page 762", "plain line"]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    assert [r[0] for r in df.select(labels.without_page_heading(F.col("t"))).collect()] == ["gets stopped.", "target load and your set", "Okay.", "plain line"]
