@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INF = 1 << 60
-GENERATION = 50_000  #: pieces in each of the two generations of a worker's cache
+GENERATION = 100_000  #: pieces in each of the two generations of a worker's cache
 MOST_PAIRS = 200_000  #: pairs of tokens that a worker remembers
 LONGEST_CACHED = 48
 
