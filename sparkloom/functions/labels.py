@@ -1,9 +1,10 @@
 """Labels, codes, file names and printed times as columns. All run in the JVM but the two row filters,
-which need a vocabulary."""
+which need a vocabulary, and names read by likeness."""
 
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,6 +60,38 @@ def nearest_code(token: Column, codes: list[str]) -> Column:
     return F.when((own != "") & (ranked["far"] <= ranked["most"]), ranked["code"]).otherwise("?")
 
 
+def damaged_name(word: str, names: list[str]) -> str | None:
+    """The name that a misread word stands for: the most alike, the first listed of equals. An
+    underscore is a lost letter. A word with a capital, or a letter that scans make of one, needs a
+    likeness of 0.72, one that starts with a mark 0.8; others, and words under four letters, are none."""
+    low = word.lower()
+    shape = re.sub("[^a-z_]", "", low)
+    letters = shape.replace("_", "")
+    least = 0.72 if word[:1].isupper() or word[:1] in set("lti") else 2.0 if word[:1].isalpha() else 0.8
+    if len(letters) < 4 or not names:
+        return None
+
+    def likeness(name: str) -> float:
+        own = SequenceMatcher(None, letters, name.lower()).ratio()
+        if "_" not in shape or len(shape) != len(name):
+            return own
+        return max(own, sum(c in ("_", n) for c, n in zip(shape, name.lower())) / len(name))
+
+    alike = [likeness(n) for n in names]
+    return names[alike.index(max(alike))] if max(alike) >= least else None
+
+
+def damaged_name_udf(names: list[str]):
+    """damaged_name as a column function; the list of names is a parameter of a few entries."""
+
+    @F.pandas_udf("string")
+    def named(word: pd.Series) -> pd.Series:
+        known = {w: damaged_name(w, names) for w in word.dropna().unique()}
+        return word.map(lambda w: known.get(w))
+
+    return named
+
+
 def digits_meant(text: Column) -> Column:
     letters = sorted(DIGITS, key=lambda c: DIGITS[c] == "")  # those without a digit last: they go
     return F.translate(text, "".join(letters), "".join(DIGITS[c] for c in letters))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import clock, labels
 from ..operators import writes
 from ..sources.tables import load
 
@@ -95,7 +95,41 @@ def batch_to_do(spark, sf_dir):
     return writes.to_do(load(spark, sf_dir, "documents").select("doc_id", "source"), load(spark, sf_dir, "labels"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (unclear_marks, spoken_notes, speaker_labels, nearest_codes, printed_clocks, file_clocks, caption_dates, disc_places, sentence_ends, clip_channels, minutes_heard, sync_lists, batch_to_do)}
+# Events of four made-up flights: one that lands, one around the Earth, one that swings by, one that orbits.
+FLIGHTS = [
+    {"flight": 0, "tli": 10_000, "loi": 270_000, "landing": 370_000, "liftoff": 450_000, "lm_jettison": 470_000, "tei": 490_000, "cm_sep": 690_000},
+    {"flight": 1, "docking": 12_000, "eva_start": 200_000, "eva_end": 210_000, "undocking": 300_000, "redocking": 320_000, "lm_jettison": 400_000, "cm_sep": 650_000},
+    {"flight": 2, "tli": 9_000, "pericynthion": 280_000, "cm_sep": 500_000},
+    {"flight": 3, "tli": 9_000, "loi": 270_000, "undocking": 350_000, "redocking": 380_000, "tei": 490_000, "cm_sep": 690_000},
+]
+EVENTS = ["tli", "loi", "pericynthion", "landing", "liftoff", "lm_jettison", "undocking", "redocking", "tei", "docking", "eva_start", "eva_end", "cm_sep"]
+
+
+def flight_stages(spark, sf_dir):
+    """The stage of a flight at each event's time."""
+    flights = spark.createDataFrame([[f.get(k) for k in ("flight", *EVENTS)] for f in FLIGHTS], ", ".join(f"{k} long" for k in ("flight", *EVENTS)))
+    e = load(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).cast("long").alias("flight"), (F.col("event_id") * 7919 % 700_000).alias("g"))
+    on = e.join(F.broadcast(flights), "flight")  # four rows
+    return on.select("event_id", clock.stage_at(F.col("g"), clock.flight_stages(F.col), "splashdown").alias("stage"))
+
+
+def anniversaries(spark, sf_dir):
+    """Events in a year's days after the anniversary of a launch, leap days among the launches."""
+    at = F.make_timestamp(F.lit(1968), F.col("event_id") % 12 + 1, F.col("event_id") % 29 + 1, F.col("event_id") % 24, F.lit(30), F.lit(15))
+    e = load(spark, sf_dir, "events").select("event_id", "ts", at.alias("launch"), (F.col("event_id") % 40 * 86_400).cast("long").alias("lasts"))
+    a = e.withColumn("a", clock.anniversary(F.col("launch"), F.col("lasts"), F.col("ts")))
+    return a.where("a is not null").select("event_id", F.col("a.seconds").alias("seconds"), F.col("a.years").cast("long").alias("years"))
+
+
+NAMES = ["Houston", "Canary", "Madrid", "Tananarive", "Carnarvon"]
+MISREAD = ["Hous_on", "tlouston", "}:ouston", "houston", "C_n_ry", "Madr", "Mars", "Tar_n_ri_e", "Carnarvnn", ""]
+
+
+def damaged_names(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", labels.damaged_name_udf(NAMES)(_one_of(MISREAD, "p_partkey")).alias("name"))
+
+
+QUERIES = {f.__name__: f for f in (unclear_marks, spoken_notes, speaker_labels, nearest_codes, printed_clocks, file_clocks, caption_dates, disc_places, sentence_ends, clip_channels, minutes_heard, sync_lists, batch_to_do, flight_stages, anniversaries, damaged_names)}
 
 ORACLE_SQL = {
     "unclear_marks": r"WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '\s*(?:\.\s?){3}(\.?)|\s*\*{3}', ' [unclear]\1', 'g'), '^ ', ''), '\[unclear\](\w)', '[unclear] \1', 'g') AS marked FROM documents) SELECT doc_id, md5(marked) AS digest FROM m WHERE marked <> text",
@@ -109,6 +143,13 @@ ORACLE_SQL = {
     "sentence_ends": r"WITH w AS (SELECT unnest(string_split(text || ' Dr. B. A. vs. end?', ' ')) AS word FROM conversations) SELECT regexp_matches(trim(word), '[.?!]$') AND NOT regexp_full_match(trim(word), '(?:Dr|Mr|Mrs|Ms|St|Jr|Sr|Gen|Col|Lt|Capt|Gov|Sen|Rep|vs|[B-HJ-Z])\.') AS ends, count(*) AS n FROM w GROUP BY 1",
     "clip_channels": "SELECT CASE WHEN p_partkey % 6 = 0 THEN 'broadcast' WHEN p_partkey % 6 IN (1, 2, 3) THEN 'onboard' ELSE 'air-to-ground' END AS channel, count(*) AS n FROM part GROUP BY 1",
     "minutes_heard": "WITH m AS (SELECT user_id, hour(ts) AS hour, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS s FROM events GROUP BY ALL) SELECT user_id, hour, s // 60 AS sent, s % 60 AS left FROM m",
+    "flight_stages": """WITH s(flight, a, z, stage) AS (VALUES (0, 690, 10000, 'earth-orbit'), (0, 10000, 270000, 'transit-to-moon'), (0, 270000, 369220, 'lunar-orbit'), (0, 369220, 370060, 'landing'), (0, 370060, 450000, 'surface'), (0, 450000, 470000, 'ascent'), (0, 470000, 490000, 'lunar-orbit'), (0, 490000, 690000, 'transit-to-earth'),
+(1, 690, 12000, 'earth-orbit'), (1, 12000, 200000, 'earth-orbit-docked'), (1, 200000, 210000, 'spacewalk'), (1, 210000, 300000, 'earth-orbit-docked'), (1, 300000, 320000, 'lm-solo'), (1, 320000, 400000, 'earth-orbit-docked'), (1, 400000, 650000, 'earth-orbit'),
+(2, 690, 9000, 'earth-orbit'), (2, 9000, 280000, 'transit-to-moon'), (2, 280000, 500000, 'transit-to-earth'),
+(3, 690, 9000, 'earth-orbit'), (3, 9000, 270000, 'transit-to-moon'), (3, 270000, 350000, 'lunar-orbit'), (3, 350000, 380000, 'lm-solo'), (3, 380000, 490000, 'lunar-orbit'), (3, 490000, 690000, 'transit-to-earth')),
+e AS (SELECT event_id, event_id % 4 AS flight, event_id * 7919 % 700000 AS g FROM events) SELECT event_id, CASE WHEN g < 690 THEN 'launch' ELSE coalesce(stage, 'splashdown') END AS stage FROM e LEFT JOIN s ON e.flight = s.flight AND g >= a AND g < z""",
+    "anniversaries": "WITH e AS (SELECT event_id, ts, make_date(year(ts), event_id % 12 + 1, 1)::TIMESTAMP + to_days(CAST(event_id % 29 AS INT)) + to_hours(event_id % 24) + INTERVAL 1815 SECONDS AS a, event_id % 40 * 86400 AS lasts FROM events), s AS (SELECT event_id, year(ts) - 1968 AS years, CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(a) AS BIGINT) AS seconds, lasts FROM e) SELECT event_id, seconds, years FROM s WHERE lasts > 0 AND seconds BETWEEN 0 AND lasts",
+    "damaged_names": "WITH v(k, name) AS (VALUES (0, 'Houston'), (1, 'Houston'), (2, 'Houston'), (4, 'Canary'), (5, 'Madrid'), (7, 'Tananarive'), (8, 'Carnarvon')) SELECT p_partkey, name FROM part LEFT JOIN v ON p_partkey % 10 = k",
     "sync_lists": "SELECT doc_id, 'upload' AS action FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0) UNION ALL SELECT DISTINCT doc_id, 'delete' FROM labels WHERE toxic = 0 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)",
     "batch_to_do": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
