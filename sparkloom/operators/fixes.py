@@ -50,3 +50,38 @@ def applied(lines: DataFrame, fixes: DataFrame, close: float = 2, far: float = 3
 def unmatched(lines: DataFrame, fixes: DataFrame, close: float = 2, far: float = 3600) -> DataFrame:
     """Fixes that no line takes; a strict run stops if there are any."""
     return fixes.join(matched(lines, fixes, close, far).select("mission", "fix").distinct(), ["mission", "fix"], "left_anti")
+
+
+def parted(lines: DataFrame, fixes: DataFrame, close: float = 2, far: float = 3600) -> DataFrame:
+    """Lines cut in two where, after its first letter, a line holds the fix's `to`; the second part is
+    `speaker`'s. A line may be cut at several places; of cuts at one place the last fix counts. Returns
+    mission, line, part (0, 1, ...), g, s, t; a fix whose `to` is not there does nothing."""
+    m = matched(lines, fixes, close, far).join(fixes.select("mission", "fix", "to", "speaker"), ["mission", "fix"])
+    cuts = m.join(lines.select("mission", "line", "t"), ["mission", "line"]).withColumn("at", F.expr("locate(`to`, t, 2)")).where("at > 0")
+    by_line = cuts.groupBy("mission", "line").agg(F.array_sort(F.collect_list(F.struct("at", "fix", "speaker"))).alias("_cuts"))
+    own = F.array(F.struct(F.lit(1).alias("at"), F.lit(None).cast("long").alias("fix"), F.col("s").alias("speaker")))
+    all_cuts = lines.join(by_line, ["mission", "line"], "left").withColumn("_cuts", F.when(F.col("_cuts").isNull(), own).otherwise(F.concat(own, "_cuts")))
+    parts = all_cuts.select("mission", "line", "g", "s", "t", "_cuts", F.posexplode("_cuts").alias("_k", "_cut"))
+    following = F.coalesce(F.get("_cuts", F.col("_k") + 1)["at"], F.length("t") + 1)
+    text = F.when(F.size("_cuts") > 1, F.trim(F.substring("t", F.col("_cut.at"), following - F.col("_cut.at")))).otherwise(F.col("t"))
+    rows = parts.select("mission", "line", "_k", "g", F.col("_cut.speaker").alias("s"), text.alias("t")).where((F.col("_k") == 0) | (F.col("t") != ""))
+    numbered = rows.groupBy("mission", "line", "g").agg(F.array_sort(F.collect_list(F.struct("_k", "s", "t"))).alias("_rows"))
+    return numbered.select("mission", "line", "g", F.posexplode("_rows").alias("part", "_r")).select("mission", "line", "part", "g", F.col("_r.s").alias("s"), F.col("_r.t").alias("t"))
+
+
+def rejoined(lines: DataFrame, fixes: DataFrame, close: float = 2, far: float = 3600, reach: float = 120) -> DataFrame:
+    """Lines joined again that a scan broke in two: the nearest other line within `reach` seconds that
+    starts with the fix's `to` goes to the end of the line that the fix matches, and is gone. A line
+    goes to the first fix that wants it. One that goes takes none itself, so a chain takes a call for
+    each of its links."""
+    m = matched(lines, fixes, close, far).join(fixes.select("mission", "fix", "to"), ["mission", "fix"])
+    heads = m.join(lines.select("mission", "line", F.col("g").alias("_g")), ["mission", "line"]).withColumnRenamed("line", "_head")
+    near = joins.band_join(heads, lines.select("mission", "line", "g", "t"), ["mission"], "_g", "g", reach, reach)
+    wanted = near.where((F.col("line") != F.col("_head")) & F.startswith("t", F.col("to")))
+    tails = wanted.groupBy("mission", "fix", "_head").agg(F.min_by(F.struct("line", "t"), F.struct(F.abs(F.col("g") - F.col("_g")), "g", "line")).alias("_tail"))
+    given = tails.groupBy("mission", F.col("_tail.line").alias("line")).agg(F.min_by(F.struct("fix", "_head", "_tail.t"), F.struct("fix", "_head")).alias("_to"))
+    free = given.alias("a").join(given.alias("b"), (F.col("a.mission") == F.col("b.mission")) & (F.col("a._to._head") == F.col("b.line")), "left_anti")
+    more = free.groupBy("mission", F.col("_to._head").alias("line")).agg(F.array_sort(F.collect_list(F.struct("_to.fix", "line", "_to.t"))).alias("_more"))
+    kept = lines.join(free.select("mission", "line"), ["mission", "line"], "left_anti").join(more, ["mission", "line"], "left")
+    whole = F.concat_ws(" ", F.concat(F.array(F.rtrim("t")), F.transform("_more", lambda x: F.ltrim(x["t"]))))
+    return kept.withColumn("t", F.when(F.col("_more").isNull(), F.col("t")).otherwise(whole)).select(*lines.columns)

@@ -213,6 +213,25 @@ def test_fixes(spark):
     assert [r.fix for r in fixes.unmatched(lines, fx).collect()] == [7]
 
 
+def test_lines_parted_and_rejoined(spark):
+    lines = spark.createDataFrame(
+        [(1, 1, 10.0, "A", "Go ahead. Roger, go. Out."), (1, 2, 12.0, "B", "we are"), (1, 3, 20.0, "B", " here now"), (1, 4, 30.0, "B", " here too"), (1, 5, 500.0, "C", None), (2, 1, 12.0, "B", "here"), (1, 6, 900.0, "D", "a"), (1, 7, 901.0, "D", "b c"), (1, 8, 902.0, "D", "d")],
+        "mission int, line long, g double, s string, t string",
+    )
+    make = lambda rows: spark.createDataFrame(rows, "mission int, fix long, g double, from string, to string, speaker string")
+    cuts = make([(1, 1, 10.0, "Go", "Roger", "CC"), (1, 2, 10.0, "Go", "Out", "A"), (1, 3, 10.0, "Go", "absent", "X"), (1, 4, 10.0, "Go", "Roger", "CDR"), (1, 5, 10.0, "Go", "Go", "X")])
+    got = sorted((r.line, r.part, r.s, r.t) for r in fixes.parted(lines, cuts).where("mission = 1 and line <> 5").collect())
+    assert got[:3] == [(1, 0, "A", "Go ahead."), (1, 1, "CDR", "Roger, go."), (1, 2, "A", "Out.")]
+    assert got[3:] == [(2, 0, "B", "we are"), (3, 0, "B", " here now"), (4, 0, "B", " here too"), (6, 0, "D", "a"), (7, 0, "D", "b c"), (8, 0, "D", "d")]
+    assert fixes.parted(lines, cuts).where("line = 5").select("part", "s", "t").collect() == [(0, "C", None)]
+    joins_ = make([(1, 1, 12.0, "we", " here", None), (1, 2, 900.0, "a", "b", None), (1, 3, 901.0, "b", "d", None), (1, 4, 10.0, "Go", "nothing", None)])
+    once = fixes.rejoined(lines, joins_)
+    assert sorted((r.line, r.t) for r in once.where("mission = 1 and g < 400").collect()) == [(1, "Go ahead. Roger, go. Out."), (2, "we are here now"), (4, " here too")]
+    assert sorted((r.line, r.t) for r in once.where("g >= 900").collect()) == [(6, "a b c"), (8, "d")]
+    assert [r.t for r in fixes.rejoined(once, joins_).where("g >= 900").collect()] == ["a b c d"]
+    assert once.where("mission = 2").count() == 1 and fixes.rejoined(lines, joins_.limit(0)).count() == lines.count()
+
+
 def test_align_share_of_a_hot_passage(spark, tmp_path):
     """A passage that 25 documents hold aligns with each of them."""
     from sparkloom.plans import texts
