@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,6 +48,27 @@ def first_rule(text: Column, rules: list[tuple[str, str]], default: str | None =
     return reduce(lambda c, r: F.when(text.rlike(r[0]), r[1]).otherwise(c), reversed(rules), out if default is None else F.lit(default))
 
 
+def first_then_whole(first: Column, whole: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The label of the first pattern that an opening sentence has, else the whole text, else a default."""
+    return F.coalesce(first_rule(F.lower(first), rules), first_rule(F.lower(whole), rules), F.lit(default))
+
+
+def opening(text: Column) -> Column:
+    """The first sentence of 40 to 260 characters, else the first 260 characters, of what follows a
+    `---` and comes before any credit or note."""
+    rest = F.when(F.contains(text, F.lit("---")), F.regexp_extract(text, "(?s)---(.*)$", 1)).otherwise(text)
+    own = F.trim(F.regexp_replace(F.trim(F.regexp_replace(rest, r"\s+", " ")), "(?i)(?:Photo credit|Image credit|Editor.s note).*$", ""))
+    sentence = F.regexp_extract(own, r"^(.{40,260}?[.!?])(?:\s|$)", 1)
+    return F.trim(F.when(sentence != "", sentence).otherwise(F.substring(own, 1, 260)))
+
+
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """The terms of a glossary that a text has as whole words, in its own case, from left to right; of
+    terms that start at one place the longest."""
+    longest = sorted(terms, key=lambda t: (-len(t), t))
+    return F.regexp_extract_all(text, F.lit(r"\b(" + "|".join(map(re.escape, longest)) + r")\b"), F.lit(0))
+
+
 def text_hash(text: Column) -> Column:
     """A 32-bit string hash (h = h * 33 + UTF-16 unit, from 5381) in base 36."""
     units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))

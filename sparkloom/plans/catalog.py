@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import labels, photos, placement, relational, stats, texts, timeline, transcripts
+from . import labels, photos, placement, relational, repair, stats, texts, timeline, transcripts
 
-_MODULES = (stats, relational, timeline, texts, transcripts, placement, photos, labels)
+_MODULES = (stats, relational, timeline, texts, transcripts, placement, photos, labels, repair)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

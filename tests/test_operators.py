@@ -315,3 +315,81 @@ def test_scan_twins_and_headings(spark):
     lines = ["gets stopped. Tap'e 69/5", "target load I Tape 52/6 and your set", "Okay. Page 762", "plain line"]
     df = spark.createDataFrame([(t,) for t in lines], "t string")
     assert [r[0] for r in df.select(labels.without_page_heading(F.col("t"))).collect()] == ["gets stopped.", "target load and your set", "Okay.", "plain line"]
+
+
+VOCABULARY = {"staging": 30, "stating": 2, "charlie": 200, "roger": 900, "complete": 40, "midcourse": 5, "caution": 9, "satisfactory": 4, "read": 5, "reed": 4, "how": 50, "do": 9, "you": 90, "latitude": 2, "longitude": 2}
+
+
+def test_misread_words(spark):
+    from sparkloom.operators import repair
+
+    vocabulary = spark.createDataFrame(list(VOCABULARY.items()), "word string, n long")
+    sound = ["latitude/longitude", "P76's", "TEI-4", "p.m", "1/250th", "21st", "don't", "you", "SEPs", "McGhee", "SPS/G&N", "DELTA-V", "", "1234", "Rogers"]
+    bad = {
+        "midcou_rse": "midcourse", "cau_tion": "caution", "Sta6ing": "staging", "Cha_lie": "charlie", "Ro6er": "roger", "ccmplete": "complete", "cornplete": "complete",
+        "andsatisfactory": "and satisfactory", "Roger_": None, "re_d": None, "Orl,Hi": None, "e'aable": None, "zone": None, "_" * 9 + "a": None,
+    }
+    cores = spark.createDataFrame([(w,) for w in [*sound, *bad]], "core string")
+    assert {r.core for r in repair.suspects(cores, vocabulary).collect()} == set(bad)
+    only = cores.where(F.col("core").isin(list(bad)))
+    assert {r.core: r.mend for r in repair.mends(only, vocabulary).collect()} == {k: v for k, v in bad.items() if v}
+    assert repair.mends(only.limit(0), vocabulary).count() == 0 and repair.mends(only, vocabulary.limit(0)).count() == 0
+
+
+def test_mended_texts(spark):
+    from sparkloom.operators import repair
+
+    vocabulary = spark.createDataFrame(list(VOCABULARY.items()), "word string, n long")
+    pairs = spark.createDataFrame([("you", "read", 3)], "first string, second string, n long")
+    rows = [(1, 'Okay, (Ro6er.  How do you re_d "Cha_lie"?', "x"), (2, None, "x"), (3, "", "x"), (4, "how  do you", "x"), (None, "Ro6er", "x"), (5, "Ro6er", "x"), (5, "Sta6ing", "x"), (6, "you Ro6er " * 3000, "x")]
+    df = spark.createDataFrame(rows, "id long, t string, core string")
+    plain = sorted(tuple(r) for r in repair.mended(df, ["id"], "t", vocabulary).where("id is not null and t is not null").collect())
+    assert plain == [(1, 'Okay, (Ro6er.  How do you re_d "Cha_lie"?', "x", 'Okay, (Roger. How do you re_d "Charlie"?'), (3, "", "x", ""), (4, "how  do you", "x", "how  do you"), (5, "Ro6er", "x", "Roger"), (5, "Sta6ing", "x", "Staging"), (6, "you Ro6er " * 3000, "x", " ".join(["you Roger"] * 3000))]
+    near = repair.mended(df, ["id"], "t", vocabulary, pairs)
+    assert [r.mended for r in near.where("id = 1").collect()] == ['Okay, (Roger. How do you read "Charlie"?']
+    assert [r.mended for r in near.where("id is null or id = 2").orderBy(F.desc("id")).collect()] == [None, "Ro6er"]
+
+
+def test_suggested_and_rebuilt():
+    from sparkloom.operators import repair
+
+    line = [{"lead": "", "core": c, "trail": t} for c, t in (("Go", ""), ("Hous7on", ","), ("vesicular", ""), ("zonnes", "."))]
+    assert repair.suggested(line, [False, True, False, True], ["go", "houston", "vesicular", "zones"], [True] * 4) == [None, "Houston,", None, "zones."]
+    assert repair.suggested(line, [False, True, False, True], ["go", "houston", "vesicular", "zones"], [True, False, True, False]) == [None] * 4
+    assert repair.suggested(line, [True] * 4, [], []) == [None] * 4 and repair.suggested([], [], ["a"], [True]) == []
+    words = ["we", "c0py", "th_t", "now", "jack"]
+    assert repair.rebuilt(words, [False, True, True, False, False], ["we", "copy", "that", "now,", "Jack."]) == "We copy that now, Jack."
+    assert repair.rebuilt(words, [False, True, False, False, False], words) is None
+    assert repair.rebuilt(words, [False, True, True, False, False], ["no", "word", "here", "is", "so"]) is None
+    assert repair.rebuilt(words, [False, True, True, False, False], ["we"]) is None
+
+
+SAID = "we are at station two|okay copy that|there is a big boulder here with white clasts|okay that is good|i will get a sample of the white clast|bag four seven six|copy four seven six|now the gray matrix|okay that is good|that one is in bag four seven seven|and the soil beside it|we are moving on now"
+
+
+def test_lines_timed_by_speech(spark):
+    from sparkloom.operators import timing
+
+    lines = [x.split() for x in SAID.split("|")]
+    starts = [1010 + 0.5 * sum(map(len, lines[:k])) for k in range(len(lines))]
+    words = spark.createDataFrame([("t", 1010 + 0.5 * j, 1010.4 + 0.5 * j, j, w) for j, w in enumerate(w for line in lines for w in line)], "tape string, g double, end double, seq int, token string")
+    ends = (0, len(lines) - 1)
+    df = spark.createDataFrame([("t", k, starts[k] if k in ends else None, k in ends, x) for k, x in enumerate(lines)], "tape string, k int, at double, timed boolean, tokens array<string>")
+    run = lambda d, w=words: {r.k: (r["at"], r.how) for r in timing.timed_by_speech(d, w, ["tape"], "k", "at", "timed", "tokens").collect()}
+    got = run(df)
+    assert all(abs(got[k][0] - starts[k]) <= 1 and got[k][1] == (None if k in ends else "found") for k in got) and len(got) == len(lines)
+    few = run(df.where("k in (0, 1, 2, 3, 11)"))  # a short run: in turn
+    assert all(abs(few[k][0] - starts[k]) <= 1 for k in few)
+    assert run(df.where("k = 1"))[1][1] == "kept" and run(df, words.limit(0))[5] == (1010.0, "kept")
+
+
+def test_place_of_a_line_not_found():
+    from sparkloom.operators import timing
+
+    words = [(0.0, 0.4, "one"), (0.5, 0.9, "two"), (1.0, 1.4, "three"), (5.0, 5.4, "four"), (5.5, 5.9, "five")]
+    assert timing.loosely(["four", "five", "x"], ["one", "two", "three"], 0.0, 60.0, words) == (4.8, "loose")
+    assert timing.loosely(["x"], ["one", "two", "three"], 0.0, 60.0, words) == (4.8, "speech")
+    assert timing.loosely(["x"], ["one", "two", "three"], 0.0, 60.0, words[:3]) == (1.9, "after")
+    assert timing.loosely(["x"], ["one"], 0.0, 1.0, words[:3]) == (0.7, "after")
+    assert timing.loosely(["x"], ["one"], 0.0, 1.0, []) == (0.0, "kept")
+    assert [h for _, h in timing.timed_run([], [["x"], ["y"]], 0.0, 60.0, words)] == ["speech", "after"]
