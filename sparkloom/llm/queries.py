@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, langid, maxent_lm, media, pii, resharding, suffix_dedup, url_rules
+from . import bpe, centroids, decontam, jaccard_join, langid, lexical, maxent_lm, media, pii, resharding, simhash, suffix_dedup, url_rules
 from .common import crc_mod, load, shared_dir
 
 
@@ -122,13 +122,73 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_bpe, op4_langid, op5_suffix_dedup, op6_urls, op7_media, op8_resharding, op9_maxent, op10_jaccard)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found, inertia = centroids.fit(vectors)
+    rows = centroids.assign(vectors, found)
+    number = F.col("cluster") + 1
+    # Clusters without vectors have no rows, so their places are never read.
+    sums = [inertia.get(j) for j in range(len(found))]
+    fits = lambda x: x if x is not None and x < 1 << 63 else None
+    each = F.array(*[F.lit(fits(x)).cast("long") for x in sums])
+    named = F.array(*[hex_sha(F.lit(",".join(map(str, c))).cast("binary")) for c in found])
+    return rows.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        (F.element_at(each, number) if found else F.lit(None).cast("long")).alias("cluster_inertia"),
+        F.lit(fits(sum(inertia.values()))).cast("long").alias("inertia"),
+        (F.element_at(named, number) if found else F.lit(None).cast("string")).alias("centroid_sha256"),
+    )
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.Index(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = index.search(load(spark, sf_dir, "benchmark").select("item_id", "text"))
+    index.drop()
+    return found
+
+
+OPERATORS = [op1_decontamination, op2_pii, op3_bpe, op4_langid, op5_suffix_dedup, op6_urls, op7_media, op8_resharding, op9_maxent, op10_jaccard, op11_centroids, op12_simhash, op13_lexical]
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+_TERMS = _WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10, seed: int = 3, dims: int = 64) -> str:
+    """The rounds written out, one after the other."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, (min((d, j)))[2] AS j, (min((d, j)))[1] AS d FROM (SELECT r, j, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{n} c) GROUP BY r)")
+        if n < rounds:
+            cells = f"SELECT j, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT j, unnest(range(1, {dims + 1})) AS i, unnest(x) AS e FROM a{n} JOIN v USING (r)) GROUP BY ALL"
+            parts.append(f"m{n} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM ({cells}) GROUP BY j)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m ON c.j = m.j)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, a.j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON a.j = c.j"
+
+
 ORACLE_SQL = {
+    "op11_centroids": _centroid_sql(),
+    "op13_lexical": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+g AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t, n),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * n) // l AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
+""",
     "op10_jaccard": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM d WHERE len(w) > 0),
