@@ -148,42 +148,52 @@ def _linked(bits: int):
     return run
 
 
-def runs_of(mask: int, bits: int) -> list[int]:
-    """The bits outside mask, cut into bits + 1 runs; each as a mask together with `mask`."""
-    free = [k for k in range(WIDTH) if not mask >> k & 1]
-    return [mask | sum(1 << k for k in run.tolist()) for run in np.array_split(free, bits + 1)]
+def runs_of(open_bits: int, bits: int) -> list[int]:
+    """The bits of `open_bits` that vary, cut into bits + 1 runs; for each the mask of all other settled
+    bits and the run."""
+    varying = [k for k in range(WIDTH) if open_bits >> k & 1]
+    settled = ~open_bits & (1 << WIDTH) - 1
+    return [settled | sum(1 << k for k in run.tolist()) for run in np.array_split(varying, bits + 1)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << WIDTH) if x >> (WIDTH - 1) else x
 
 
-def _below(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-    """Each row (mask, print) under the nodes below its own."""
-    below = F.create_map(*[x for mask, runs in masks.items() for x in (F.lit(_signed(mask)), F.array(*[F.lit(_signed(m)) for m in runs]))])
-    return rows.select("print", F.explode(F.element_at(below, F.col("mask"))).alias("mask")).select("print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("pattern"))
+def _split(bits: int):
+    def run(batches):
+        for b in batches:
+            cells = [[_signed(m) for m in runs_of((all_of ^ any_of) % (1 << WIDTH), bits)] for all_of, any_of in zip(b.column("all_of").to_pylist(), b.column("any_of").to_pylist())]
+            yield pa.record_batch([b.column("mask"), b.column("pattern"), pa.array(cells, pa.list_(pa.int64()))], ["mask", "pattern", "below"])
+
+    return run
+
+
+def _under(rows: DataFrame) -> DataFrame:
+    """Each row (print, below) under the nodes whose masks are in `below`."""
+    return rows.select("print", F.explode("below").alias("mask")).select("print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("pattern"))
 
 
 def links(prints: DataFrame, bits: int = BITS, crowd: int = CROWD) -> list[DataFrame]:
     """Tables (a, b) of edges whose components are those of all pairs of fingerprints (distinct longs in
     column `print`) that differ in at most `bits` bits. Each is a stored table. crowd: 2 ** bits at
-    least, so that a node beyond it leaves more than `bits` bits open."""
+    least, so that in a node beyond it more than `bits` bits vary."""
     if crowd < 1 << bits:
         raise ValueError("crowd is less than 2 ** bits")
     node = ["mask", "pattern"]
-    rows = _below(prints.select("print", F.lit(0).cast("long").alias("mask")), {0: runs_of(0, bits)})
+    rows = _under(prints.select("print", F.array(*[F.lit(_signed(m)) for m in runs_of((1 << WIDTH) - 1, bits)]).alias("below")))
     found = []
     while True:
-        crowded = stored(rows.groupBy(*node).agg(F.count("*").alias("members")).where(F.col("members") > crowd).select(*node), "crowded")
+        sized = rows.groupBy(*node).agg(F.count("*").alias("members"), F.bit_and("print").alias("all_of"), F.bit_or("print").alias("any_of"))
+        crowded = stored(sized.where(F.col("members") > crowd).mapInArrow(_split(bits), "mask long, pattern long, below array<long>"), "crowded")
         n = crowded.count()
         few = F.broadcast(crowded) if n <= SPREAD else crowded
-        small = rows.join(few, node, "left_anti") if n else rows
+        small = rows.join(few.select(*node), node, "left_anti") if n else rows
         groups = small.groupBy(*node).agg(F.collect_list("print").alias("members")).where(F.size("members") > 1)
         found.append(stored(groups.select("members").mapInArrow(_linked(bits), "a long, b long"), "simhash-links"))
         if not n:
             return found
-        masks = [r["mask"] % (1 << WIDTH) for r in crowded.select("mask").distinct().collect()]
-        rows = _below(rows.join(few, node, "left_semi").select("print", "mask"), {m: runs_of(m, bits) for m in masks})
+        rows = _under(rows.join(few, node).select("print", "below"))
 
 
 def link(docs: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
