@@ -13,10 +13,11 @@ shuffled. All terms are indexed, so that other items can be searched later witho
 The search. Items go in blocks of bounded size; rows of their terms alone are read. For an item and a
 segment, block heads (no postings) give a bound for every stretch of documents between block borders:
 the sum of greatest impacts of the blocks that span it. Stretches below the 50th best score so far are
-skipped, and blocks that only lie in skipped stretches are never decompressed. The likeliest
-stretches go first, so that the threshold rises early; it is carried from segment to segment of a task,
-and from a first share of the segments to all others. Documents that could tie are kept, so the ranks
-are exact.
+skipped, and blocks that only lie in skipped stretches are never decompressed. In the others, pivots
+are documents in the lists of those terms without which the threshold is out of reach; of the other
+terms, only blocks around pivots that can still reach it are decompressed. The threshold is carried from
+segment to segment of a task, and from a first share of the segments to all others. Documents that could
+tie are kept, so the ranks are exact.
 
 Null texts, texts without terms and items without terms match nothing. Equal scores go by ascending
 doc_id, null ids last; repeated rows are documents of their own. Repeated items are searched once each,
@@ -277,57 +278,115 @@ def _segments(batches):
         yield postings, lengths, ids
 
 
+class _Stretches:
+    """Bounds of the stretches between block borders, from block heads alone."""
+
+    def __init__(self, terms):
+        first, after = np.concatenate([t.heads[:, 0] for t in terms]), np.concatenate([t.heads[:, 1] + 1 for t in terms])
+        self.borders = np.unique(np.concatenate([first, after]))
+
+    def bound(self, terms) -> np.ndarray:
+        """For each stretch the most that these terms can add to a document in it."""
+        change = np.zeros(len(self.borders), np.int64)
+        for t in terms:
+            np.add.at(change, np.searchsorted(self.borders, t.heads[:, 0]), t.most)
+            np.subtract.at(change, np.searchsorted(self.borders, t.heads[:, 1] + 1), t.most)
+        return np.cumsum(change)
+
+    def of(self, docs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.borders, docs, "right") - 1
+
+
+class _Term:
+    def __init__(self, weight: int, heads: np.ndarray, raw: np.ndarray):
+        self.weight, self.heads, self.raw = weight, heads, raw
+        self.most = weight * heads[:, 3]
+        self.stop = np.append(heads[1:, 2], len(raw))
+
+    def read(self, wanted: np.ndarray, corpus) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of these blocks, and what the term adds to them."""
+        lengths, n, total = corpus
+        raw = self.raw if len(wanted) == len(self.heads) else np.concatenate([self.raw[self.heads[j, 2] : self.stop[j]] for j in wanted.tolist()])
+        pairs = unvbyte(raw).reshape(-1, 2)
+        docs = np.cumsum(pairs[:, 0])
+        at = np.arange(0, len(docs), BLOCK)  # all blocks but a term's last are full
+        docs += np.repeat(self.heads[wanted, 0] - docs[at], np.diff(np.append(at, len(docs))))
+        return docs, self.weight * impacts(pairs[:, 1], lengths[docs], n, total)
+
+    def within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Blocks that reach into one of the ascending stretches from `low` to before `high`."""
+        k = np.searchsorted(high, self.heads[:, 0], "right")
+        return np.flatnonzero((k < len(low)) & (low[np.minimum(k, len(low) - 1)] <= self.heads[:, 1]))
+
+
+def _added(terms, docs: np.ndarray, corpus) -> np.ndarray:
+    """What the terms add to the ascending documents; other blocks than theirs stay packed."""
+    sums = np.zeros(len(docs), np.int64)
+    for t in terms:
+        wanted = t.within(docs, docs + 1)
+        if len(wanted):
+            found, parts = t.read(wanted, corpus)
+            k = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
+            hit = docs[k] == found
+            sums[k[hit]] += parts[hit]
+    return sums
+
+
+def _union(terms, wanted, corpus, stretches=None, live=None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents (of live stretches) that the wanted blocks of the terms hold, and their sums."""
+    read = [t.read(w, corpus) for t, w in zip(terms, wanted) if len(w)]
+    if not read:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    docs, parts = (np.concatenate(x) for x in zip(*read))
+    if live is not None:
+        inside = live[stretches.of(docs)]
+        docs, parts = docs[inside], parts[inside]
+    docs, place = np.unique(docs, return_inverse=True)
+    sums = np.zeros(len(docs), np.int64)
+    np.add.at(sums, place, parts)
+    return docs, sums
+
+
 def block_max(terms, lengths: np.ndarray, least: int, best: int, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents of a segment and their scores: all that reach both `least` and the best-th score.
-    terms: weight, block heads and postings of each term of the item."""
-    first, after = np.concatenate([h[:, 0] for _, h, _ in terms]), np.concatenate([h[:, 1] + 1 for _, h, _ in terms])
-    most = np.concatenate([w * h[:, 3] for w, h, _ in terms])
-    borders = np.unique(np.concatenate([first, after]))
-    change = np.zeros(len(borders), np.int64)
-    np.add.at(change, np.searchsorted(borders, first), most)
-    np.subtract.at(change, np.searchsorted(borders, after), most)
-    bound = np.cumsum(change)[:-1]  # of the stretch from a border to the next
-    size = np.diff(borders)
-    done = bound < least
+    terms: weight, block heads and postings of each term of the item.
+
+    The weakest terms whose greatest impacts together stay below the threshold cannot lift a document
+    to it alone. So only documents in the lists of the others are candidates (the pivots), and a
+    candidate is scored in full only if its sum there and the block maxima of the weak terms around it
+    reach the threshold."""
+    corpus = lengths, n, total
+    terms = sorted((_Term(*t) for t in terms), key=lambda t: -int(t.most.max()))
     docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    take = 2 * best
-    while not done.all():
-        rest = np.flatnonzero(~done)
-        rest = rest[np.argsort(-bound[rest], kind="stable")]
-        live = rest[: 1 + np.searchsorted(np.cumsum(size[rest]), take)]
-        done[live] = True
-        d, s = _scored(terms, np.sort(live), borders, lengths, n, total)
-        docs, scores = np.concatenate([docs, d]), np.concatenate([scores, s])
-        if len(scores) >= best:
-            least = max(least, int(np.partition(scores, len(scores) - best)[len(scores) - best]))
-        keep = scores >= least
-        docs, scores = docs[keep], scores[keep]
-        done |= bound < least
-        take *= 4
-    return docs, scores
-
-
-def _scored(terms, live: np.ndarray, borders: np.ndarray, lengths: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of the documents in the live stretches; only blocks that reach into one are decompressed."""
-    low, high = borders[live], borders[live + 1]
-    base = np.concatenate([[0], np.cumsum(high - low)])
-    sums = np.zeros(base[-1], np.int64)
-    for w, heads, raw in terms:
-        # A block is wanted if the first stretch that ends after its start begins before its end.
-        k = np.searchsorted(high, heads[:, 0], "right")
-        wanted = np.flatnonzero((k < len(low)) & (low[np.minimum(k, len(low) - 1)] <= heads[:, 1]))
-        if not len(wanted):
-            continue
-        stop = np.append(heads[1:, 2], len(raw))
-        bytes_ = raw if len(wanted) == len(heads) else np.concatenate([raw[heads[j, 2] : stop[j]] for j in wanted])
-        pairs = unvbyte(bytes_).reshape(-1, 2)
-        docs = np.cumsum(pairs[:, 0])
-        at = np.arange(0, len(docs), BLOCK)  # all blocks but a term's last are full
-        docs += np.repeat(heads[wanted, 0] - docs[at], np.diff(np.append(at, len(docs))))
-        k = np.searchsorted(high, docs, "right")
-        inside = (k < len(low)) & (low[np.minimum(k, len(low) - 1)] <= docs)
-        k, docs, tf = k[inside], docs[inside], pairs[inside, 1]
-        sums[base[k] + docs - low[k]] += w * impacts(tf, lengths[docs], n, total)
-    found = np.flatnonzero(sums > 0)
-    k = np.searchsorted(base, found, "right") - 1
-    return low[k] + found - base[k], sums[found]
+    if least <= 1:  # no threshold yet: the likeliest documents of the strongest terms give one
+        few = 1 + next((k for k, rows in enumerate(np.cumsum([len(t.heads) for t in terms]) * BLOCK) if rows >= 2 * best), len(terms))
+        seeds, sums = _union(terms[:few], [np.arange(len(t.heads)) for t in terms[:few]], corpus)
+        seeds = np.sort(seeds[np.argsort(-sums, kind="stable")[: 2 * best]])
+        reached = _added(terms, seeds, corpus)
+        if len(reached) >= best:
+            least = max(least, int(np.partition(reached, len(reached) - best)[len(reached) - best]))
+    stretches = _Stretches(terms)
+    live = stretches.bound(terms) >= least
+    at = np.flatnonzero(live)
+    if not len(at):
+        return docs, scores
+    low, high = stretches.borders[at], stretches.borders[np.minimum(at + 1, len(stretches.borders) - 1)]
+    weak = len(terms) - int(np.searchsorted(np.cumsum([int(t.most.max()) for t in reversed(terms)]), least))
+    strong, rest = terms[:weak], terms[weak:]
+    pivots, sums = _union(strong, [t.within(low, high) for t in strong], corpus, stretches, live)
+    bound = sums + stretches.bound(rest)[stretches.of(pivots)] if len(pivots) else sums
+    for likely in (True, False):
+        keep = bound >= least
+        pivots, sums, bound = pivots[keep], sums[keep], bound[keep]
+        chosen = np.ones(len(pivots), bool)
+        if likely and len(pivots) > 4 * best:
+            chosen = bound >= np.partition(bound, len(bound) - 2 * best)[len(bound) - 2 * best]
+        mine = pivots[chosen]
+        if len(mine):
+            reached = sums[chosen] + _added(rest, mine, corpus)
+            docs, scores = np.concatenate([docs, mine]), np.concatenate([scores, reached])
+            if len(scores) >= best:
+                least = max(least, int(np.partition(scores, len(scores) - best)[len(scores) - best]))
+        pivots, sums, bound = pivots[~chosen], sums[~chosen], bound[~chosen]
+    keep = scores >= least
+    return docs[keep], scores[keep]
