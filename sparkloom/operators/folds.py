@@ -2,7 +2,7 @@
 tape, a mission, a user) is folded in one task by applyInPandas; groups run side by side. The folds
 themselves are small helpers on lists. Where a fold cannot look across a gap (spans that do not touch,
 anchors out of reach) groups are cut there first, so that a user with very many rows is many groups.
-`longest_run` and `resolve_times` look across a whole stream: their groups must be bounded."""
+Longest runs and chains, which look across a whole stream, are in `runs`."""
 
 from __future__ import annotations
 
@@ -24,7 +24,11 @@ def increasing(values: list[float | None], strict: bool) -> list[int]:
             continue
         at = find(ends, v)
         before[k] = places[at - 1] if at else None
-        ends[at:], places[at:] = ([v], [k]) if at == len(ends) else ([v, *ends[at + 1 :]], [k, *places[at + 1 :]])
+        if at == len(ends):
+            ends.append(v)
+            places.append(k)
+        else:
+            ends[at], places[at] = v, k
     out, k = [], places[-1] if places else None
     while k is not None:
         out.append(k)
@@ -123,21 +127,20 @@ def filled_digits(pattern: str, low: float, high: float) -> int | None:
     return best
 
 
-def resolved(times: list[int | None], patterns: list[str | None], hours: list[int | None]) -> list[int | None]:
+def resolved(times: list[int | None], patterns: list[str | None], hours: list[int | None], trusted: set[int] | None = None, following: float = float("inf")) -> list[int | None]:
     """Times of a stream in order: those on a longest run that never falls are trusted; others are
-    read off their smudged digits between their trusted neighbours, else never before the last."""
-    trusted = set(increasing(times, strict=False))
-    following: list[float] = [float("inf")] * len(times)
-    ahead = float("inf")
-    for k in range(len(times) - 1, -1, -1):
-        following[k] = ahead
-        if k in trusted:
-            ahead = times[k]
+    read off their smudged digits between their trusted neighbours, else never before the last.
+    trusted: places, where they are known; following: the trusted time after the last row."""
+    if trusted is None:
+        trusted = set(increasing(times, strict=False))
+    ahead: list[float] = [following] * len(times)
+    for k in range(len(times) - 1, 0, -1):
+        ahead[k - 1] = times[k] if k in trusted else ahead[k]
     out: list[int | None] = []
     last = None
     for k, t in enumerate(times):
         if k not in trusted:
-            guess = filled_digits(patterns[k], last if last is not None else 0, following[k]) if patterns[k] else None
+            guess = filled_digits(patterns[k], last if last is not None else 0, ahead[k]) if patterns[k] else None
             floor = [x for x in (last, hours[k]) if x is not None]
             t = guess if guess is not None else max(floor, default=None)
         last = t if t is not None else last
@@ -150,15 +153,6 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fold, schema: st
     return df.groupBy(*keys).applyInPandas(lambda p: fold(p.sort_values(order, kind="stable").reset_index(drop=True)), schema)
 
 
-def longest_run(df: DataFrame, keys: list[str], order: list[str], value: str, strict: bool = False) -> DataFrame:
-    """The rows of each group that lie on its longest run."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        return p.iloc[increasing(p[value].tolist(), strict)]
-
-    return per_group(df, keys, order, fold, df.schema)
-
-
 def _of_spans(df: DataFrame, keys: list[str], start: str, end: str, value: str, width: float, fold) -> DataFrame:
     """fold: (start, end, value) of touching spans -> the same."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -197,11 +191,3 @@ def group_by_offset(df: DataFrame, keys: list[str], at: str, offset: str, reach:
 def phase_fold(df: DataFrame, keys: list[str], order: str, kind: str, width: float = 100_000, to: str = "stage") -> DataFrame:
     """Each row's stage: its own class unless that is null or behind the stage reached."""
     return running_most(df, keys, order, F.col(kind).cast("long"), width, to)
-
-
-def resolve_times(df: DataFrame, keys: list[str], order: list[str], time: str, pattern: str, hour: str, to: str = "resolved") -> DataFrame:
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda c: [None if pd.isna(x) else int(x) for x in p[c]]
-        return p.assign(**{to: pd.array(resolved(whole(time), [x if isinstance(x, str) else None for x in p[pattern]], whole(hour)), dtype="Int64")})
-
-    return per_group(df, keys, order, fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` long")

@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import align, text, web
-from ..operators import aggregates, folds, joins
-from ..sources import html
+from ..operators import aggregates, folds, joins, runs
+from ..sources import html, scratch
 from ..sources.tables import load
 from ..streaming import counters
 
@@ -130,7 +130,7 @@ def weighted_sample(spark, sf_dir):
 def lis_trusted(spark, sf_dir):
     """Of each user's events, those whose values lie on a longest run that never falls."""
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return folds.longest_run(e, ["user_id"], ["event_id"], "value")
+    return runs.longest_run(e, ["user_id"], ["event_id"], "value")
 
 
 def trim_intervals(spark, sf_dir):
@@ -182,7 +182,7 @@ def best_in_band(c):
 def stream_daily_counts(spark, sf_dir):
     """The daily counters as a stream over the event files, run to its end in complete mode."""
     name = f"daily_{uuid.uuid4().hex}"
-    counters.run_once(counters.daily_counts(counters.read_events(spark, f"{sf_dir}/events.parquet")), "complete", name, f"{counters.shared_dir(spark)}/{name}")
+    counters.run_once(counters.daily_counts(counters.read_events(spark, f"{sf_dir}/events.parquet")), "complete", name, f"{scratch.shared_dir(spark)}/{name}")
     return spark.table(name)
 
 

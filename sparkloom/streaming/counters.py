@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,18 +70,6 @@ def upsert_into(path: str, keys: list[str], n: str):
     return write
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Where streams keep their state: the folder named in spark.checkpoint.dir. A local master without
-    it gets a folder of its own, a cluster is refused."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-    return at.rstrip("/")
-
-
 def run_once(stream: DataFrame, mode: str, name: str, checkpoint: str) -> None:
     """Runs a stream over all that is there, into a memory table (for tests and small results)."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
