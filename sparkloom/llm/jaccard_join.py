@@ -22,6 +22,8 @@ are null. Ties do not occur; no rows give no rows. Other columns do not matter,
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,12 +69,34 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
+LONG = 256  #: bytes of a word from which on it is hashed by itself
+
+
+def names(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit name for each range of bytes. Eight bytes at a time go through a mixer that depends on
+    all before, so it is no polynomial: of ranges of one length, those of up to eight bytes have
+    different names, and no pattern makes longer ones alike. Long ones are hashed by BLAKE2."""
+    held = np.concatenate([flat, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(flat) + 1,), "<u8", held, strides=(1,))
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) * BASE, salt)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8)
+        mask = ~np.uint64(0) >> (np.uint64(64) - 8 * left.astype(np.uint64))
+        h[live] = mixed(h[live] ^ (lanes[starts[live] + at] & mask), 7)
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        raw = hashlib.blake2b(held[starts[k] : ends[k]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+        h[k] = int.from_bytes(raw, "little")
+    return h
+
+
 def shingles(raws: list[bytes | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and hashes of the distinct shingles of each text, sorted by both."""
     lines = [b" ".join((r or b"").translate(LOWER).split()) for r in raws]
     flat = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
-    power, inverse = powers(len(flat) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[flat] * power[: len(flat)])])
     blank = np.flatnonzero(flat == 32)
     n_words = np.array([x.count(b" ") + 1 if x else 0 for x in lines])
     # An empty line leaves a blank of its own; its "word" is empty and gets no shingle.
@@ -83,9 +107,11 @@ def shingles(raws: list[bytes | None], width: int = SHINGLE) -> tuple[np.ndarray
     n_sh = np.where(n_words == 0, 0, np.maximum(n_words - width + 1, 1))
     rows = np.repeat(np.arange(len(raws)), n_sh)
     at = np.arange(len(rows)) - np.repeat(np.cumsum(n_sh) - n_sh, n_sh) + first[rows]
-    last = at + np.minimum(width, n_words[rows]) - 1
-    s, e = starts[at], ends[last]
-    h = mixed((total[e] - total[s]) * inverse[s])
+    word, many = names(flat, starts, ends, 11), np.minimum(width, n_words[rows])
+    h = many.astype(np.uint64)
+    for k in range(width):  # a shingle is the sequence of its words' names
+        more = k < many if k else slice(None)
+        h[more] = mixed(h[more] ^ word[at[more] + k], k + 1)
     order = np.lexsort((h, rows))
     rows, h = rows[order], h[order]
     if len(h):

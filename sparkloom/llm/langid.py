@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, least_reaching, stored, tidy
-from .jaccard_join import mixed, powers
+from .jaccard_join import mixed, names, powers
 
 SAMPLE_ROWS = 30_000
 FEATURES = 1_000_000
@@ -72,7 +72,7 @@ class Words:
     """The words of some texts, and hashes of any ranges of their characters."""
 
     def __init__(self, texts: list[str]):
-        flat = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.flat = flat = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = kinds()[flat]
         inside = kind > 0
         power, self.inverse = powers(len(flat) + 1)
@@ -86,6 +86,8 @@ class Words:
         self.lettered = letters[self.end] > letters[self.start]
 
     def hashes(self, start, end, n):
+        if not n:
+            return names(self.flat.view(np.uint8), 4 * start, 4 * end, 31)
         return mixed((self.total[end] - self.total[start]) * self.inverse[start], n)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICED, dealt, least_reaching, sliced, sliced_sum, stored
-from .jaccard_join import BYTE_VALUE, LOWER, mixed, pieces, powers
+from .jaccard_join import LOWER, mixed, names, pieces
 
 HEAD = 1 << 17
 CLASSES = 16
@@ -54,8 +54,6 @@ def tokens(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, each text followed by the end token, and the sizes of the texts."""
     lines = [b" ".join((r or b"").translate(LOWER).split()) for r in raws]
     flat = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
-    power, inverse = powers(len(flat) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[flat] * power[: len(flat)])])
     ends = np.flatnonzero(flat == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
     words = np.array([x.count(b" ") + 1 if x else 0 for x in lines], np.int64)
@@ -64,7 +62,7 @@ def tokens(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(words)), slots)
     real = words[row] > 0
     at = np.arange(len(row)) - np.repeat(np.cumsum(slots) - slots, slots) + (np.cumsum(words + 1) - words - 1)[row]
-    out[at[real]] = mixed((total[ends] - total[starts]) * inverse[starts], 21)[real]
+    out[at[real]] = names(flat, starts, ends, 21)[real]
     return out, words + 1
 
 
