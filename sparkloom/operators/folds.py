@@ -86,25 +86,28 @@ def trimmed(spans: list[tuple[float, float, int]], sliver: float = 1.0) -> list[
 def merged(pieces: list[tuple[float, float, float]], within: float) -> list[tuple[float, float, float]]:
     """Overlapping pieces (start, end, offset) joined if the offset is near that of the group's first."""
     out: list[list[float]] = []
+    live: list[list[float]] = []  # groups that a later piece can still touch
     for start, end, offset in sorted(pieces):
-        for g in reversed(out):
-            if start <= g[1] and abs(offset - g[2]) <= within:
-                g[1] = max(g[1], end)
-                break
+        live = [g for g in live if start <= g[1]]
+        home = next((g for g in reversed(live) if abs(offset - g[2]) <= within), None)
+        if home:
+            home[1] = max(home[1], end)
         else:
-            out.append([start, end, offset])
+            live.append([start, end, offset])
+            out.append(live[-1])
     return [tuple(g) for g in out]
 
 
 def offset_groups(anchors: list[tuple[float, float]], reach: float, within: float) -> list[int]:
-    """A group number for each anchor (time, offset), in order of time: the most recent group within
-    `reach` of its last time and `within` of its last offset, else a new one."""
-    last: list[tuple[float, float]] = []
-    out = []
+    """A group number for each anchor (time, offset), in order of time: the group that was opened last
+    among those within `reach` of its last time and `within` of its last offset, else a new one."""
+    live: dict[int, tuple[float, float]] = {}  # the last anchor of each group in reach, as opened
+    out, n = [], 0
     for t, offset in anchors:
-        near = [g for g, (u, o) in enumerate(last) if t - u <= reach and abs(offset - o) <= within]
-        g = max(near, key=lambda g: last[g][0]) if near else len(last)
-        last[g : g + 1] = [(t, offset)]
+        live = {g: last for g, last in live.items() if t - last[0] <= reach}
+        g = max((g for g, last in live.items() if abs(offset - last[1]) <= within), default=n)
+        n = max(n, g + 1)
+        live[g] = (t, offset)
         out.append(g)
     return out
 

@@ -221,9 +221,10 @@ def resolve_times(df: DataFrame, keys: list[str], at: str, time: str, pattern: s
         p = p.sort_values(at, kind="stable").reset_index(drop=True)
         whole = lambda c: [None if pd.isna(x) else int(x) for x in p[c]]
         texts = [x if isinstance(x, str) else None for x in p[pattern]]
-        first = {0} if not pd.isna(p["_from"].iloc[0]) else set()
-        following = p["_next"].iloc[0]
+        following = p["_next"].iloc[-1]
+        first = set(p.index[p[at] == p["_from"]])
         times = resolved(whole(time), texts, whole(hour), first, float("inf") if pd.isna(following) else following)
-        return p.assign(**{to: pd.array(times, dtype="Int64")}).drop(columns=["_from", "_next"])
+        return p.assign(**{to: pd.array(times, dtype="Int64")}).drop(columns=["_from", "_next", "_part"])
 
-    return rows.groupBy(*keys, "_from").applyInPandas(fold, schema)
+    # Stretches that start near each other share a task; each starts afresh at its trusted row.
+    return rows.withColumn("_part", F.floor(F.col("_from") / width)).groupBy(*keys, "_part").applyInPandas(fold, schema)
