@@ -40,11 +40,11 @@ from .common import drop_stored, stored, tidy
 
 BEST, BLOCK = 50, 128
 #: Text of a segment in bytes, and its documents at most (one text may be longer).
-SEGMENT_BYTES, SEGMENT_ROWS = 16 << 20, 1 << 16
+SEGMENT_BYTES, SEGMENT_ROWS = 8 << 20, 1 << 16
 #: Items, and bytes of their texts, that are searched in one pass over the index.
 ITEMS, ITEM_BYTES = 2000, 2 << 20
 #: Bytes of index rows that one task of a search reads, as a rule.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 8 << 20
 #: One segment in so many is searched first, for the thresholds.
 FIRST = 16
 _PIECE = 1 << 16
