@@ -68,27 +68,49 @@ def merged(old: list[str], new: list[str], known: set[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("t", T.DoubleType()), T.StructField("share", T.DoubleType())]))
-def find_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([find(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], columns=["t", "share"])
+def find_run(line: list[str], words: list[str], times: list[float], per_word: float = 0.3) -> tuple[float | None, float]:
+    """When the line began, by the longest stretch of it that is heard without a break, and the share
+    found; only if that stretch has two words and half the line is found, or five words. A callsign that
+    opens a line is often in the one before too, so the first stretch says little. From the longest one
+    back, earlier stretches count while what lies between is no longer heard than its words take (and
+    four seconds); of single words only those of the line's opening do."""
+    blocks = _blocks(line, words) if line else []
+    if not blocks:
+        return None, 0.0
+    share = sum(b.size for b in blocks) / len(line)
+    k = max(range(len(blocks)), key=lambda j: (blocks[j].size, -j))
+    start = longest = blocks[k]
+    for b in blocks[:k][::-1]:
+        opening = b.size > 1 or b.a < 3
+        if opening and times[start.b] - times[b.b + b.size - 1] > start.a - b.a - b.size + 4:
+            break
+        start = b if opening else start
+    if longest.size < 2 or (share < 0.5 and longest.size < 5):
+        return None, share
+    return float(times[start.b]) - per_word * start.a, share
 
 
 FOUND = T.StructType([T.StructField("t", T.DoubleType()), T.StructField("share", T.DoubleType())])
 
 
-@F.pandas_udf(FOUND)
-def find_start_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([find_start(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], columns=["t", "share"])
+def _found_udf(find_one):
+    """find_one over rows; a null line, null words or null times are not found."""
+
+    @F.pandas_udf(FOUND)
+    def found(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFrame:
+        rows = [(None, 0.0) if a is None or b is None or c is None else find_one(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)]
+        return pd.DataFrame(rows, columns=["t", "share"])
+
+    return found
 
 
-@F.pandas_udf(FOUND)
-def find_unique_udf(line: pd.Series, words: pd.Series, times: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([find_unique(list(a), list(b), list(c)) for a, b, c in zip(line, words, times)], columns=["t", "share"])
+find_udf, find_start_udf, find_unique_udf, find_run_udf = map(_found_udf, (find, find_start, find_unique, find_run))
 
 
 @F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    """How alike two texts are; null if either is null."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def merge_udf(known: list[str]):
@@ -99,6 +121,7 @@ def merge_udf(known: list[str]):
 
     @F.pandas_udf("array<string>")
     def merge(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([merged(list(a), list(b), words) for a, b in zip(old, new)])
+        # Where one reading is null, the other is all there is.
+        return pd.Series([b if a is None else a if b is None else merged(list(a), list(b), words) for a, b in zip(old, new)])
 
     return merge

@@ -87,3 +87,9 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, version: str) -> Dat
     o, n = old.select(F.col(key), F.col(version).alias("_o"), F.lit(1).alias("_ho")), new.select(F.col(key), F.col(version).alias("_n"), F.lit(1).alias("_hn"))
     change = F.when(F.col("_ho").isNull(), "added").when(F.col("_hn").isNull(), "removed").when(~F.col("_o").eqNullSafe(F.col("_n")), "modified")
     return o.join(n, key, "full").select(key, change.alias("change")).where("change is not null")
+
+
+def cogrouped(left: DataFrame, right: DataFrame, keys: list[str], fold, schema: str) -> DataFrame:
+    """fold(rows of left, rows of right) of each key. Both sides may come from one table."""
+    own = right.select(*[F.col(c).alias(c) for c in right.columns])
+    return left.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(fold, schema)

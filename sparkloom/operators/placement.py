@@ -73,6 +73,15 @@ def retimed(lines: DataFrame, words: DataFrame, keys: list[str], line: str, at:
     return found.withColumn(at, F.when(sure, F.col("_f.t")).otherwise(F.col(at))).withColumn("moved", sure).select(*lines.columns, "moved")
 
 
+def retimed_by_run(lines: DataFrame, words: DataFrame, keys: list[str], line: str, at: str, tokens: str, before: float = 45, after: float = 120) -> DataFrame:
+    """Lines of two words or more moved to where the longest stretch of their words is heard
+    (`align.find_run`), if it is half a second away at least; others stay. Adds moved."""
+    near = heard_near(lines.where(F.size(tokens) > 1), words, keys, line, at, before, after)
+    found = lines.join(near, [*keys, line], "left").withColumn("_f", align.find_run_udf(tokens, "words", "times"))
+    off = F.coalesce(F.abs(F.col("_f.t") - F.col(at)) >= 0.5, F.lit(False))
+    return found.withColumn("moved", off).withColumn(at, F.coalesce(F.round("_f.t", 1), F.col(at))).select(*lines.columns, "moved")
+
+
 def unheard(lines: DataFrame, words: DataFrame, keys: list[str], line: str, at: str, before: float, after: float, filler: list[str]) -> DataFrame:
     """Lines near which no word but filler is heard."""
     real = words.where(~F.col("token").isin(*filler)).select(*keys, F.col("g").alias("_g"))

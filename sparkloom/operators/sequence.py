@@ -100,3 +100,14 @@ def clusters(df: DataFrame, keys: list[str], start: str, end: Column, width: flo
     reached = running_most(df, keys, start, end, width, "_reached", strict=True)
     first = F.when(F.col("_reached").isNull() | (F.col(start) > F.col("_reached")), F.col(start))
     return running_most(reached.withColumn("_first", first), keys, start, F.col("_first"), width, to).drop("_reached", "_first")
+
+
+def numbered(df: DataFrame, keys: list[str], at: str, ties: list[str], width: float, to: str) -> DataFrame:
+    """Numbers the rows of each key from 0 in order of `at` and `ties`. Rows are numbered by buckets of
+    `width`, and the counts of earlier buckets added, so that no key is ordered in one task."""
+    rows = df.withColumn("_b", F.floor(F.col(at) / width))
+    many = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_many"))
+    before = F.sum("_many").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    base = many.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(at, *ties))
+    return rows.withColumn("_own", own).join(base, [*keys, "_b"]).withColumn(to, F.col("_base") + F.col("_own") - 1).select(*df.columns, to)
