@@ -60,25 +60,28 @@ def nearest_code(token: Column, codes: list[str]) -> Column:
     return F.when((own != "") & (ranked["far"] <= ranked["most"]), ranked["code"]).otherwise("?")
 
 
-def damaged_name(word: str, names: list[str]) -> str | None:
-    """The name that a misread word stands for: the most alike, the first listed of equals. An
-    underscore is a lost letter. A word with a capital, or a letter that scans make of one, needs a
-    likeness of 0.72, one that starts with a mark 0.8; others, and words under four letters, are none."""
-    low = word.lower()
-    shape = re.sub("[^a-z_]", "", low)
-    letters = shape.replace("_", "")
-    least = 0.72 if word[:1].isupper() or word[:1] in set("lti") else 2.0 if word[:1].isalpha() else 0.8
-    if len(letters) < 4 or not names:
-        return None
+#: How alike a misread word must be to a name, by its first character. Names have a capital,
+#: or what scans make of one, or their capital is lost in a mark. Shorter words stand for no name.
+ALIKE, SHORTEST = [("[A-Zlti]", 0.72), ("[^A-Za-z]", 0.8)], 4
 
-    def likeness(name: str) -> float:
-        own = SequenceMatcher(None, letters, name.lower()).ratio()
-        if "_" not in shape or len(shape) != len(name):
-            return own
-        return max(own, sum(c in ("_", n) for c, n in zip(shape, name.lower())) / len(name))
 
-    alike = [likeness(n) for n in names]
-    return names[alike.index(max(alike))] if max(alike) >= least else None
+def damaged_name(word: str, names: list[str]) -> str | None:
+    """The name that a misread word stands for: the most alike, the first listed of equals, if it is alike
+    enough (ALIKE). An underscore is a lost letter, which fits any letter of a name of the same length."""
+    least = next((share for first, share in ALIKE if re.match(first, word)), None)
+    read = re.sub("[^a-z_]", "", word.lower())
+    whole = read.replace("_", "")
+    if least is None or len(whole) < SHORTEST:
+        return None
+    shares = {}
+    for name in names:
+        low = name.lower()
+        shares[name] = SequenceMatcher(None, whole, low).ratio()
+        if len(low) == len(read) and whole != read:
+            fits = len(low) - sum(r != n for r, n in zip(read, low) if r != "_")
+            shares[name] = max(shares[name], fits / len(low))
+    best = max(shares, key=shares.get, default=None)
+    return best if best is not None and shares[best] >= least else None
 
 
 def damaged_name_udf(names: list[str]):
@@ -170,13 +173,6 @@ def scan_twins(a: Column, b: Column) -> Column:
     return (F.length(x) == F.length(y)) & (x != y) & F.forall(pairs, lambda ok: ok)
 
 
-def without_page_heading(text: Column) -> Column:
-    """A line without a tape's or page's heading that the scan ran into it, at its end or inside."""
-    head = r"\s+(?:['\"]?[IiFfl1|]['\"]?\s+)?[Tr]ap\W?e\s*[\w_]{1,4}/[\w_\]]{1,3}"
-    ending = F.regexp_replace(text, head + r"(?:\s+\S{1,2})*(?:\s+Page\s+\d{2,4})?\s*$", "")
-    return F.regexp_replace(F.regexp_replace(ending, head + r"(?=\s)", ""), r"\s+Page\s+\d{2,4}\s*$", "")
-
-
 def frame_kind(on_foot: Column, landed: Column, near: Column, described: Column, usual: Column, default: Column, orbital: list[str]) -> Column:
     """kind and like (the frame it is taken from) of a frame. One from a camera used on foot is of the
     surface, unless its neighbour (near: kind, frame) is of another kind; then an orbital neighbour
@@ -185,46 +181,3 @@ def frame_kind(on_foot: Column, landed: Column, near: Column, described: Column,
     own = F.coalesce(F.when((described != "surface") | landed, described), usual, default)
     kind = F.when(on_foot, F.coalesce(near["kind"], F.lit("surface"))).when(near["kind"].isin(orbital), near["kind"]).otherwise(own)
     return F.struct(kind.alias("kind"), F.when(on_foot | near["kind"].isin(orbital), near["frame"]).alias("like"))
-
-
-_PART = re.compile(r"(?P<number>\d[\d.,:+]*)|(?P<code>[A-Z]+\d+[A-Z]*)|(?P<capitals>[A-Z]{2,})|(?P<name>[A-Z][a-z]{2,})|(?P<one>[aAiI])")
-
-
-def is_scraps(text: str, vocabulary: set[str]) -> bool:
-    """A row without a word: no token of four letters, number, code, name or known word. Marks of a
-    break alone are no scraps, nor is one token of two letters or more with a capital."""
-    tokens = text.split()
-    if tokens and re.fullmatch(r"[-. *?!()]+", text.strip()):
-        return False
-    for token in tokens:
-        word = re.sub(r"(?i)'(?:s|t|d|m|ll|re|ve)[^a-z]*$", "", token).strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
-        if len(re.findall("[A-Za-z]", word)) >= 4:
-            return False
-        for part in re.split("[-/]", word):
-            known = len(part) >= 2 and part.isalpha() and not {part.lower(), part.lower().rstrip("s")}.isdisjoint(vocabulary)
-            if known or _PART.fullmatch(part):
-                return False
-    first = re.sub("^[^A-Za-z0-9]+", "", tokens[0]) if tokens else ""
-    return len(tokens) != 1 or not (first[:1].isupper() and len(re.findall("[A-Za-z]", first)) >= 2)
-
-
-def is_fold(text: str, vocabulary: set[str]) -> bool:
-    """A row of letter scraps: three clumps of letters or more, under two in five of them words, none
-    of these of four letters, no digit, and no sentence at its start."""
-    clumps = [t for t in re.findall("[A-Za-z']+", text) if len(t) >= 2]
-    words = [t for t in clumps if t.lower() in vocabulary]
-    sentence = bool(re.match(r"\W*[A-Za-z]+[.?!]", text)) and clumps[:1] == words[:1]
-    return len(clumps) >= 3 and not re.search(r"\d", text) and all(len(t) < 4 for t in words) and not sentence and 5 * len(words) < 2 * len(clumps)
-
-
-def row_filter(rule, vocabulary: list[str]):
-    """is_scraps or is_fold as a column function; the vocabulary is of bounded size and sent along."""
-    if sum(map(len, vocabulary)) > 16 << 20:
-        raise ValueError("a vocabulary of over 16 MB is joined, not sent with a function")
-    known = {w.lower() for w in vocabulary}
-
-    @F.pandas_udf("boolean")
-    def flags(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: rule(t or "", known))
-
-    return flags

@@ -295,26 +295,11 @@ def test_fuzzy_band_against_all_pairs(spark):
         assert have[c, t] == (max(near)[2], max(near)[0])
 
 
-def test_rows_of_scraps():
-    from sparkloom.functions import labels
-
-    words = {"the", "we", "go", "copy", "on"}
-    scraps = ["bee oy", "2oY eeo", "", "o ek ae", "eee"]
-    kept = ["Ahh!", "P64", "- -", "go on", "52", "_0TRAL x", "I", "the's", "RCS", "Bob ee"]
-    assert [labels.is_scraps(t, words) for t in scraps] == [True] * len(scraps)
-    assert [labels.is_scraps(t, words) for t in kept] == [False] * len(kept)
-    assert labels.is_fold("TE EE ET I a _ aeennn", words) and labels.is_fold("ORT TT nee", words)
-    assert not any(labels.is_fold(t, words) for t in ("the we go", "ORT TT 3 nee", "Go. TT nee ort", "TT nee", "we copy tt ee nn oo"))
-
-
-def test_scan_twins_and_headings(spark):
+def test_scan_twins(spark):
     from sparkloom.functions import labels
 
     df = spark.createDataFrame([("Ckay", "okay"), ("Fete", "Pete"), ("same", "same"), ("abc", "abcd"), ("cat", "dog")], "a string, b string")
     assert [r[0] for r in df.select(labels.scan_twins(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, False]
-    lines = ["gets stopped. Tap'e 69/5", "target load I Tape 52/6 and your set", "Okay. Page 762", "plain line"]
-    df = spark.createDataFrame([(t,) for t in lines], "t string")
-    assert [r[0] for r in df.select(labels.without_page_heading(F.col("t"))).collect()] == ["gets stopped.", "target load and your set", "Okay.", "plain line"]
 
 
 VOCABULARY = {"staging": 30, "stating": 2, "charlie": 200, "roger": 900, "complete": 40, "midcourse": 5, "caution": 9, "satisfactory": 4, "read": 5, "reed": 4, "how": 50, "do": 9, "you": 90, "latitude": 2, "longitude": 2}
