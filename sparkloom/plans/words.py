@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import notes
-from ..operators import counts, scraps, transcripts
+from ..operators import announcer, counts, scraps, transcripts
 from ..sources.tables import load
 
 #: Of terms in the documents and turns; the first two are one family.
@@ -79,7 +79,23 @@ def count_anchors(spark, sf_dir):
     return counts.anchors(words.select("tape", (F.col("turn") * 1000 + F.col("k") * 0.25).alias("t"), seq.alias("seq"), "token"), ["tape"])
 
 
-QUERIES = {f.__name__: f for f in (scrap_lines, noted_words, term_notes, announced, count_anchors)}
+def announced_stretches(spark, sf_dir):
+    """Conversations as tapes of one word each 0.4 seconds, turns half a minute apart, every fifth turn the
+    announcer's; turns of users are the crew's lines. Each announcement, parted by the times that it
+    gives, with where it starts and ends and how many words it has."""
+    c = load(spark, sf_dir, "conversations").where("text is not null").withColumn("his", F.col("turn") % 5 == 1)
+    hour = (F.col("turn") * 3 + F.col("conv_id") % 50).cast("string")
+    said = F.concat(F.lit("This is Apollo Control at "), hour, F.lit(" hours, 5 minutes. "), F.substring_index("text", " ", 30))
+    at = F.col("turn") * 30.0
+    tokens = F.split(F.when(F.col("his"), said).otherwise(F.substring_index("text", " ", 60)), r"\s+")
+    words = c.select(F.col("conv_id").alias("tape"), at.alias("at"), F.posexplode(tokens).alias("k", "token")).select("tape", (F.col("at") + 0.4 * F.col("k")).alias("start"), (F.col("at") + 0.4 * F.col("k") + 0.3).alias("end"), "token")
+    crew = c.where("role = 'user' and not his").select(F.col("conv_id").alias("tape"), at.alias("t"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"), (F.col("turn") % 2 == 0).alias("heard"))
+    tapes = c.groupBy("conv_id").agg((F.max("turn") * 30.0 + 60).alias("to")).select(F.col("conv_id").alias("tape"), F.lit(0.0).alias("from"), "to")
+    found = announcer.announcements(words, crew, tapes, ["capcom", "cc"]).withColumn("rate", F.lit(1.0))
+    return announcer.parted(found).select("tape", F.round("t0", 2).alias("t0"), F.round("t1", 2).alias("t1"), F.size("words").alias("words"), F.size("over_words").alias("over_words"))
+
+
+QUERIES = {f.__name__: f for f in (scrap_lines, noted_words, term_notes, announced, count_anchors, announced_stretches)}
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')"
 _BARE = r"list_transform(tokens, lambda x: regexp_replace(regexp_replace(x, '''(?:s|t|d|m|ll|re|ve)[^A-Za-z]*$', '', 'i'), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))"
