@@ -7,7 +7,7 @@ few fixes of a line is an array aggregate, so no line leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import joins
@@ -85,3 +85,30 @@ def rejoined(lines: DataFrame, fixes: DataFrame, close: float = 2, far: float =
     kept = lines.join(free.select("mission", "line"), ["mission", "line"], "left_anti").join(more, ["mission", "line"], "left")
     whole = F.concat_ws(" ", F.concat(F.array(F.rtrim("t")), F.transform("_more", lambda x: F.ltrim(x["t"]))))
     return kept.withColumn("t", F.when(F.col("_more").isNull(), F.col("t")).otherwise(whole)).select(*lines.columns)
+
+
+def _plain(text: str) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+
+
+def printed_times(rows: DataFrame, fixes: DataFrame, close: float = 2) -> tuple[DataFrame, DataFrame]:
+    """Printed times put right before anything is timed. rows: mission, line, g, t; fixes: mission, fix, g (as
+    read), t (part of the line), printed. Rows of a fix are those within `close` seconds whose letters and
+    digits hold the fix's; of several fixes of a row the last counts. Returns the rows, with `g` put right
+    and `fixed`, and the fixes that have no row and do not already hold: no row of that text has the time."""
+    f = fixes.select("mission", "fix", F.col("g").cast("double").alias("_g"), _plain("t").alias("_own"), F.col("printed").cast("double").alias("printed"))
+    r = rows.where("g is not null").select("mission", "line", F.col("g").cast("double").alias("g"), _plain("t").alias("_text"))
+    holds = F.contains(F.col("_text"), F.col("_own"))
+    hits = joins.band_join(f, r, ["mission"], "_g", "g", close, close).where(holds)
+    new = hits.groupBy("mission", "line").agg(F.max_by("printed", "fix").alias("_new"))
+    rest = f.join(hits.select("mission", "fix").distinct(), ["mission", "fix"], "left_anti")
+    already = joins.band_join(rest, r, ["mission"], "printed", "g", 0, 0).where(holds).select("mission", "fix").distinct()
+    out = rows.join(new, ["mission", "line"], "left").withColumn("fixed", F.col("_new").isNotNull()).withColumn("g", F.coalesce("_new", F.col("g").cast("double")))
+    return out.select(*rows.columns, "fixed"), rest.join(already, ["mission", "fix"], "left_anti").select("mission", "fix")
+
+
+def require_met(unmet: DataFrame, some: int = 20) -> None:
+    """Raises if a fix found no line; names some of them."""
+    names = [f"{r[0]}: {r[1]}" for r in unmet.orderBy("mission", "fix").limit(some).collect()]
+    if names:
+        raise ValueError("fixes without a line: " + "; ".join(names))

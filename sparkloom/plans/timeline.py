@@ -167,10 +167,10 @@ def page_rows(spark, sf_dir):
 def next_of_own(spark, sf_dir):
     """The user's next purchase after each other event, capped to between one minute and one day."""
     e = timed(spark, sf_dir)
-    w = sequence.ordered(["user_id"], ["t"]).rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("event_type") == "purchase", F.col("t")), True).over(w)
-    gap = F.greatest(F.least(nxt - F.col("t"), F.lit(DAY_US)), F.lit(60 * US))
-    return e.withColumn("wait", gap).where("event_type <> 'purchase'").select("event_id", "wait")
+    buys = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("bought"))
+    others = joins.asof(e.where("event_type <> 'purchase'"), buys, ["user_id"], "t", "bought", [], DAY_US, forward=True, strict=True)
+    gap = F.greatest(F.least(F.col("match.bought") - F.col("t"), F.lit(DAY_US)), F.lit(60 * US))
+    return others.select("event_id", gap.alias("wait"))
 
 
 def overlap_per_hour(spark, sf_dir):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import notes
 from ..operators import announcer, counts, scraps, transcripts
+from ..operators import fixes as fixes_
+from ..sources import html
 from ..sources.tables import load
 
 #: Of terms in the documents and turns; the first two are one family.
@@ -95,7 +97,39 @@ def announced_stretches(spark, sf_dir):
     return announcer.parted(found).select("tape", F.round("t0", 2).alias("t0"), F.round("t1", 2).alias("t1"), F.size("words").alias("words"), F.size("over_words").alias("over_words"))
 
 
-QUERIES = {f.__name__: f for f in (scrap_lines, noted_words, term_notes, announced, count_anchors, announced_stretches)}
+LINK, AD, BLOCK, HEADING = r'(?i)<a\s+href="([^"]*)"', r"<!-- ad (\d+) -->", r"(?s)<p>(.*?)</p>", r"<h[1-6]>([^<]*)</h[1-6]>"
+
+
+def stamped_links(spark, sf_dir):
+    """Links of pages with the number of the nearest advertisement: 600 characters before at most, or 150
+    after."""
+    return html.timed_links(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", LINK, AD)
+
+
+def anchored_blocks(spark, sf_dir):
+    """Paragraphs of pages by the last advertisement before them."""
+    b = html.blocks_after_anchors(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", BLOCK, AD)
+    return b.groupBy("page_id", "anchor").agg(F.count("*").alias("blocks"), F.min("at").alias("first"), F.sum(F.length("text")).alias("chars"))
+
+
+def headed_texts(spark, sf_dir):
+    """What follows each heading of a page up to the next one, or a thousand characters after the last."""
+    return html.rows_to_next(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", HEADING)
+
+
+def printed_fixes(spark, sf_dir):
+    """Turns whose printed second is put right where the fix's words are near; the fixes ask for every fourth
+    turn, half of them by a text that no turn has."""
+    c = load(spark, sf_dir, "conversations").where("text is not null")
+    rows = c.select(F.col("conv_id").alias("mission"), F.col("turn").alias("line"), (F.col("turn") * 10.0).alias("g"), F.col("text").alias("t"))
+    part = F.when(F.col("line") % 8 == 0, F.upper(F.substring("t", 3, 12))).otherwise("no turn says so")
+    fixes = rows.where("line % 4 = 0").select("mission", F.col("line").alias("fix"), (F.col("g") + 1.5).alias("g"), part.alias("t"), (F.col("g") + 100).alias("printed"))
+    done, unmet = fixes_.printed_times(rows, fixes)
+    left = unmet.select("mission", F.col("fix").alias("line"), F.lit(True).alias("unmet"))
+    return done.join(left, ["mission", "line"], "left").select("mission", "line", "g", "fixed", F.coalesce("unmet", F.lit(False)).alias("unmet"))
+
+
+QUERIES = {f.__name__: f for f in (scrap_lines, noted_words, term_notes, announced, count_anchors, announced_stretches, stamped_links, anchored_blocks, headed_texts, printed_fixes)}
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')"
 _BARE = r"list_transform(tokens, lambda x: regexp_replace(regexp_replace(x, '''(?:s|t|d|m|ll|re|ve)[^A-Za-z]*$', '', 'i'), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))"
@@ -114,4 +148,10 @@ s AS (SELECT p.doc_id,
   len(clumps) >= 3 AND NOT regexp_matches(t, '\d') AND coalesce(c.n, 0) < 0.4 * len(clumps) AND coalesce(c.longest, 0) < 4 AND NOT (coalesce(c.first, 0) = 1 AND regexp_matches(t, '^\W*[A-Za-z]+[.?!]')) AS fold
   FROM p LEFT JOIN k USING (doc_id, line) LEFT JOIN c USING (doc_id, line))
 SELECT doc_id, count(*) AS lines, count(*) FILTER (scraps) AS scraps, count(*) FILTER (fold) AS folds FROM s GROUP BY 1""",
+    "printed_fixes": r"""
+WITH c AS (SELECT conv_id AS mission, turn AS line, turn * 10.0::DOUBLE AS g, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t, text FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT mission, line AS fix, g + 1.5 AS g, g + 100 AS printed, CASE WHEN line % 8 = 0 THEN regexp_replace(lower(upper(substring(text, 3, 12))), '[^a-z0-9]', '', 'g') ELSE 'noturnsaysso' END AS t FROM c WHERE line % 4 = 0),
+h AS (SELECT c.mission, line, fix, printed FROM c JOIN f ON c.mission = f.mission AND abs(c.g - f.g) <= 2 AND contains(c.t, f.t)), n AS (SELECT mission, line, arg_max(printed, fix) AS new FROM h GROUP BY ALL),
+u AS (SELECT mission, fix AS line FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.mission = f.mission AND h.fix = f.fix) AND NOT EXISTS (SELECT 1 FROM c WHERE c.mission = f.mission AND c.g = f.printed AND contains(c.t, f.t)))
+SELECT c.mission, c.line, coalesce(n.new, c.g) AS g, n.new IS NOT NULL AS fixed, u.line IS NOT NULL AS unmet FROM c LEFT JOIN n USING (mission, line) LEFT JOIN u USING (mission, line)""",
 }
