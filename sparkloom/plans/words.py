@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import notes
-from ..operators import announcer, counts, scraps, transcripts
+from ..operators import announcer, counts, rewrite, scraps, transcripts
 from ..operators import fixes as fixes_
 from ..sources import html
 from ..sources.tables import load
@@ -129,7 +129,18 @@ def printed_fixes(spark, sf_dir):
     return done.join(left, ["mission", "line"], "left").select("mission", "line", "g", "fixed", F.coalesce("unmet", F.lit(False)).alias("unmet"))
 
 
-QUERIES = {f.__name__: f for f in (scrap_lines, noted_words, term_notes, announced, count_anchors, announced_stretches, stamped_links, anchored_blocks, headed_texts, printed_fixes)}
+def rewritten_turns(spark, sf_dir):
+    """Turns with damage of four kinds (o read as 0, l as 1, words broken at a hyphen, blanks before stops),
+    rewritten by the general rules; and whether the turn is as it was before."""
+    v = load(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    c = load(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.regexp_replace(F.regexp_replace("text", r"[ \t]+", " "), r"\b([a-z]{3,}) \1\b", "$1").alias("was"), "turn")
+    kinds = [F.regexp_replace("was", "(?<=[a-z])o(?=[a-z])", "0"), F.regexp_replace("was", "(?<=[a-z])l(?=[a-z])", "1"), F.regexp_replace("was", r"\b([a-z]{3})([a-z]{3,})\b", "$1- $2"), F.regexp_replace("was", r"(?<=[a-z])\.", " .")]
+    damaged = c.select("id", "was", F.get(F.array(*kinds), (F.col("turn") % 4).cast("int")).alias("text"))
+    out = rewrite.rewritten(damaged, "id", "text", rewrite.GENERAL, v)
+    return out.select("id", "text", (F.col("text") == F.col("was")).alias("as_before"))
+
+
+QUERIES = {f.__name__: f for f in (scrap_lines, noted_words, term_notes, announced, count_anchors, announced_stretches, stamped_links, anchored_blocks, headed_texts, printed_fixes, rewritten_turns)}
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')"
 _BARE = r"list_transform(tokens, lambda x: regexp_replace(regexp_replace(x, '''(?:s|t|d|m|ll|re|ve)[^A-Za-z]*$', '', 'i'), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))"

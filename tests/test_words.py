@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import notes
-from sparkloom.operators import counts, scraps, transcripts
+from sparkloom.operators import counts, rewrite, scraps, transcripts
 
 
 def distance(a, b):
@@ -184,3 +184,49 @@ def test_counts_across_rows_and_tasks(spark):
         got.setdefault(r["tape"], []).append((r["t"], r["g"], r["weight"]))
     assert {k: sorted(v) for k, v in got.items()} == {k: plain_counts(ws) for k, ws in tapes.items()}
     assert sum(map(len, got.values())) > 150
+
+
+def test_rewrites_in_order_with_look_ups(spark):
+    known = {"broadcast", "roger", "we", "the", "all", "well", "hello", "come", "corner", "comer", "together", "to", "go"}
+    cases = {
+        "a broad- cast now": "a broadcast now",
+        "a broad- sheet now": "a broad- sheet now",  # the whole is not known
+        "R0ger , he110": "Roger, he110",  # 0 alone is mended; two steps would be needed for the other
+        "he1lo": "hello",
+        "l5 and 1I2": "15 and 112",
+        "a  corne": "a come",
+        "a corner": "a corner",  # known as it is
+        "corne rn": "come rn",
+        "cornes": "cornes",
+        "to gether": "to gether",  # one half is known
+        "tog ether": "together",
+        "we the the well .": "we the well.",
+        "‘go’ “all”": "'go' \"all\"",
+        "": "",
+    }
+    rows = [(k, t) for k, t in enumerate(cases)] + [(99, None)]
+    v = spark.createDataFrame([(w,) for w in known], "word string")
+    got = {r["k"]: r["t"] for r in rewrite.rewritten(spark.createDataFrame(rows, "k int, t string"), "k", "t", rewrite.GENERAL, v).collect()}
+    for k, (text, want) in enumerate(cases.items()):
+        plain = text
+        for phase in rewrite.phases(rewrite.GENERAL):
+            plain = rewrite.run_phase(phase, plain, known.__contains__)
+        assert got[k] == plain == want, text
+    assert got[99] is None
+
+
+def test_rewrites_as_plain_substitutions_on_random_texts(spark):
+    rng = random.Random(3)
+    known = {"".join(rng.choice("abo") for _ in range(rng.randrange(2, 5))) for _ in range(25)}
+    texts = ["".join(rng.choice(["a", "b", "o", "0", " ", "- ", "ab", "bo"]) for _ in range(rng.randrange(0, 25))) for _ in range(150)]
+    rules = [rewrite.Rewrite("bb", "b"), rewrite.Mend(r"\b([a-z]+)- ([a-z]+)\b", r"\1\2", known=(r"\1\2",)), rewrite.Mend(r"\b[a-z0]*0[a-z0]*\b", r"\g<0>", known=(r"\g<0>",), unknown=("=",), swap=(("0", "o"),)), rewrite.Rewrite("aa+", "a")]
+
+    def plain(t):
+        t = t.replace("bb", "b")
+        t = re.sub(r"\b([a-z]+)- ([a-z]+)\b", lambda m: m[1] + m[2] if m[1] + m[2] in known else m[0], t)
+        t = re.sub(r"\b[a-z0]*0[a-z0]*\b", lambda m: m[0].replace("0", "o") if m[0].replace("0", "o") in known and m[0] not in known else m[0], t)
+        return re.sub("aa+", "a", t)
+
+    v = spark.createDataFrame([(w,) for w in known], "word string")
+    out = rewrite.rewritten(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", rules, v)
+    assert {r["k"]: r["t"] for r in out.collect()} == {k: plain(t) for k, t in enumerate(texts)}
