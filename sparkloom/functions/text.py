@@ -96,3 +96,16 @@ def frame_key(frame: Column) -> Column:
     p = r"(?i)^AS(\d+)-0*(\d+)-0*(\d+)"
     parts = [F.regexp_extract(frame, p, k) for k in (1, 2, 3)]
     return F.when(parts[0] != "", F.concat_ws("-", *parts))
+
+
+def normalised(word: Column, expand: dict[str, str]) -> Column:
+    """A word in small letters and digits, abbreviations written out first ({"rog.": "roger"})."""
+    return F.regexp_replace(reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), expand.items(), F.lower(word)), "[^a-z0-9]", "")
+
+
+def side_of_heading(text: Column, name: str = "tape", sides: str = "AB") -> Column:
+    """The letter that ends the number of a heading ("Tape 80B/1"), where it is one of `sides` and the rest
+    has a digit, or what scans make of one; else null."""
+    number = F.regexp_extract(text, rf"(?i)^\W*{name}\W+([^/\s]+)", 1)
+    fits = number.rlike(rf"[0-9lIiOo].*[{sides}]$")
+    return F.when(fits, F.substring(number, -1, 1))

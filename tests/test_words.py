@@ -230,3 +230,24 @@ def test_rewrites_as_plain_substitutions_on_random_texts(spark):
     v = spark.createDataFrame([(w,) for w in known], "word string")
     out = rewrite.rewritten(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", rules, v)
     assert {r["k"]: r["t"] for r in out.collect()} == {k: plain(t) for k, t in enumerate(texts)}
+
+
+def test_places_of_keys(spark):
+    of = transcripts.span_of
+    assert of("We go, now.", "GO NOW") == (3, 10) and of("We go, now .", "go now.") == (3, 12) and of("say (go) now", "(go)") == (4, 8)
+    text = "We are comintl up on the ridge and stop"
+    assert of(text, "coming up on the ridge") == (7, 30) and of(text, "coming") is None
+    assert of(text, "nobody said these words here") is None and of(None, "x") is None and of("x", None) is None and of("", "a") is None and of("abc", "...") is None
+    spread = "coming " + "x" * 40 + " up on the ridge"
+    assert of(spread, "coming up on the ridge") is None
+    df = spark.createDataFrame([("We go, now.", "go now"), (None, "x"), ("abc", "zz")], "t string, k string").select(transcripts.span_udf("t", "k").alias("s"))
+    assert [(r["s"]["from"], r["s"]["to"]) for r in df.collect()] == [(3, 10), (None, None), (None, None)]
+
+
+def test_headings_and_abbreviations(spark):
+    from sparkloom.functions import text
+
+    df = spark.createDataFrame([("Tape 80B/1",), (" tape lA/2",), ("Tape 80C/1",), ("Tape AB/1",), ("the tape 8B",), ("Tape B",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.side_of_heading(F.col("t"))).collect()] == ["B", "A", None, None, None, None, None]
+    words = spark.createDataFrame([("Rog.",), ("Roger,",), ("x-9",), (None,)], "t string")
+    assert [r[0] for r in words.select(text.normalised(F.col("t"), {"rog.": "roger"})).collect()] == ["roger", "roger", "x9", None]
