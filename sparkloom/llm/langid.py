@@ -7,7 +7,7 @@ of letters and marks; words and n-grams are told apart by 64-bit hashes, so that
 array operations only.
 
 The classifier is fitted on a sample of about `sample_rows` labelled rows, chosen by a hash of the
-key. Its table is sparse: a language takes room only where it has an n-gram. All words and n-grams of
+key and the text. Its table is sparse: a language takes room only where it has an n-gram. All words and n-grams of
 the sample stay, as long as these are at most `features`; beyond, the rarest go, those of one count
 together. Prediction reads whole texts of all rows, long ones some characters at a time.
 
@@ -195,12 +195,13 @@ class Model:
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Fits on about `sample_rows` of the rows that have a text and a language."""
+    """Fits on about `sample_rows` of the rows that have a text and a language, chosen by a hash of key
+    and text: rows without a key are sampled as others are. Rows that are equal in both are all in or out."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     n = rows.count()
     if n > sample_rows:
         grain = 1 << 30
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(grain)) < int(grain * sample_rows / n))
+        rows = rows.where(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(grain)) < int(grain * sample_rows / n))
     c = stored(rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(counts, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "grams")
     totals = c.groupBy("lang", "n").agg(F.sum("count").alias("all"), F.count("*").alias("kinds")).collect()
     model = Model(c.where(F.col("count") >= least_reaching(c, "count", features)).toArrow(), {(r["lang"], r["n"]): (r["all"], r["kinds"]) for r in totals})

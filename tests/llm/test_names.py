@@ -37,3 +37,13 @@ def test_texts_of_mirrored_words_are_not_linked(spark):
     rows = [(1, x), (2, y), (3, x.upper()), (4, f"{x} b c d e f"), (5, f"{y} b c d e f")]
     got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_rows_without_a_key_are_sampled_as_others(spark):
+    rows = [(None, f"the word number {k} is here" if k % 2 else f"le mot nombre {k} est ici", "en" if k % 2 else "fr") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = langid.train(df, sample_rows=400)
+    whole = langid.train(df)
+    assert few.langs == whole.langs == ["en", "fr"]
+    said = [r["language"]["lang"] for r in langid.predict(df.limit(200), few).select("language").collect()]
+    assert len(set(said)) == 2
