@@ -43,8 +43,8 @@ BEST, BLOCK = 50, 128
 SEGMENT_BYTES, SEGMENT_ROWS = 8 << 20, 1 << 16
 #: Items, and bytes of their texts, that are searched in one pass over the index.
 ITEMS, ITEM_BYTES = 2000, 2 << 20
-#: Bytes of index rows that one task of a search reads, as a rule.
-TASK_BYTES = 8 << 20
+#: Bytes of index rows that one task of a search reads at most, as a rule.
+TASK_BYTES = 64 << 20
 #: One segment in so many is searched first, for the thresholds.
 FIRST = 16
 _PIECE = 1 << 16
@@ -203,7 +203,7 @@ class Index:
         wanted = stored(wanted, "wanted")
         sums = wanted.groupBy("term").agg(F.sum("rows").alias("df"), F.sum(F.octet_length("heads") + F.octet_length("postings")).alias("bytes")).collect()
         weights = {r["term"]: weight(self.n, r["df"]) for r in sums if r["term"]}
-        tasks = max(spark.sparkContext.defaultParallelism, -(-sum(r["bytes"] for r in sums) // TASK_BYTES))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["bytes"] for r in sums) // TASK_BYTES))
         queries = [[(t, weights[t]) for t in words if weights.get(t, 0) > 0] for _, words in items]
         first = F.pmod(F.xxhash64("segment"), F.lit(FIRST)) == 0
         found = [stored(_scanned(wanted.where(first), queries, [1] * len(items), best, self.n, self.total, tasks), "found")]
