@@ -284,13 +284,18 @@ def decode(df: DataFrame, spec: Spec, ids: str = "ids", to: str = "decoded") ->
 def round_trip(df: DataFrame, spec: Spec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encode() and decode() of its ids in one Python worker: two functions on one another would
     hold two workers, each with the vocabulary, for every task."""
-    from .common import fresh
+    from .common import fresh, tidy
 
     @F.arrow_udf("struct<ids:binary,decoded:string>")
     def both(col: pa.Array) -> pa.Array:
-        bpe = spec.ready()
-        made = [bpe.encode(x) for x in col.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(made, pa.binary()), pa.array(map(bpe.decode, made), pa.string())], ["ids", "decoded"])
+        bpe, parts, step = spec.ready(), [], 256
+        for k in range(0, max(1, len(col)), step):  # some texts at a time are Python's objects
+            made = [bpe.encode(x) for x in col.slice(k, step).to_pylist()]
+            parts.append(pa.StructArray.from_arrays([pa.array(made, pa.binary()), pa.array(list(map(bpe.decode, made)), pa.string())], ["ids", "decoded"]))
+        out = pa.concat_arrays(parts)
+        del parts
+        tidy()
+        return out
 
     to = fresh(df, "_both")
     return df.withColumn(to, both(F.col(text))).withColumn(ids, F.col(f"{to}.ids")).withColumn(decoded, F.col(f"{to}.decoded")).drop(to)

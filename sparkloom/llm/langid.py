@@ -219,6 +219,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", to: str = "language
         names, step = np.array([*m.langs, UNDETERMINED], object), 256
         got = [m.predict(col.slice(k, step).to_pylist()) for k in range(0, len(col), step)]
         lang, score = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, int) for k in (0, 1))
+        tidy()
         return pa.StructArray.from_arrays([pa.array(names[lang], pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     return df.withColumn(to, said(F.col(text)))

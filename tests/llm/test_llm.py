@@ -58,6 +58,7 @@ def empty_sf(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     spark.createDataFrame([], "page_id long, url string").write.parquet(f"{at}/pages.parquet")
     return str(at)
 
