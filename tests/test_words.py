@@ -251,3 +251,15 @@ def test_headings_and_abbreviations(spark):
     assert [r[0] for r in df.select(text.side_of_heading(F.col("t"))).collect()] == ["B", "A", None, None, None, None, None]
     words = spark.createDataFrame([("Rog.",), ("Roger,",), ("x-9",), (None,)], "t string")
     assert [r[0] for r in words.select(text.normalised(F.col("t"), {"rog.": "roger"})).collect()] == ["roger", "roger", "x9", None]
+
+
+def test_null_cells_of_repairs(spark):
+    from sparkloom.operators import repair
+
+    word = "struct<lead:string,core:string,trail:string>"
+    rows = [([("", "Hou_ton", ",")], [True], ["houston"], [True]), (None, [True], ["a"], [True]), ([("", "a", "")], None, ["a"], [True]), ([("", "a", "")], [True], None, None)]
+    df = spark.createDataFrame(rows, f"w array<{word}>, d array<boolean>, h array<string>, k array<boolean>")
+    assert [r[0] for r in df.select(repair.suggested_udf("w", "d", "h", "k")).collect()] == [["Houston,"], None, [None], [None]]
+    lines = [(["we", "c_py", "th_t"], [False, True, True], ["we", "copy", "that"]), (None, [True], ["a"]), (["a"], None, ["a"]), (["a"], [True], None)]
+    df = spark.createDataFrame(lines, "w array<string>, d array<boolean>, h array<string>")
+    assert [r[0] for r in df.select(repair.rebuilt_udf("w", "d", "h")).collect()] == ["We copy that", None, None, None]
