@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +79,25 @@ def single_stretches(anchors: DataFrame, keys: list[str], group: str, at: str, w
     spans = anchors.groupBy(*keys, group).agg(F.min(at).alias("_a"), F.max(at).alias("_z"))
     chained = clusters(spans, keys, "_a", F.col("_z"), width, "_cluster").select(*keys, group, "_cluster")
     columns = [c for c in anchors.columns if c != group]
-    schema = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in columns) + f", `{group}` long"
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([at, row], kind="stable").reset_index(drop=True)
-        own = sorted((g.index.to_numpy() for _, g in p.groupby(group)), key=lambda places: places[0])
-        times = p[at].to_numpy(float)
-        label, held = np.full(len(p), -1), {int(p[row].iloc[part[0]]): part for part in stretches(own, times, least)}
+    rows = anchors.join(chained, [*keys, group]).select(*columns, group, "_cluster")
+    place, weigh, name, own_group = (rows.columns.index(c) for c in (at, weight, row, group))
+
+    def fold(p: list[tuple]) -> list[tuple]:
+        own: dict = {}
+        for k, r in enumerate(p):
+            own.setdefault(r[own_group], []).append(k)
+        if len(own) == 1:
+            held = {int(p[0][name]): range(len(p))}
+        else:
+            times = np.array([r[place] for r in p], float)
+            held = {int(p[part[0]][name]): part for part in stretches([np.array(g) for g in own.values()], times, least)}
         names = list(held)
-        if rivals:
-            weights = p[weight].to_numpy()
+        if rivals and len(names) > 1:
+            weights = np.array([r[weigh] for r in p], float)
             names = [names[k] for k in unrivalled([times[held[n]] for n in names], [float(weights[held[n]].sum()) for n in names])]
-        for n in names:
-            label[held[n]] = n
-        p[group] = label
-        return p[label >= 0][[*columns, group]]
+        return [(*p[k][:own_group], n) for n in names for k in held[n]]
 
-    return anchors.join(chained, [*keys, group]).groupBy(*keys, "_cluster").applyInPandas(fold, schema)
+    return folds.by_rows(rows, [*keys, "_cluster"], [at, row], fold, [*columns, group], {group: "bigint"})
 
 
 def _summed(anchors: DataFrame) -> DataFrame:
