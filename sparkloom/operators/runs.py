@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import dropped, stored
-from .folds import chain, increasing, resolved
+from .folds import by_rows, chain, increasing, resolved
 from .joins import asof
 
 #: Rows of a stretch, and of a key that one task folds.
@@ -144,14 +144,14 @@ def _read_back(ranks: DataFrame, stretch: str, at: str) -> DataFrame:
     return out
 
 
-def _longest(df: DataFrame, keys: list[str], usable: Column, order: list[Column], height: list, block: int, small, across: str | None = None) -> DataFrame:
-    """small: folds a pandas frame of one key. height: columns to order by, given the place. across: of a
+def _longest(df: DataFrame, keys: list[str], usable: Column, order: list[Column], height: list, block: int, in_order: list[str], small, across: str | None = None) -> DataFrame:
+    """small: folds the rows of one key, by `in_order`. height: columns to order by, given the place. across: of a
     chain, its first coordinate."""
     df_in = df.where(usable)
     sizes = df_in.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block)
     large = stored(sizes.withColumn("_k", F.monotonically_increasing_id()), "large")
     n, rows = large.agg(F.count("*"), F.sum("_rows")).first()
-    fold = lambda part: part.groupBy(*keys).applyInPandas(small, df.schema)
+    fold = lambda part: by_rows(part, keys, in_order, small, df.columns)
     if not n:
         return fold(df_in)
     few = F.broadcast(large) if n <= SPREAD else large
@@ -179,13 +179,14 @@ def longest_run(df: DataFrame, keys: list[str], order: list[str], value: str, st
     is read backwards from the last row of the greatest rank. Rows that agree in `order` are taken by
     ascending value."""
 
-    def small(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([*order, value], kind="stable")
-        return p.iloc[increasing(p[value].tolist(), strict)]
+    at = df.columns.index(value)
+
+    def small(rows: list[tuple]) -> list[tuple]:
+        return [rows[k] for k in increasing([r[at] for r in rows], strict)]
 
     usable = F.col(value).isNotNull() & ~F.coalesce(F.isnan(F.col(value).cast("double")), F.lit(False))
     place = F.col("_x").desc() if strict else F.col("_x").asc()
-    return _longest(df, keys, usable, [*map(F.col, order), F.col(value)], [F.col(value).asc(), place], block, small)
+    return _longest(df, keys, usable, [*map(F.col, order), F.col(value)], [F.col(value).asc(), place], block, [*order, value], small)
 
 
 def longest_chain(df: DataFrame, keys: list[str], x: str, y: str, block: int = BLOCK) -> DataFrame:
@@ -193,14 +194,15 @@ def longest_chain(df: DataFrame, keys: list[str], x: str, y: str, block: int = B
     order of (x, y), the one whose last point is the first of the greatest rank, and so on backwards.
     Points with a null or NaN are passed over; of equal points one counts."""
 
-    def small(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([x, y], kind="stable")
-        return p.iloc[chain(list(zip(p[x], p[y])))]
+    a, b = df.columns.index(x), df.columns.index(y)
+
+    def small(rows: list[tuple]) -> list[tuple]:
+        return [rows[k] for k in chain([(r[a], r[b]) for r in rows])]
 
     usable = F.lit(True)
     for c in (x, y):
         usable = usable & F.col(c).isNotNull() & ~F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
-    return _longest(df, keys, usable, [F.col(x).asc(), F.col(y).desc()], [F.col(y).asc(), F.col("_x").desc()], block, small, x)
+    return _longest(df, keys, usable, [F.col(x).asc(), F.col(y).desc()], [F.col(y).asc(), F.col("_x").desc()], block, [x, y], small, x)
 
 
 def resolve_times(df: DataFrame, keys: list[str], at: str, time: str, pattern: str, hour: str, width: float, to: str = "resolved", block: int = BLOCK) -> DataFrame:

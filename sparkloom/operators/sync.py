@@ -12,15 +12,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import align
 from ..sources.scratch import stored
-from . import runs
-from .joins import asof, cogrouped, interval_join
+from . import folds, runs
+from .joins import asof, interval_join
 from .sequence import clusters, numbered
 
 #: Seconds before and after a printed time, seconds before a late one, words of a line
@@ -83,7 +83,7 @@ def in_order(lines: list[tuple[float, list[str]]], at: list[float], said: list[s
         late = False
         if (t is None or share < SHARE) and n >= LONG:
             first = max(tape.cursor, tape.place(g - LATE))
-            t, share = tape.seek(align.find_unique, words, first, min(len(at), low + n))
+            t, share = tape.seek(partial(align.find_unique, least=SURE), words, first, min(len(at), low + n))
             late = t is not None and share >= SURE
             t = t if late else None
         if t is None or share < SHARE:
@@ -109,7 +109,7 @@ def _brought_back(tape: Tape, lines, out: list[float], t: float) -> bool:
     back = [q for q in tape.waiting if lines[q][0] > t]
     for q in back:
         words = lines[q][1]
-        at, share = tape.seek(align.find_unique, words, cursor, end) if len(words) >= LEAST else (None, 0.0)
+        at, share = tape.seek(partial(align.find_unique, least=SHARE), words, cursor, end) if len(words) >= LEAST else (None, 0.0)
         if at is not None and share >= SHARE:
             found[q], cursor = at, tape.passed(at, len(words))
     stay = [_said_by(lines[q]) for q in tape.waiting if lines[q][0] <= t]
@@ -144,19 +144,17 @@ def synchronised(lines: DataFrame, words: DataFrame, keys: list[str], width: flo
     chained = stored(clusters(spans, keys, "_begin", F.col("_last"), step, "_chain"), "chains")
     bounds = chained.groupBy(*keys, "_chain").agg(F.min("_begin").alias("_from"), (F.max("_last") + 1).alias("_to"))
     heard = stored(interval_join(w, bounds, keys, "_n", "_from", "_to", step).select(*keys, "_chain", "_g", "_n", "token"), "heard")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chained.select(*keys, "_chain", "line", "g").schema) + ", _found boolean, _ends double, _asked boolean"
+    columns = [*keys, "_chain", "line", "g", "_found", "_ends", "_asked"]
 
-    def fold(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["g", "line"], kind="stable").reset_index(drop=True)
-        q = q.sort_values("_n")
-        before = p["_before"].iloc[0] if len(p) else None
-        g, found, ends, asked = in_order([(a, list(b)) for a, b in zip(p["g"], p["tokens"])], q["_g"].tolist(), q["token"].tolist(), None if pd.isna(before) else before)
-        return p.assign(g=g, _found=found, _ends=float("nan") if ends is None else ends, _asked=asked)[[*keys, "_chain", "line", "g", "_found", "_ends", "_asked"]]
+    def fold(p: list[dict], q: list[dict]) -> list[tuple]:
+        p, q = sorted(p, key=lambda r: (r["g"], r["line"])), sorted(q, key=lambda r: r["_n"])
+        g, found, ends, asked = in_order([(r["g"], r["tokens"]) for r in p], [r["_g"] for r in q], [r["token"] for r in q], p[0]["_before"])
+        return [(*(r[k] for k in keys), r["_chain"], r["line"], new, found, ends, asked) for r, new in zip(p, g)]
 
     def folded(part: DataFrame) -> DataFrame:
-        return cogrouped(part, heard, [*keys, "_chain"], fold, schema)
+        return folds.by_rows_of_both(part, heard, [*keys, "_chain"], fold, columns, {"_found": "boolean", "_ends": "double", "_asked": "boolean"})
 
-    first = stored(folded(chained.withColumn("_before", F.lit(None).cast("double"))).withColumn("_ends", F.nanvl("_ends", F.lit(None).cast("double"))), "in-order")
+    first = stored(folded(chained.withColumn("_before", F.lit(None).cast("double"))), "in-order")
     ends = first.groupBy(*keys, "_chain").agg(F.max("_found").alias("_found"), F.max("_ends").alias("_ends"), F.max("_asked").alias("_asked"))
     line = Window.partitionBy(*keys).orderBy("_chain")
     so_far = (Window.unboundedPreceding, 0)
@@ -187,19 +185,18 @@ def chained(lines: DataFrame, anchors: DataFrame, words: DataFrame, keys: list[s
     # A line beyond the gap's other end belongs to a later gap, or to none; the end itself is confirmed.
     ends = found.select(*keys, "line", F.lit(True).alias("_end"))
     rows = rows.join(ends, [*keys, "line"], "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*keys, "line").schema) + ", t double, again boolean"
 
-    def fold(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("line")
-        cells = sorted((w["_t"], w["seq"], w["token"]) for w in q["_words"].iloc[0]) if len(q) else []
+    def fold(p: list[dict], q: list[dict]) -> list[tuple]:
+        p = sorted(p, key=lambda r: r["line"])
+        cells = sorted((w["_t"], w["seq"], w["token"]) for w in q[0]["_words"]) if q else []
         at, said = [c[0] for c in cells], [c[2] for c in cells]
         out, last = [], None
-        for r in p.to_dict("records"):
+        for r in p:
             last = r["t"] if last is None else last
-            words, end = list(r["tokens"]) if r["tokens"] is not None else [], r["_next"]
+            words, end = r["tokens"] if r["tokens"] is not None else [], r["_next"]
             if r["_end"] is True:
                 after = r["_after"]
-                if len(words) >= LONG and not pd.isna(after) and last < after <= last + wide:
+                if len(words) >= LONG and after is not None and last < after <= last + wide:
                     t, share = _clear(words, at, said, bisect_left(at, last - 5), bisect_right(at, after + margin))
                     if t is not None and abs(t - end) <= 15:
                         out.append((r["line"], end, True))
@@ -209,13 +206,13 @@ def chained(lines: DataFrame, anchors: DataFrame, words: DataFrame, keys: list[s
                 if t is not None:
                     out.append((r["line"], t, False))
                     last = t
-        key = {k: p[k].iloc[0] for k in keys} if len(p) else {}
-        return pd.DataFrame([{**key, "line": a, "t": float(b), "again": c} for a, b, c in out], columns=[*keys, "line", "t", "again"])
+        return [(*(p[0][k] for k in keys), line, float(t), again) for line, t, again in out]
 
-    return cogrouped(rows, said, [*keys, "_gap"], fold, schema)
+    return folds.by_rows_of_both(rows, said, [*keys, "_gap"], fold, [*keys, "line", "t", "again"], {"t": "double", "again": "boolean"})
 
 
 def _clear(words: list[str], at: list[float], said: list[str], low: int, high: int) -> tuple[float | None, float]:
     """One clear place with three quarters of the words; of a long line three fifths are enough."""
-    t, share = align.find_unique(words, said[low:high], at[low:high]) if low < high else (None, 0.0)
-    return (t, share) if t is not None and (share >= 0.75 or len(words) >= 15 and share >= SHARE) else (None, share)
+    least = SHARE if len(words) >= 15 else 0.75
+    t, share = align.find_unique(words, said[low:high], at[low:high], least=least) if low < high else (None, 0.0)
+    return (t, share) if t is not None and share >= least else (None, share)

@@ -27,3 +27,43 @@ def test_rows_of_a_group_stay_together(spark):
     df = spark.createDataFrame(rows, "k double, n long, v long").repartition(3)
     got = folds.by_rows(df, ["k"], ["n"], lambda p: [(p[0][0], len(p), p[-1][2], sorted(r[1] for r in p) == [r[1] for r in p])], ["k", "many", "v", "ordered"], {"many": "int", "ordered": "boolean"}).collect()
     assert sorted((str(r.k), r.many, r.v, r.ordered) for r in got) == [("1.5", 6000, big, True), ("2.5", 6000, None, True), ("3.5", 6000, big, True), ("nan", 6000, None, True)]
+
+
+def test_a_clear_place_is_sought_where_words_are_shared(monkeypatch):
+    """Places that cannot come near the best are not aligned; what is found is what trying all finds."""
+    import random
+
+    from sparkloom.functions import align
+
+    def by_all(line, words, times, apart=20, by=2):
+        n, tried = len(line), []
+        for s in range(0, max(1, len(words) - n // 2), 2):
+            blocks = blocks_of(line, words[s : s + n + 6])
+            if blocks:
+                run = align._first_run(blocks)
+                tried.append((sum(b.size for b in blocks), s + run.b, run.a, s + blocks[0].b, s + blocks[-1].b + blocks[-1].size - 1))
+        if not line or not tried:
+            return None, 0.0
+        best = max(tried)
+        if any(x[0] >= best[0] - by for x in tried if times[x[4]] < times[best[3]] - apart or times[x[3]] > times[best[4]] + apart):
+            return None, 0.0
+        return float(times[best[1]]) - 0.3 * best[2], best[0] / n
+
+    blocks_of, asked, rng = align._blocks, [], random.Random(7)
+    monkeypatch.setattr(align, "_blocks", lambda a, b: asked.append(1) or blocks_of(a, b))
+    for k in range(400):
+        vocabulary = [chr(97 + c) for c in range(rng.choice([2, 5, 26]))]
+        line, words = ([rng.choice(vocabulary) for _ in range(rng.randrange(m))] for m in (12, 50))
+        if k % 2:
+            words[7:7] = [w for w in line if rng.random() > 0.15]
+        times = [2.0 * j for j in range(len(words))]
+        want = by_all(line, words, times)
+        assert align.find_unique(line, words, times) == want
+        for least in (0.6, 0.8):
+            sure = want if want[0] is not None and want[1] >= least else None
+            have = align.find_unique(line, words, times, least=least)
+            assert (have if have[0] is not None else None) == sure
+    asked.clear()
+    words = [f"w{int(abs(rng.gauss(0, 60)))}" for _ in range(1200)]
+    t, share = align.find_unique(words[500:600], words, [0.35 * k for k in range(1200)])
+    assert t == 175.0 and share == 1.0 and len(asked) < 60  # of 575 places
