@@ -35,17 +35,19 @@ def with_scraps(rows: DataFrame, id: str, text: str, vocabulary: DataFrame, word
     of a shape that says something. Break marks alone are no scraps, nor is a single word of two letters
     or more with a capital. A null or blank text is scraps. id: one value a row."""
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
-    bare = F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, CONTRACTED, ""), "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
-    parts = F.flatten(F.transform(bare, lambda w: F.split(w, "[-/]")))
-    shaped = rows.withColumn("_tokens", tokens).withColumn("_bare", bare).withColumn("_parts", parts)
-    says = F.exists("_bare", lambda w: F.length(_letters(w)) >= SPEAKS) | F.exists("_parts", lambda p: p.rlike(f"^(?:{'|'.join(SAYING)})$"))
-    sought = F.flatten(F.transform(F.filter("_parts", lambda p: p.rlike(r"^\p{L}{2,}$")), lambda p: F.array(F.lower(p), F.regexp_replace(F.lower(p), "s+$", ""))))
-    known = _known(shaped, id, sought, vocabulary, word, F.lit(True).alias("_known"))
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, CONTRACTED, ""), "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    parts = lambda t: F.split(bare(t), "[-/]")
+    shaped = rows.withColumn("_tokens", tokens)
+    # Words are looked at one by one until one says something: of most rows, the first few.
+    says = F.exists("_tokens", lambda t: F.length(_letters(bare(t))) >= SPEAKS) | F.exists("_tokens", lambda t: F.exists(parts(t), lambda p: p.rlike(f"^(?:{'|'.join(SAYING)})$")))
     alone = F.regexp_replace(F.get("_tokens", F.lit(0)), "^[^A-Za-z0-9]+", "")
     named = (F.size("_tokens") == 1) & alone.rlike("^[A-Z]") & (F.length(_letters(alone)) >= 2)
     marks = (F.size("_tokens") > 0) & F.trim(text).rlike(BREAK)
-    clean = marks | says | F.col("_known").isNotNull() | named
-    return shaped.join(known, id, "left").withColumn("scraps", ~F.coalesce(clean, F.lit(False))).select(*rows.columns, "scraps")
+    judged = shaped.withColumn("_clean", F.coalesce(marks | named | says, F.lit(False)))
+    sought = F.flatten(F.transform(F.filter(F.flatten(F.transform("_tokens", parts)), lambda p: p.rlike(r"^\p{L}{2,}$")), lambda p: F.array(F.lower(p), F.regexp_replace(F.lower(p), "s+$", ""))))
+    # Only rows that nothing else makes clean are held against the vocabulary.
+    known = _known(judged.where(~F.col("_clean")).select(id, "_tokens"), id, sought, vocabulary, word, F.lit(True).alias("_known"))
+    return judged.join(known, id, "left").withColumn("scraps", ~F.col("_clean") & F.col("_known").isNull()).select(*rows.columns, "scraps")
 
 
 def with_fold(rows: DataFrame, id: str, text: str, vocabulary: DataFrame, word: str = "word") -> DataFrame:
@@ -54,7 +56,9 @@ def with_fold(rows: DataFrame, id: str, text: str, vocabulary: DataFrame, word:
     clumps = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z']+"), F.lit(0)), lambda c: F.length(c) >= 2)
     cut = rows.withColumn("_clumps", F.transform(clumps, lambda c: F.lower(c)))
     what = F.struct(F.count("*").alias("n"), F.max(F.length("_w")).alias("longest"), F.min("place").alias("first")).alias("_of")
-    known = _known(cut, id, F.col("_clumps"), vocabulary, word, what)
+    # Rows that cannot be folds are not held against the vocabulary.
+    open_ = (F.size("_clumps") >= CLUMPS) & ~F.col(text).rlike(r"\d")
+    known = _known(cut.where(open_).select(id, "_clumps"), id, F.col("_clumps"), vocabulary, word, what)
     n = F.coalesce("_of.n", F.lit(0))
     sentence = F.coalesce(F.col("_of.first") == 0, F.lit(False)) & F.col(text).rlike(r"^\W*[A-Za-z]+[.?!]")
     wordy = (n >= WORDY * F.size("_clumps")) | (F.coalesce("_of.longest", F.lit(0)) >= SPEAKS)

@@ -67,3 +67,14 @@ def test_a_clear_place_is_sought_where_words_are_shared(monkeypatch):
     words = [f"w{int(abs(rng.gauss(0, 60)))}" for _ in range(1200)]
     t, share = align.find_unique(words[500:600], words, [0.35 * k for k in range(1200)])
     assert t == 175.0 and share == 1.0 and len(asked) < 60  # of 575 places
+
+
+def test_only_open_rows_meet_the_vocabulary(spark):
+    """Rows that say something by themselves are left out of the join with the vocabulary."""
+    from sparkloom.operators import scraps
+
+    rows = [("a", "plain words here"), ("b", "ab cd"), ("c", "xq zw"), ("d", None), ("e", "- -"), ("f", "Ab"), ("g", "it's t0")]
+    df, words = spark.createDataFrame(rows, "id string, t string"), spark.createDataFrame([("ab",)], "word string")
+    out = scraps.with_scraps(df, "id", "t", words)
+    assert {r.id: r.scraps for r in out.collect()} == {"a": False, "b": False, "c": True, "d": True, "e": False, "f": False, "g": True}
+    assert "Filter NOT _clean" in plan(out)
