@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import align
 from . import joins
@@ -107,15 +106,6 @@ def timed_run(lead: list[str], run: list[list[str]], g0: float, g1: float, words
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("g", T.DoubleType()), T.StructField("how", T.StringType())])))
-def timed_run_udf(lead: pd.Series, run: pd.Series, g0: pd.Series, g1: pd.Series, words: pd.Series) -> pd.Series:
-    def one(first, lines, a, z, heard):
-        own = [(w["_g"], w["_end"], w["token"]) for w in (heard if heard is not None else [])]
-        return [{"g": g, "how": how} for g, how in timed_run(list(first) if first is not None else [], [list(x["tokens"]) for x in lines], a, z, own)]
-
-    return pd.Series([one(*row) for row in zip(lead, run, g0, g1, words)])
-
-
 def timed_by_speech(lines: DataFrame, words: DataFrame, keys: list[str], order: str, at: str, timed: str, tokens: str, start: float = -3600.0, bucket: float = 10_000) -> DataFrame:
     """lines with `at` set for those that are not `timed` (a boolean), and `how` (null: timed before).
     words: keys, g, end, seq and token. Lines are in order of `order`, a number that no two of a key
@@ -139,6 +129,20 @@ def timed_by_speech(lines: DataFrame, words: DataFrame, keys: list[str], order:
     for c in same[1:]:
         cond = cond & c
     rows = runs.join(heard, cond, "left").select(*[runs[c] for c in [*keys, "_lead", "_g0", "_g1", "_run"]], "_words")
-    got = rows.withColumn("_got", timed_run_udf("_lead", "_run", "_g0", "_g1", "_words")).select(*keys, F.explode(F.arrays_zip("_run", "_got")).alias("_x"))
-    placed = got.select(*keys, F.col("_x._run._k").alias(order), F.col("_x._got.g").alias("_new"), F.col("_x._got.how").alias("how"))
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    columns = [*keys, order, "_new", "how"]
+
+    def placed_in(batches):
+        # A row at a time becomes Python objects, which take many times a batch's size.
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                r = {c: b.column(c)[k].as_py() for c in b.schema.names}
+                heard = [(w["_g"], w["_end"], w["token"]) for w in r["_words"] or []]
+                times = timed_run(r["_lead"] or [], [x["tokens"] or [] for x in r["_run"]], r["_g0"], r["_g1"], heard)
+                out += [(*(r[c] for c in keys), x["_k"], float(g), how) for x, (g, how) in zip(r["_run"], times)]
+            types = [*(b.schema.field(c).type for c in keys), b.schema.field("_run").type.value_type.field("_k").type, pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(columns), types)], names=columns)
+
+    placed = rows.mapInArrow(placed_in, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", _new double, how string")
     return lines.join(placed, [*keys, order], "left").select(*[F.coalesce(F.col("_new"), F.col(at).cast("double")).alias(at) if c == at else F.col(c) for c in lines.columns], "how")

@@ -78,3 +78,18 @@ def test_only_open_rows_meet_the_vocabulary(spark):
     out = scraps.with_scraps(df, "id", "t", words)
     assert {r.id: r.scraps for r in out.collect()} == {"a": False, "b": False, "c": True, "d": True, "e": False, "f": False, "g": True}
     assert "Filter NOT _clean" in plan(out)
+
+
+def test_runs_become_objects_one_at_a_time(spark):
+    """No batch of runs is turned into Python objects at once."""
+    from sparkloom.operators import timing
+
+    said = ["alpha beta gamma delta", "epsilon zeta eta theta", "iota kappa lambda mu"]
+    lines = [(c, k, 100.0 if k == 0 else None, k == 0, t.split()) for c in range(50) for k, t in enumerate(said)]
+    words = [(c, 100.0 + 20 * k + j, 100.4 + 20 * k + j, 10 * k + j, w) for c in range(50) for k, t in enumerate(said) for j, w in enumerate(t.split())]
+    l = spark.createDataFrame(lines, "c int, turn long, at double, timed boolean, tokens array<string>")
+    w = spark.createDataFrame(words, "c int, g double, end double, seq long, token string")
+    out = timing.timed_by_speech(l, w, ["c"], "turn", "at", "timed", "tokens")
+    want = {(c, k, at, how) for c in range(50) for k, at, how in ((0, 100.0, None), (1, 120.0, "found"), (2, 140.0, "found"))}
+    assert {(r.c, r.turn, r["at"], r.how) for r in out.collect()} == want
+    assert "ArrowEvalPython" not in plan(out)
