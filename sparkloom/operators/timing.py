@@ -137,8 +137,9 @@ def timed_by_speech(lines: DataFrame, words: DataFrame, keys: list[str], order:
         for b in batches:
             out = []
             for k in range(b.num_rows):
-                r = {c: b.column(c)[k].as_py() for c in b.schema.names}
-                heard = [(w["_g"], w["_end"], w["token"]) for w in r["_words"] or []]
+                r = {c: b.column(c)[k].as_py() for c in b.schema.names if c != "_words"}
+                said = b.column("_words")[k].values
+                heard = [] if said is None else list(zip(*(said.field(c).to_pylist() for c in ("_g", "_end", "token"))))
                 times = timed_run(r["_lead"] or [], [x["tokens"] or [] for x in r["_run"]], r["_g0"], r["_g1"], heard)
                 out += [(*(r[c] for c in keys), x["_k"], float(g), how) for x, (g, how) in zip(r["_run"], times)]
             types = [*(b.schema.field(c).type for c in keys), b.schema.field("_run").type.value_type.field("_k").type, pa.float64(), pa.string()]
