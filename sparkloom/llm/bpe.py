@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INF = 1 << 60
 GENERATION = 50_000  #: pieces in each of the two generations of a worker's cache
@@ -96,6 +97,8 @@ class Bpe:
             self.merges[left, right] = (rank, made)
             if made not in self.made_at:
                 self.made_at[made], self.halves[made] = rank, (left, right)
+        if unreachable:  # what merging makes was found before; ranks are all that is still asked for
+            self.merges.clear()
         self.whole = {t: i for t, i in self.ids.items() if i not in unreachable}
         # The automaton: a state is its steps (char -> state), its outputs (id, size) and its prefix.
         # Steps and outputs are filled in when first taken.
@@ -283,19 +286,20 @@ def decode(df: DataFrame, spec: Spec, ids: str = "ids", to: str = "decoded") ->
 
 def round_trip(df: DataFrame, spec: Spec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encode() and decode() of its ids in one Python worker: two functions on one another would
-    hold two workers, each with the vocabulary, for every task."""
-    from .common import fresh, tidy
-
-    @F.arrow_udf("struct<ids:binary,decoded:string>")
-    def both(col: pa.Array) -> pa.Array:
-        bpe, parts, step = spec.ready(), [], 256
-        for k in range(0, max(1, len(col)), step):  # some texts at a time are Python's objects
-            made = [bpe.encode(x) for x in col.slice(k, step).to_pylist()]
-            parts.append(pa.StructArray.from_arrays([pa.array(made, pa.binary()), pa.array(list(map(bpe.decode, made)), pa.string())], ["ids", "decoded"]))
-        out = pa.concat_arrays(parts)
-        del parts
+    hold two workers, each with the vocabulary, for every task. What is made of some texts is handed on
+    before the next ones are read, so that no worker holds the ids and texts of a whole batch."""
+    from .common import tidy
+
+    own = [c for c in df.columns if c not in (ids, decoded)]
+    kinds = T.StructType([*df.select(*own).schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+
+    def both(batches):
+        bpe, step = spec.ready(), 256
+        for b in batches:
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                made = [bpe.encode(x) for x in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*map(part.column, own), pa.array(made, pa.binary()), pa.array(list(map(bpe.decode, made)), pa.string())], names=[*own, ids, decoded])
         tidy()
-        return out
 
-    to = fresh(df, "_both")
-    return df.withColumn(to, both(F.col(text))).withColumn(ids, F.col(f"{to}.ids")).withColumn(decoded, F.col(f"{to}.decoded")).drop(to)
+    return df.mapInArrow(both, kinds)
