@@ -93,3 +93,15 @@ def test_runs_become_objects_one_at_a_time(spark):
     want = {(c, k, at, how) for c in range(50) for k, at, how in ((0, 100.0, None), (1, 120.0, "found"), (2, 140.0, "found"))}
     assert {(r.c, r.turn, r["at"], r.how) for r in out.collect()} == want
     assert "ArrowEvalPython" not in plan(out)
+
+
+def test_greedy_pairs_of_many_small_groups_keep_long_numbers(spark):
+    from sparkloom.operators import transcripts
+
+    big = 2**53
+    one = [(1, big + 1, 0.9), (1, big + 3, 0.9), (1, None, 0.9), (2, big + 1, 0.8), (2, big + 3, 0.7), (3, big + 1, 1.0), (3, None, 0.65), (4, big + 5, 0.6), (4, big + 5, None), (None, big + 7, 0.9)]
+    rows = [(k, *r) for k in (*range(300), None) for r in one]
+    out = transcripts.greedy_pairs(spark.createDataFrame(rows, "k long, l long, r long, s double"), ["k"], "l", "r", "s", 0.6)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    want = [(1, big + 1, 0.9), (2, big + 3, 0.7), (3, None, 0.65)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((k, *w) for k in (*range(300), None) for w in want), key=str)
