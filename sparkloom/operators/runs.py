@@ -23,12 +23,11 @@ from bisect import bisect_right
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import dropped, stored
 from .folds import by_rows, chain, increasing, resolved
-from .joins import asof
 
 #: Rows of a stretch, and of a key that one task folds.
 BLOCK = 200_000
@@ -36,7 +35,7 @@ BLOCK = 200_000
 SPREAD = 100_000
 _POINT, _TAILS, _EVENTS, _RANKS = range(4)
 _CELL = ["_k", "_mi", "_mj", "_bi", "_bj"]
-_ROWS = "_k long, _mi int, _mj int, _bi int, _bj int, _kind int, _x long, _y long, _n long, _data array<bigint>, _ranks array<bigint>, _ys array<bigint>"
+_ROWS = "_k long, _mi int, _mj int, _bi int, _bj int, _kind int, _n long, _data array<bigint>, _ranks array<bigint>, _ys array<bigint>"
 
 
 def cell(tails: list[int], below: int, events: list[int], points: list[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
@@ -67,7 +66,7 @@ def _cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     kinds = table.column("_kind").to_numpy()
     take = lambda kind: table.filter(pa.array(kinds == kind))
     own, left, low = take(_POINT), take(_TAILS), take(_EVENTS)
-    points = sorted(zip(own.column("_x").to_pylist(), own.column("_y").to_pylist()))
+    points = sorted(zip(own.column("_data")[0].as_py(), own.column("_ys")[0].as_py())) if own.num_rows else []
     tails = left.column("_data")[0].as_py() if left.num_rows else []
     below = left.column("_n")[0].as_py() if left.num_rows else 0
     events = low.column("_data")[0].as_py() if low.num_rows else []
@@ -85,8 +84,8 @@ def _cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     number = lambda v, t: pa.array([v] * n, t)
     return pa.table(
         [number(k, pa.int64()), number(mi, pa.int32()), number(mj, pa.int32()), *(pa.array(c, pa.int32()) for c in columns[:3])]
-        + [number(None, pa.int64()), number(None, pa.int64()), pa.array(columns[3], pa.int64()), *(pa.array(c, longs) for c in columns[4:])],
-        names=[*_CELL, "_kind", "_x", "_y", "_n", "_data", "_ranks", "_ys"],
+        + [pa.array(columns[3], pa.int64()), *(pa.array(c, longs) for c in columns[4:])],
+        names=[*_CELL, "_kind", "_n", "_data", "_ranks", "_ys"],
     )
 
 
@@ -95,16 +94,21 @@ def _ranked(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     _rank; and the tables that it reads."""
     bounds = stored(points.groupBy("_k").agg(F.min("_i").alias("_i0"), F.min("_j").alias("_j0"), (F.max("_i") - F.min("_i") + 1).alias("_mi"), (F.max("_j") - F.min("_j") + 1).alias("_mj")), "bounds")
     placed = points.join(bounds if bounds.count() > SPREAD else F.broadcast(bounds), "_k").withColumns({"_bi": F.col("_i") - F.col("_i0"), "_bj": F.col("_j") - F.col("_j0")})
-    cells = stored(placed.select(*_CELL, (F.col("_bi") + F.col("_bj")).alias("_d"), "_x", "_y").repartition("_d", "_k"), "cells", by=["_d"])
+    # One row a cell: Arrow rows with array columns take far longer to send than the cell to fold.
+    whole = placed.groupBy(*_CELL).agg(F.collect_list("_x").alias("_data"), F.collect_list("_y").alias("_ys"))
+    cells = stored(whole.select(*_CELL, (F.col("_bi") + F.col("_bj")).alias("_d"), "_data", "_ys").repartition("_d", "_k"), "cells", by=["_d"])
     last = bounds.agg(F.max(F.col("_mi") + F.col("_mj"))).first()[0] - 2
-    empty = {"_n": F.lit(None).cast("long"), "_data": F.lit(None).cast("array<bigint>"), "_ranks": F.lit(None).cast("array<bigint>"), "_ys": F.lit(None).cast("array<bigint>")}
+    spark = points.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rounds: list[DataFrame] = []
     for d in range(last + 1):
-        rows = cells.where(F.col("_d") == d).select(*_CELL, F.lit(_POINT).alias("_kind"), "_x", "_y").withColumns(empty)
+        rows = cells.where(F.col("_d") == d).select(*_CELL, F.lit(_POINT).alias("_kind"), F.lit(None).cast("long").alias("_n"), "_data", F.lit(None).cast("array<bigint>").alias("_ranks"), "_ys")
         if rounds:
             rows = rows.unionByName(rounds[-1].where(F.col("_kind") != _RANKS))
+        # Cells are few bytes and much work: adaptive execution would give them all to a task or two.
+        rows = rows.repartition(tasks, *_CELL)
         rounds.append(stored(rows.groupBy(*_CELL).applyInArrow(_cell, _ROWS), "diagonal"))
-    found = points.sparkSession.read.schema(rounds[0].schema).parquet(*[r._stored_at for r in rounds]).where(F.col("_kind") == _RANKS)
+    found = spark.read.schema(rounds[0].schema).parquet(*[r._stored_at for r in rounds]).where(F.col("_kind") == _RANKS)
     each = found.select("_k", "_bi", "_bj", F.explode(F.arrays_zip("_data", "_ys", "_ranks")).alias("p"))
     return each.select("_k", "_bi", "_bj", F.col("p._data").alias("_x"), F.col("p._ys").alias("_y"), F.col("p._ranks").alias("_rank")), [bounds, cells, *rounds]
 
@@ -213,20 +217,38 @@ def resolve_times(df: DataFrame, keys: list[str], at: str, time: str, pattern: s
     is the span of `at` in which rows are searched together."""
     base = stored(df, "readings")
     kept = longest_run(base.select(*keys, at, F.col(time).alias("_time")), keys, [at], "_time", block=block)
-    trusted = stored(kept.select(*keys, F.col(at).alias("_trusted"), "_time"), "trusted")
-    rows = asof(base, trusted, keys, at, "_trusted", ["_time"], width, to="_from")
-    rows = asof(rows, trusted, keys, at, "_trusted", ["_time"], width, forward=True, strict=True, to="_next")
-    rows = rows.select(*df.columns, F.col("_from._trusted").alias("_from"), F.col("_next._time").cast("double").alias("_next"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{to}` long"
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(at, kind="stable").reset_index(drop=True)
-        whole = lambda c: [None if pd.isna(x) else int(x) for x in p[c]]
-        texts = [x if isinstance(x, str) else None for x in p[pattern]]
-        following = p["_next"].iloc[-1]
-        first = set(p.index[p[at] == p["_from"]])
-        times = resolved(whole(time), texts, whole(hour), first, float("inf") if pd.isna(following) else following)
-        return p.assign(**{to: pd.array(times, dtype="Int64")}).drop(columns=["_from", "_next", "_part"])
-
-    # Stretches that start near each other share a task; each starts afresh at its trusted row.
-    return rows.withColumn("_part", F.floor(F.col("_from") / width)).groupBy(*keys, "_part").applyInPandas(fold, schema)
+    trusted = stored(kept.select(*keys, at, "_time"), "trusted")
+    cell = F.floor(F.col(at) / width)
+    # A run never falls, so the first of the trusted rows of a bucket has the least time. What lies before it
+    # goes on from the last trusted row of an earlier bucket, and is folded with that one's rows.
+    marks = trusted.groupBy(*keys, cell.alias("_b")).agg(F.min(at).alias("_first"), F.min("_time").alias("_least"), F.lit(True).alias("_any"))
+    seen = base.select(*keys, cell.alias("_b")).distinct().unionByName(marks, allowMissingColumns=True)
+    line = Window.partitionBy(*keys).orderBy("_b")
+    buckets = seen.groupBy(*keys, "_b").agg(F.min("_first").alias("_first"), F.min("_least").alias("_least"), F.max("_any").alias("_any"))
+    buckets = buckets.withColumn("_old", F.last(F.when(F.col("_any"), F.col("_b")), True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("_new", F.last("_least", True).over(down)).drop("_any")
+    rows = base.withColumn("_mark", F.lit(1)).unionByName(trusted.select(*keys, at, F.lit(0).alias("_mark")), allowMissingColumns=True)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    placed = rows.withColumn("_b", cell).alias("r").join(buckets.alias("b"), [*same, F.col("r._b") == F.col("b._b")])
+    own = F.col(at) >= F.col("b._first")
+    part, following = F.when(own, F.col("r._b")).otherwise(F.col("b._old")), F.when(own, F.col("b._new")).otherwise(F.coalesce("b._least", "b._new"))
+    placed = placed.select("r.*", part.alias("_part"), following.alias("_next")).drop("_b")
+    spots = [placed.columns.index(c) for c in (time, pattern, hour)]
+    mark, wide = placed.columns.index("_mark"), len(df.columns)
+    whole = lambda x: None if x is None or x != x else int(x)
+
+    def fold(group: list[tuple]) -> list[tuple]:
+        own, first = [], set()
+        for r in group:  # the mark of a trusted row comes before the row
+            if r[mark]:
+                own.append(r)
+            else:
+                first.add(len(own))
+        times, texts, hours = ([r[k] for r in own] for k in spots)
+        following = group[-1][-1]
+        out = resolved([*map(whole, times)], texts, [*map(whole, hours)], first, float("inf") if following is None else following)
+        return [(*r[:wide], t) for r, t in zip(own, out)]
+
+    # Each bucket starts afresh at its first trusted row.
+    return by_rows(placed, [*keys, "_part"], [at, "_mark"], fold, [*df.columns, to], {to: "bigint"})

@@ -78,3 +78,20 @@ def test_mended_reads_its_texts_twice(spark, tmp_path):
     out = repair.mended(texts, ["id"], "t", vocabulary, pairs).collect()
     assert {r.mended for r in out} == {f"Roger, staging {k}" for k in range(20)}
     assert seen.value <= 60
+
+
+def test_readings_of_a_stream_without_a_key_go_on_over_buckets(spark):
+    """A row goes on from a trusted row of an earlier bucket, also where the key is null."""
+    from sparkloom.operators import folds, runs
+
+    rnd, t, rows = random.Random(9), 0, []
+    for k in range(400):
+        t += rnd.randrange(0, 90)
+        text = list(f"{t // 86400:02d}{t // 3600 % 24:02d}{t // 60 % 60:02d}{t % 60:02d}")
+        text[rnd.randrange(8)] = "?"
+        rows.append((None, k, t if k % 17 == 0 else rnd.randrange(40_000) if k % 11 == 5 else None, "".join(text), None))
+    df = spark.createDataFrame(rows, "k string, at long, t long, pattern string, hour long")
+    want = folds.resolved(*[[r[c] for r in rows] for c in (2, 3, 4)])
+    for block in (1000, 25):
+        got = runs.resolve_times(df, ["k"], "at", "t", "pattern", "hour", 10, block=block)
+        assert [r["resolved"] for r in got.orderBy("at").collect()] == want
