@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
-
 
 def mode_first_seen(df: DataFrame, keys: list[str], value: str, order: str, to: str = "mode") -> DataFrame:
     """The most common value of each key; of equally common ones the one seen first in `order`.
@@ -25,11 +23,12 @@ def clipped_fit(df: DataFrame, keys: list[str], x: str, y: str, least_spread: fl
 def rare_votes(queries: DataFrame, index: DataFrame, query: str, gram: str, place: str, most: int, width: float, least: float = 0.0) -> DataFrame:
     """Each distinct gram of a query votes 1/hits for the places (in bins) where the index has it, if
     it has at most `most`. The best bin of each query, the lower of equals, and its score. Index rows
-    whose gram no query has go before anything is counted."""
-    asked = queries.select(query, gram).distinct()
-    met = index.join(asked.select(gram).distinct(), gram, "left_semi")
-    hits = met.groupBy(gram).agg(F.count("*").alias("_hits")).where(F.col("_hits") <= most)
-    rare = met.join(hits, gram)
+    whose gram no query has go before anything is counted. Both sides are dealt out by grams; hits are
+    counted where the rows lie, so that the index is made and dealt out once. Neither side is sent whole:
+    the grams of a small file are many."""
+    asked = queries.select(query, gram).repartition(gram).distinct().hint("merge")
+    met = index.join(asked.select(gram).hint("merge"), gram, "left_semi")
+    rare = met.withColumn("_hits", F.count("*").over(Window.partitionBy(gram))).where(F.col("_hits") <= most)
     votes = asked.join(rare, gram).withColumn("bin", F.floor(F.col(place) / width).cast("long")).groupBy(query, "bin").agg(F.sum(1 / F.col("_hits")).alias("score"))
     best = votes.groupBy(query).agg(F.max_by("bin", F.struct(F.round("score", 6), -F.col("bin"))).alias("bin"), F.round(F.max("score"), 2).alias("score"))
     return best.where(F.col("score") >= least)

@@ -35,9 +35,9 @@ def capitals(spark, sf_dir):
 def trigram_vote(spark, sf_dir):
     """For each conversation turn, the 64-id bin of documents that shares most of its rare trigrams."""
     # Grams are told apart by a 64-bit hash, a third of the bytes to shuffle.
-    grams = lambda: F.transform(text.grams(text.tokens(F.col("text")), 3), lambda g: F.xxhash64(g))
-    q = load(spark, sf_dir, "conversations").withColumn("q", F.concat_ws(":", "conv_id", "turn")).select("q", F.explode(grams()).alias("gram"))
-    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(grams())).alias("gram"))
+    gram = F.explode(F.array_distinct(text.hashed_grams(text.tokens(F.col("text")), 3))).alias("gram")
+    q = load(spark, sf_dir, "conversations").withColumn("q", F.concat_ws(":", "conv_id", "turn")).select("q", gram)
+    d = load(spark, sf_dir, "documents").select("doc_id", gram)
     return aggregates.rare_votes(q, d, "q", "gram", "doc_id", 20, 64, 0.2)
 
 

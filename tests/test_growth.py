@@ -95,3 +95,54 @@ def test_readings_of_a_stream_without_a_key_go_on_over_buckets(spark):
     for block in (1000, 25):
         got = runs.resolve_times(df, ["k"], "at", "t", "pattern", "hour", 10, block=block)
         assert [r["resolved"] for r in got.orderBy("at").collect()] == want
+
+
+def test_texts_are_cut_into_words_once_for_their_grams(spark, tmp_path):
+    """Each use of the words was a cut of its own, and documents were read twice, once to count hits."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import text
+    from sparkloom.plans import texts
+
+    cuts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all")
+    words = text.tokens(F.col("text"))
+    df = spark.createDataFrame([("It's one two, Three",), ("one two",), ("",), (None,)], "text string")
+    df.write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert cuts(df.select(text.grams(words, 3).alias("g"))) == 1 and cuts(df.select(text.hashed_grams(words, 3).alias("g"))) == 1
+    got = df.select("text", text.grams(words, 3).alias("g"), F.size(text.hashed_grams(words, 3)).alias("n")).collect()
+    assert {r.text: r.g for r in got} == {"It's one two, Three": ["its one two", "one two three"], "one two": [], "": [], None: None}
+    assert all(r.n == len(r.g) for r in got if r.g is not None)
+
+    docs = spark.createDataFrame([(k, "a b c d") for k in range(3)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "x a b c")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = texts.trigram_vote(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [doc_id") == 1 and "Broadcast" not in plan
+    assert [tuple(r) for r in out.collect()] == [("1:0", 0, 1.0)]
+
+
+def test_rare_votes_are_those_of_plain_counting(spark):
+    """With grams of many places, places that come twice, and a query's gram that comes twice."""
+    from collections import defaultdict
+
+    from sparkloom.operators import aggregates
+
+    rnd = random.Random(11)
+    index = [(rnd.randrange(60), int(rnd.random() ** 3 * 40)) for _ in range(400)]
+    asked = [(f"q{rnd.randrange(12)}", rnd.randrange(50)) for _ in range(150)]
+    got = aggregates.rare_votes(spark.createDataFrame(asked, "q string, gram long"), spark.createDataFrame(index, "place long, gram long"), "q", "gram", "place", 9, 8, 0.2)
+    places, want = defaultdict(list), {}
+    for p, g in index:
+        places[g].append(p)
+    for q in {q for q, _ in asked}:
+        score = defaultdict(float)
+        for g in {g for x, g in asked if x == q and len(places[g]) <= 9}:
+            for p in places[g]:
+                score[p // 8] += 1 / len(places[g])
+        if score:
+            s, b = max((round(v, 6), -b) for b, v in score.items())
+            if round(max(score.values()), 2) >= 0.2:
+                want[q] = (-b, round(max(score.values()), 2))
+    assert {r.q: (r.bin, r.score) for r in got.collect()} == want and want
