@@ -3,7 +3,8 @@
 None of them compares all pairs. As-of joins are a union and a window; the window is cut into time
 buckets, with the last row of earlier buckets carried over, so that a key with very many rows is
 spread over tasks. Band and interval joins put rows into fixed-width buckets and equi-join on these.
-Times are numbers: seconds, or microseconds of the epoch.
+What grows with the input is never broadcast (hint `merge`): Spark judges a table by its size before its
+rows are unfolded into buckets, and the driver would hold all of them. Times are numbers: seconds, or microseconds of the epoch.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     before = Window.partitionBy(*keys).orderBy((F.col("_b") * sign).asc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.withColumn("_carry", F.last("_end", True).over(before)).select(*keys, "_b", "_carry")
     seen = both.withColumn("_own", F.last("_p", True).over(inside)).where(F.col("_p").isNull())
-    return seen.join(carried, [*keys, "_b"], "left").withColumn(to, F.coalesce("_own", "_carry")).select(*left.columns, to)
+    return seen.join(carried.hint("merge"), [*keys, "_b"], "left").withColumn(to, F.coalesce("_own", "_carry")).select(*left.columns, to)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str], width: float, tolerance: float | None = None, to: str = "match") -> DataFrame:
@@ -55,7 +56,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_a
     line = Window.partitionBy(*keys)
     others = buckets.select(*keys, "_b", F.last("_end", True).over(line.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_old"), F.last("_begin", True).over(line.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_new"))
     seen = both.withColumn("_back", F.last("_p", True).over(up.rowsBetween(*so_far))).withColumn("_ahead", F.last("_p", True).over(down.rowsBetween(*so_far))).where("_side = 0")
-    out = seen.join(others, [*keys, "_b"], "left").withColumn("_back", F.coalesce("_back", "_old")).withColumn("_ahead", F.coalesce("_ahead", "_new"))
+    out = seen.join(others.hint("merge"), [*keys, "_b"], "left").withColumn("_back", F.coalesce("_back", "_old")).withColumn("_ahead", F.coalesce("_ahead", "_new"))
     back, ahead = F.col(at) - F.col("_back")[right_at], F.col("_ahead")[right_at] - F.col(at)
     best = F.when(F.col("_ahead").isNull() | (back <= ahead), F.col("_back")).otherwise(F.col("_ahead"))
     out = out.withColumn(to, best)
@@ -79,7 +80,7 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     that it touches: choose about the usual length of a span."""
     s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     p = points.withColumn("_b", F.floor(F.col(at) / width))
-    return p.join(s, [*keys, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
+    return p.join(s.hint("merge"), [*keys, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 An anchor says that tape second t is second g of a clock, and what it weighs. Groups of anchors of one
 offset become pieces if they hold against their neighbours. All rules on neighbours are windows over
-one row a group; only what looks into spans that overlap (splits, rivals) is a fold, over one chain of
+one row a group, and no table of groups is broadcast; only what looks into spans that overlap (splits, rivals) is a fold, over one chain of
 overlapping groups at a time. The rules' numbers are those of the task and stand in `Rules`.
 """
 
@@ -79,7 +79,7 @@ def single_stretches(anchors: DataFrame, keys: list[str], group: str, at: str, w
     spans = anchors.groupBy(*keys, group).agg(F.min(at).alias("_a"), F.max(at).alias("_z"))
     chained = clusters(spans, keys, "_a", F.col("_z"), width, "_cluster").select(*keys, group, "_cluster")
     columns = [c for c in anchors.columns if c != group]
-    rows = anchors.join(chained, [*keys, group]).select(*columns, group, "_cluster")
+    rows = anchors.join(chained.hint("merge"), [*keys, group]).select(*columns, group, "_cluster")
     place, weigh, name, own_group = (rows.columns.index(c) for c in (at, weight, row, group))
 
     def fold(p: list[tuple]) -> list[tuple]:
@@ -147,7 +147,7 @@ def grouped(anchors: DataFrame, rules: Rules = Rules()) -> DataFrame:
     by_offset = folds.group_by_offset(rows, ["tape"], "t", "o", rules.reach, rules.step)
     single = stored(single_stretches(by_offset, ["tape"], "group", "t", "w", "row", least=3), "stretches")
     kept = standing(_summed(single), rules).select("tape", "group")
-    return single_stretches(single.join(kept, ["tape", "group"]), ["tape"], "group", "t", "w", "row", rivals=True)
+    return single_stretches(single.join(kept.hint("merge"), ["tape", "group"]), ["tape"], "group", "t", "w", "row", rivals=True)
 
 
 def cuts(groups: DataFrame, words: DataFrame, rules: Rules = Rules(), handover: tuple[tuple[str, ...], str] = (("apollo", "mission"), "control")) -> DataFrame:
@@ -176,7 +176,7 @@ def cuts(groups: DataFrame, words: DataFrame, rules: Rules = Rules(), handover:
     bridges = inside.where(F.col("back") & (F.col("start") > F.col("a")) & (F.col("token") == handover[1]) & F.col("_said").isin(*handover[0]))
     spoken = bridges.groupBy("tape", "group", "a", "b").agg(F.max_by("speech", "start").alias("s"))
     left_out = spoken.select("tape", "group", F.when(F.col("b") - F.greatest("s", "a") <= rules.bridge, F.greatest(F.col("a"), F.col("s") - rules.lead)).alias("_ends"))
-    joined = gaps.join(longest, ["tape", "group"], "left").join(left_out, ["tape", "group"], "left")
+    joined = gaps.join(longest.hint("merge"), ["tape", "group"], "left").join(left_out.hint("merge"), ["tape", "group"], "left")
     middle = F.coalesce("p.middle", (F.col("low") + F.col("b")) / 2)
     return joined.select("tape", "group", F.coalesce("_ends", middle).alias("ends"), middle.alias("starts"))
 
@@ -188,9 +188,9 @@ def pieces(anchors: DataFrame, words: DataFrame, lengths: DataFrame, rules: Rule
     s = _summed(own)
     steep = F.when(F.max("t") - F.min("t") > rules.spread, F.greatest(F.least(F.regr_slope("o", "t"), F.lit(rules.slope)), F.lit(-rules.slope)))
     slopes = own.groupBy("tape", "group").agg(F.coalesce(steep, F.lit(0.0)).alias("slope"))
-    level = own.join(slopes, ["tape", "group"]).groupBy("tape", "group", "slope").agg(F.median(F.col("o") - F.col("slope") * F.col("t")).alias("level"))
+    level = own.join(slopes.hint("merge"), ["tape", "group"]).groupBy("tape", "group", "slope").agg(F.median(F.col("o") - F.col("slope") * F.col("t")).alias("level"))
     edges = cuts(s, words, rules)
-    rows = s.join(level, ["tape", "group"]).join(edges, ["tape", "group"], "left").join(lengths.select("tape", "seconds"), "tape")
+    rows = s.join(level.hint("merge"), ["tape", "group"]).join(edges.hint("merge"), ["tape", "group"], "left").join(lengths.select("tape", "seconds").hint("merge"), "tape")
     start = F.coalesce("starts", F.lit(0.0))
     end = F.coalesce(F.lead("ends").over(_line()), F.col("seconds").cast("double"))
     return rows.select("tape", F.round(start, 2).alias("from"), F.round(end, 2).alias("to"), F.round(F.col("level") + (1 + F.col("slope")) * start, 2).alias("get"), F.round(1 + F.col("slope"), 6).alias("rate"), F.col("n").alias("anchors"), F.round("first", 2).alias("first"))

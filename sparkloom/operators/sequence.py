@@ -92,7 +92,7 @@ def running_most(df: DataFrame, keys: list[str], at: str, value: Column, width:
     most = rows.groupBy(*keys, "_b").agg(F.max("_v").alias("_most"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried_ = most.select(*keys, "_b", F.max("_most").over(before).alias("_carry"))
-    return rows.withColumn("_own", F.max("_v").over(inside)).join(carried_, [*keys, "_b"]).withColumn(to, F.greatest("_own", "_carry")).select(*(c for c in df.columns if c != to), to)
+    return rows.withColumn("_own", F.max("_v").over(inside)).join(carried_.hint("merge"), [*keys, "_b"]).withColumn(to, F.greatest("_own", "_carry")).select(*(c for c in df.columns if c != to), to)
 
 
 def clusters(df: DataFrame, keys: list[str], start: str, end: Column, width: float, to: str = "cluster") -> DataFrame:
@@ -110,4 +110,4 @@ def numbered(df: DataFrame, keys: list[str], at: str, ties: list[str], width: fl
     before = F.sum("_many").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     base = many.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_base"))
     own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(at, *ties))
-    return rows.withColumn("_own", own).join(base, [*keys, "_b"]).withColumn(to, F.col("_base") + F.col("_own") - 1).select(*df.columns, to)
+    return rows.withColumn("_own", own).join(base.hint("merge"), [*keys, "_b"]).withColumn(to, F.col("_base") + F.col("_own") - 1).select(*df.columns, to)
